@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 PREP_ID_TIME_COLS = ("subject_id", "hadm_id", "admittime", "charttime", "itemid", "label")
 GATE_AUTO_IGNORE = ("label", "y_true", "y_pred", "y_score")
 PROTECTED_CANDIDATES = ("gender", "race", "ethnicity", "insurance", "marital_status")
-ROLE_IGNORE = ("subject_id", "hadm_id", "stay_id", "admittime", "dischtime", "charttime")
+ROLE_IGNORE = ("subject_id", "hadm_id", "itemid", "admittime", "charttime", "label")
 FAIRNESS_FEATURE_IGNORE = ("label", "subject_id", "hadm_id", "itemid", "admittime", "charttime")
 
 
@@ -61,16 +61,17 @@ def drift_columns(baseline: DataFrame, current: DataFrame, ignore_cols=(),
 
 
 def infer_roles(df: DataFrame, target: str = "label", ignore=ROLE_IGNORE) -> list[tuple[str, str]]:
-    """(column, role) with role in numeric / categorical / target; id/time columns skipped."""
+    """(column, role): numeric / categorical (any other atomic type, as in a CSV read) /
+    target; the fixed id/time columns are skipped."""
     out = []
     for f in df.schema.fields:
-        if f.name in ignore:
-            continue
         if f.name == target:
             out.append((f.name, "target"))
+        elif f.name in ignore:
+            continue
         elif is_numeric_type(f.dataType):
             out.append((f.name, "numeric"))
-        elif isinstance(f.dataType, T.StringType):
+        elif isinstance(f.dataType, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
             out.append((f.name, "categorical"))
     return out
 

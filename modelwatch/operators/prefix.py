@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.functions.scalar import np_lerp
-from modelwatch.session import shuffle_partitions
+from modelwatch.session import materialize, shuffle_partitions
 
 MIN_BUCKETS = 16
 MAX_BUCKETS = 1024
@@ -54,15 +54,19 @@ def _plus_field(c: str):
 def running_totals(df: DataFrame, key: str, counts: Sequence[str], by: Sequence[str] = (),
                    order: Sequence | None = None, lead: str | None = None,
                    n_buckets: int | None = None, accuracy: int = 10000,
-                   broadcast_groups: bool = False) -> DataFrame:
+                   broadcast_groups: bool = False, materialized: bool = False) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running total in key order) and ``tot_<c>`` (group
     total) for every count column ``c`` (BIGINT).
 
     ``order`` is the full ordering within a group (default ``[key]``); ``lead`` is the
     numeric / temporal column the cut points are drawn from (default ``key``), and must
     be the first ordering column. Ties in ``order`` are broken arbitrarily, so callers
-    pre-aggregate to unique keys when ties matter.
+    pre-aggregate to unique keys when ties matter. The input is read by several
+    branches, so it is materialized once unless the caller already did
+    (``materialized=True``).
     """
+    if not materialized:
+        df = materialize(df)
     by = list(by)
     counts = list(counts)
     order = list(order or [key])

@@ -107,3 +107,110 @@ def running_counts_sql(src: str, by: Sequence[str] = ()) -> str:
     keys = ", ".join(by) + ", " if by else ""
     return f"""WITH {score_table_sql(src, by)}
 SELECT {keys}score, p, n, CAST(cp AS BIGINT) AS cum_p, CAST(cn AS BIGINT) AS cum_n FROM r"""
+
+
+# ---------------------------------------------------------------- drift
+def _lerp(lo: str, hi: str, t: str) -> str:
+    return f"(CASE WHEN {t} >= 0.5 THEN {hi} - ({hi} - {lo}) * (1 - {t}) ELSE {lo} + ({hi} - {lo}) * {t} END)"
+
+
+def _unpivot(src: str, cols, side: str, kind: str = "DOUBLE", name: str = "value") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS {kind}) AS {name}, '{side}' AS side FROM ({src}) t_"
+        for c in cols)
+
+
+def drift_core_sql(base: str, curr: str, cols) -> str:
+    """CTEs: lf (finite long rows), ks, pc (baseline p1/p99), hist, psi."""
+    bins = 10
+    edge_terms = " + ".join(
+        f"CASE WHEN value >= p1 + CAST({i} AS DOUBLE) * step THEN 1 ELSE 0 END" for i in range(1, bins))
+    hist_cols = ", ".join(
+        f"SUM(CASE WHEN side = 'b' AND bin = {k} THEN 1 ELSE 0 END) AS b{k}, "
+        f"SUM(CASE WHEN side = 'c' AND bin = {k} THEN 1 ELSE 0 END) AS c{k}" for k in range(1, bins + 1))
+    tb = " + ".join(f"b{k}" for k in range(1, bins + 1))
+    tc = " + ".join(f"c{k}" for k in range(1, bins + 1))
+
+    def share(x, t):
+        return f"least(greatest(CAST({x} AS DOUBLE) / greatest({t}, 1), 1e-6), 1.0)"
+    psi_terms = " + ".join(
+        f"({share(f'c{k}', 'tc')} - {share(f'b{k}', 'tb')}) * ln({share(f'c{k}', 'tc')} / {share(f'b{k}', 'tb')})"
+        for k in range(1, bins + 1))
+    h1, h99 = "(n - 1) * CAST(0.01 AS DOUBLE)", "(n - 1) * CAST(0.99 AS DOUBLE)"
+    return f"""l AS ({_unpivot(base, cols, 'b')} UNION ALL {_unpivot(curr, cols, 'c')}),
+lf AS (SELECT * FROM l WHERE value IS NOT NULL AND isfinite(value)),
+cnt AS (SELECT feature, value, SUM(CASE WHEN side = 'b' THEN 1 ELSE 0 END) AS nb,
+               SUM(CASE WHEN side = 'c' THEN 1 ELSE 0 END) AS nc FROM lf GROUP BY feature, value),
+rt AS (SELECT *, SUM(nb) OVER w AS cb, SUM(nc) OVER w AS cc,
+              SUM(nb) OVER (PARTITION BY feature) AS tnb, SUM(nc) OVER (PARTITION BY feature) AS tnc
+       FROM cnt WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ks AS (SELECT feature, MAX(abs(CAST(cb AS DOUBLE) / tnb - CAST(cc AS DOUBLE) / tnc)) AS ks
+       FROM rt WHERE tnb > 0 AND tnc > 0 GROUP BY feature),
+bs AS (SELECT feature, value, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY value) - 1 AS rn,
+              COUNT(*) OVER (PARTITION BY feature) AS n FROM lf WHERE side = 'b'),
+pq AS (SELECT feature, n,
+              MAX(CASE WHEN rn = floor({h1}) THEN value END) AS lo1,
+              MAX(CASE WHEN rn = least(floor({h1}) + 1, n - 1) THEN value END) AS hi1,
+              MAX(CASE WHEN rn = floor({h99}) THEN value END) AS lo99,
+              MAX(CASE WHEN rn = least(floor({h99}) + 1, n - 1) THEN value END) AS hi99,
+              {h1} - floor({h1}) AS t1, {h99} - floor({h99}) AS t99
+       FROM bs GROUP BY feature, n),
+pc AS (SELECT feature, n AS n_base, {_lerp('lo1', 'hi1', 't1')} AS p1, {_lerp('lo99', 'hi99', 't99')} AS p99
+       FROM pq WHERE feature IN (SELECT feature FROM ks)),
+ed AS (SELECT *, (p99 - p1) / CAST(10 AS DOUBLE) AS step FROM pc),
+bn AS (SELECT lf.feature, lf.side, 1 + {edge_terms} AS bin
+       FROM lf JOIN ed ON lf.feature = ed.feature WHERE value >= p1 AND value <= p99),
+hist AS (SELECT feature, {hist_cols} FROM bn GROUP BY feature),
+ht AS (SELECT *, {tb} AS tb, {tc} AS tc FROM hist),
+psi AS (SELECT feature, {psi_terms} AS psi FROM ht)"""
+
+
+def drift_sql(base: str, curr: str, cols, what: str = "full") -> str:
+    core = drift_core_sql(base, curr, cols)
+    if what == "psi":
+        return f"WITH {core} SELECT feature, round(psi, 6) AS psi FROM psi"
+    if what == "ks":
+        return f"WITH {core} SELECT feature, round(ks, 6) AS ks FROM ks"
+    if what == "edges":
+        return (f"WITH {core} SELECT feature, CAST(n_base AS BIGINT) AS n_base, round(p1, 6) AS p1, "
+                f"round(p99, 6) AS p99 FROM pc")
+    full = (f"SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks, (psi >= 0.1 OR ks >= 0.1) AS drift_flag "
+            f"FROM psi JOIN ks USING (feature)")
+    if what == "max":
+        return f"WITH {core}, d AS ({full}) SELECT MAX(psi) AS max_psi, MAX(ks) AS max_ks FROM d"
+    return f"WITH {core} {full}"
+
+
+def categorical_psi_sql(base: str, curr: str, cols) -> str:
+    def share(x, t):
+        return f"least(greatest(CAST({x} AS DOUBLE) / greatest({t}, 1), 1e-6), 1.0)"
+    return f"""l AS ({_unpivot(base, cols, 'b', 'VARCHAR', 'category')} UNION ALL
+               {_unpivot(curr, cols, 'c', 'VARCHAR', 'category')}),
+cc AS (SELECT feature, category, SUM(CASE WHEN side = 'b' THEN 1 ELSE 0 END) AS nb,
+              SUM(CASE WHEN side = 'c' THEN 1 ELSE 0 END) AS nc FROM l WHERE category IS NOT NULL
+       GROUP BY feature, category),
+ct AS (SELECT *, SUM(nb) OVER (PARTITION BY feature) AS tb, SUM(nc) OVER (PARTITION BY feature) AS tc FROM cc),
+cpsi AS (SELECT feature, SUM(({share('nc', 'tc')} - {share('nb', 'tb')}) * ln({share('nc', 'tc')} / {share('nb', 'tb')})) AS psi
+         FROM ct WHERE tb > 0 AND tc > 0 GROUP BY feature)"""
+
+
+def drift_report_sql(base: str, curr: str, num_cols, cat_cols, summary: bool = False) -> str:
+    parts = []
+    ctes = []
+    if num_cols:
+        ctes.append(drift_core_sql(base, curr, num_cols))
+        parts.append("SELECT feature, 'numeric' AS kind, psi, ks FROM psi JOIN ks USING (feature)")
+    if cat_cols:
+        ctes.append(categorical_psi_sql(base, curr, cat_cols).replace("l AS (", "lc AS (", 1)
+                    .replace("FROM l WHERE category", "FROM lc WHERE category"))
+        parts.append("SELECT feature, 'categorical' AS kind, psi, CAST(NULL AS DOUBLE) AS ks FROM cpsi")
+    body = " UNION ALL ".join(parts)
+    rep = (f"SELECT feature, kind, round(psi, 6) AS psi, round(ks, 6) AS ks, "
+           f"(psi >= 0.1 OR coalesce(ks >= 0.1, false)) AS drift_flag FROM ({body}) u")
+    if summary:
+        return (f"WITH {', '.join(ctes)}, rep AS ({rep}) SELECT CAST(COUNT(*) AS BIGINT) AS n_columns, "
+                f"CAST(SUM(CASE WHEN drift_flag THEN 1 ELSE 0 END) AS BIGINT) AS n_drifted, "
+                f"round(CAST(SUM(CASE WHEN drift_flag THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*), 6) AS drift_share, "
+                f"coalesce(CAST(SUM(CASE WHEN drift_flag THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) >= 0.5, false) "
+                f"AS dataset_drift FROM rep")
+    return f"WITH {', '.join(ctes)} {rep}"

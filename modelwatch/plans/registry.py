@@ -108,3 +108,93 @@ def q_running_counts(spark, sf):
 @register("distinct_scores", f"SELECT DISTINCT segment, y_score AS score FROM ({fx.PREDICTIONS_TIES_SQL}) t")
 def q_distinct_scores(spark, sf):
     return M.distinct_scores(fx.predictions_ties(spark, sf), by=SEG)
+
+
+# ------------------------------------------------------------------ drift (2.4, 2.2)
+from modelwatch.operators import drift as D  # noqa: E402
+from modelwatch.functions import columns as C  # noqa: E402
+from modelwatch.operators import schema_tables as ST  # noqa: E402
+
+_B_SQL, _C_SQL = fx.drift_lineitem_sql("baseline"), fx.drift_lineitem_sql("current")
+_C_SHIFT_SQL = fx.drift_lineitem_sql("current", shift_quantity=1.2)
+
+
+def _pair_b(spark, sf):
+    return fx.drift_pair_lineitem(spark, sf)
+
+
+@register("drift_by_feature", osql.drift_sql(_B_SQL, _C_SQL, fx.DRIFT_LINEITEM_COLS))
+def q_drift_by_feature(spark, sf):
+    b, c = _pair_b(spark, sf)
+    return D.drift_by_feature(b, c, ignore_cols=fx.LINEITEM_ID_COLS)
+
+
+@register("drift_by_feature_shifted", osql.drift_sql(_B_SQL, _C_SHIFT_SQL, fx.DRIFT_LINEITEM_COLS))
+def q_drift_shifted(spark, sf):
+    b, c = fx.drift_pair_lineitem(spark, sf, shift_quantity=1.2)
+    return D.drift_by_feature(b, c, ignore_cols=fx.LINEITEM_ID_COLS)
+
+
+@register("drift_max", osql.drift_sql(_B_SQL, _C_SQL, fx.DRIFT_LINEITEM_COLS, "max"))
+def q_drift_max(spark, sf):
+    b, c = _pair_b(spark, sf)
+    return D.drift_max(D.drift_by_feature(b, c, ignore_cols=fx.LINEITEM_ID_COLS))
+
+
+@register("psi", osql.drift_sql(fx.DRIFT_EVENTS_BASE_SQL, fx.DRIFT_EVENTS_CURR_SQL, fx.DRIFT_EVENTS_COLS, "psi"))
+def q_psi(spark, sf):
+    b, c = fx.drift_pair_events(spark, sf)
+    return D.psi(b, c, fx.DRIFT_EVENTS_COLS)
+
+
+@register("ks_two_sample", osql.drift_sql(_B_SQL, _C_SQL, fx.DRIFT_LINEITEM_COLS, "ks"))
+def q_ks_two_sample(spark, sf):
+    b, c = _pair_b(spark, sf)
+    return D.ks_two_sample(b, c, fx.DRIFT_LINEITEM_COLS)
+
+
+@register("psi_edges", osql.drift_sql(_B_SQL, _C_SQL, fx.DRIFT_LINEITEM_COLS, "edges"))
+def q_psi_edges(spark, sf):
+    b, c = _pair_b(spark, sf)
+    return D.psi_edges(b, c, fx.DRIFT_LINEITEM_COLS)
+
+
+_REPORT_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"] + fx.DRIFT_LINEITEM_COLS
+_REPORT_CAT = ["l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@register("drift_report", osql.drift_report_sql(_B_SQL, _C_SHIFT_SQL, _REPORT_NUM, _REPORT_CAT))
+def q_drift_report(spark, sf):
+    b, c = fx.drift_pair_lineitem(spark, sf, shift_quantity=1.2)
+    return D.drift_report(b, c)
+
+
+@register("dataset_drift", osql.drift_report_sql(_B_SQL, _C_SHIFT_SQL, _REPORT_NUM, _REPORT_CAT, summary=True))
+def q_dataset_drift(spark, sf):
+    b, c = fx.drift_pair_lineitem(spark, sf, shift_quantity=1.2)
+    return D.dataset_drift(D.drift_report(b, c))
+
+
+# Column pickers: the picked columns with their finite-value counts on each side.
+@register("drift_columns", ST.drift_columns_sql(_B_SQL, _C_SQL, fx.DRIFT_LINEITEM_COLS))
+def q_drift_columns(spark, sf):
+    b, c = _pair_b(spark, sf)
+    return ST.drift_columns_table(b, c, ignore_cols=fx.LINEITEM_ID_COLS)
+
+
+@register("common_columns", ST.common_columns_sql(_B_SQL, _C_SQL, ST.LINEITEM_ALL))
+def q_common_columns(spark, sf):
+    b, c = _pair_b(spark, sf)
+    return ST.common_columns_table(b, c)
+
+
+@register("finite_filter", ST.finite_counts_sql(fx.DRIFT_EVENTS_BASE_SQL, ["value", "user_id"]))
+def q_finite_filter(spark, sf):
+    b, _ = fx.drift_pair_events(spark, sf)
+    return ST.finite_counts(b, ["value", "user_id"])
+
+
+@register("infer_roles", ST.roles_sql(_B_SQL, ST.LINEITEM_ROLES))
+def q_infer_roles(spark, sf):
+    b, _ = _pair_b(spark, sf)
+    return ST.roles_table(b)

@@ -17,6 +17,7 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -65,3 +66,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back (eager).
+
+    Used for pre-aggregated tables that several branches of one plan read (cut points,
+    bucket totals, windows, histograms): without it each branch recomputes the scan
+    and the shuffle. A reliable checkpoint cuts lineage and survives executor loss.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
