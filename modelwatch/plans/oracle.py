@@ -214,3 +214,109 @@ def drift_report_sql(base: str, curr: str, num_cols, cat_cols, summary: bool = F
                 f"coalesce(CAST(SUM(CASE WHEN drift_flag THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) >= 0.5, false) "
                 f"AS dataset_drift FROM rep")
     return f"WITH {', '.join(ctes)} {rep}"
+
+
+# ---------------------------------------------------------------- prep
+TINY = "2.220446049250313e-15"
+
+
+def round_cols(sel_cols, dbl_cols) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" if c in dbl_cols else c for c in sel_cols)
+
+
+def _impute_sql(src: str, num, other, strategy: str, name: str) -> str:
+    if strategy == "drop":
+        cond = " AND ".join(f"{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in num)
+        return f"{name} AS (SELECT * FROM ({src}) s_ WHERE {cond})"
+    if strategy == "zero":
+        cols = ", ".join([f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in num] + list(other))
+        return f"{name} AS (SELECT {cols} FROM ({src}) s_)"
+    meds = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS md_{c}" for c in num)
+    cols = ", ".join([f"coalesce(CAST({c} AS DOUBLE), md_{c}) AS {c}" for c in num] + list(other))
+    return (f"{name}_md AS (SELECT {meds} FROM ({src}) s_), "
+            f"{name} AS (SELECT {cols} FROM ({src}) s_, {name}_md)")
+
+
+def _clip_sql(prev: str, num, other, method: str, name: str, z: float = 4.0, m: float = 1.5) -> str:
+    if method == "none":
+        return f"{name} AS (SELECT * FROM {prev})"
+    if method == "zscore":
+        st = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS mu_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS sd_{c}" for c in num)
+        cols = ", ".join([
+            f"CASE WHEN sd_{c} IS NULL OR isnan(sd_{c}) OR sd_{c} = 0 OR {c} IS NULL THEN CAST({c} AS DOUBLE) "
+            f"ELSE least(greatest(CAST({c} AS DOUBLE), mu_{c} - {z} * sd_{c}), mu_{c} + {z} * sd_{c}) END AS {c}"
+            for c in num] + list(other))
+    else:
+        st = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1_{c}, "
+                       f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3_{c}" for c in num)
+        cols = ", ".join([
+            f"CASE WHEN q1_{c} IS NULL OR {c} IS NULL THEN CAST({c} AS DOUBLE) "
+            f"ELSE least(greatest(CAST({c} AS DOUBLE), q1_{c} - {m} * (q3_{c} - q1_{c})), "
+            f"q3_{c} + {m} * (q3_{c} - q1_{c})) END AS {c}" for c in num] + list(other))
+    return f"{name}_st AS (SELECT {st} FROM {prev}), {name} AS (SELECT {cols} FROM {prev}, {name}_st)"
+
+
+def prep_sql(base_src: str, cur_src: str, num, other, impute="drop", outliers="zscore",
+             scaler="standard", side="current", what="frame") -> str:
+    """Same pipeline as ``operators.prep.prepare_pair`` (frames rounded to 6 places)."""
+    ctes = [_impute_sql(base_src, num, other, impute, "b1"), _clip_sql("b1", num, other, outliers, "b2"),
+            _impute_sql(cur_src, num, other, impute, "c1"), _clip_sql("c1", num, other, outliers, "c2")]
+    if scaler == "standard":
+        fit = ", ".join(f"avg({c}) AS ce_{c}, CASE WHEN stddev_pop({c}) IS NULL OR stddev_pop({c}) < {TINY} "
+                        f"THEN 1.0 ELSE stddev_pop({c}) END AS sc_{c}" for c in num)
+    elif scaler == "minmax":
+        fit = ", ".join(f"min({c}) AS ce_{c}, CASE WHEN max({c}) - min({c}) IS NULL OR max({c}) - min({c}) < {TINY} "
+                        f"THEN 1.0 ELSE max({c}) - min({c}) END AS sc_{c}" for c in num)
+    else:
+        fit = None
+    ctes.append(f"fit AS (SELECT {fit} FROM b2)" if fit else "fit AS (SELECT 1 AS no_fit)")
+    src = "b2" if side == "baseline" else "c2"
+    if scaler == "none":
+        scaled = ", ".join([f"CAST({c} AS DOUBLE) AS {c}" for c in num] + list(other))
+    else:
+        scaled = ", ".join([f"(CAST({c} AS DOUBLE) - ce_{c}) / sc_{c} AS {c}" for c in num] + list(other))
+    ctes.append(f"out AS (SELECT {scaled} FROM {src}, fit)")
+    if what == "frame":
+        return f"WITH {', '.join(ctes)} SELECT {round_cols(list(num) + list(other), set(num))} FROM out"
+    if what == "profile":
+        return f"WITH {', '.join(ctes)} {profile_sql('out', num)}"
+    raise ValueError(what)
+
+
+def profile_sql(src: str, cols) -> str:
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS feature, CAST(COUNT({c}) AS BIGINT) AS count, round(avg({x}), 6) AS mean, "
+            f"round(stddev_pop({x}), 6) AS std, round(min({x}), 6) AS min, "
+            f"round(quantile_cont({x}, 0.5), 6) AS p50, round(max({x}), 6) AS max, "
+            f"CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM {src}")
+    return " UNION ALL ".join(parts)
+
+
+# ---------------------------------------------------------------- cohort
+def cohort_ctes(events: str, admissions: str, patients: str, items: str, targets: dict, window: str) -> str:
+    labels = ", ".join(f"'{t}'" for t in targets)
+    pivot = ", ".join(f"avg(CASE WHEN label = '{t}' THEN value END) AS {s}" for t, s in targets.items())
+    idx = "subject_id, hadm_id, admission_type, anchor_age, anchor_year_group, gender"
+    keys_nn = " AND ".join(f"{k} IS NOT NULL" for k in idx.split(", ") + ["label"])
+    return f"""t AS (SELECT DISTINCT itemid, upper(label) AS label FROM ({items}) i_ WHERE upper(label) IN ({labels})),
+labs AS (SELECT e.subject_id, e.hadm_id, e.charttime, e.itemid, e.valuenum, t.label
+         FROM ({events}) e JOIN t ON e.itemid = t.itemid
+         WHERE e.valuenum IS NOT NULL AND NOT isnan(e.valuenum) AND e.valuenum > -1e6 AND e.valuenum < 1e6),
+adm AS ({admissions}),
+j AS (SELECT labs.*, adm.admittime, adm.admission_type FROM labs JOIN adm
+      ON labs.subject_id = adm.subject_id AND labs.hadm_id = adm.hadm_id
+      WHERE labs.charttime >= adm.admittime AND labs.charttime <= adm.admittime + INTERVAL {window}),
+pat AS ({patients}),
+jp AS (SELECT j.*, pat.gender, pat.anchor_age, pat.anchor_year_group FROM j LEFT JOIN pat ON j.subject_id = pat.subject_id),
+med AS (SELECT {idx}, label, median(valuenum) AS value FROM jp WHERE {keys_nn} GROUP BY {idx}, label),
+wide AS (SELECT {idx}, {pivot} FROM med GROUP BY {idx}),
+fa AS (SELECT hadm_id, min(admittime) AS charttime FROM adm GROUP BY hadm_id),
+cw AS (SELECT w.subject_id, w.hadm_id, w.anchor_age, coalesce(w.gender, 'Unknown') AS gender, w.admission_type,
+              {', '.join('w.' + s for s in targets.values())}, fa.charttime, w.anchor_year_group
+       FROM wide w LEFT JOIN fa ON w.hadm_id = fa.hadm_id),
+sp AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY subject_id, hadm_id, charttime) - 1 AS BIGINT) AS position,
+              COUNT(*) OVER () AS n_rows FROM cw),
+cohort AS (SELECT * EXCLUDE (n_rows), CASE WHEN position < n_rows // 2 THEN 'baseline' ELSE 'current' END AS split FROM sp)"""

@@ -198,3 +198,248 @@ def q_finite_filter(spark, sf):
 def q_infer_roles(spark, sf):
     b, _ = _pair_b(spark, sf)
     return ST.roles_table(b)
+
+
+# ------------------------------------------------------------------ prep (2.2, 2.4)
+from pyspark.sql import functions as F  # noqa: E402
+
+from modelwatch.functions.scalar import round6  # noqa: E402
+from modelwatch.operators import prep as P  # noqa: E402
+from modelwatch.operators import cohort as CO  # noqa: E402
+
+
+def rounded(df: DataFrame, cols) -> DataFrame:
+    """Cast the given numeric columns to double and round to 6 places (both sides do)."""
+    cols = set(cols)
+    return df.select(*[round6(F.col(c).cast("double")).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+PREP_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax"]
+PREP_OTHER = ["l_returnflag", "l_linestatus", "l_shipdate"]
+_PB_SQL = fx.drift_lineitem_sql("baseline", null_quantity=True)
+_PC_SQL = fx.drift_lineitem_sql("current", null_quantity=True)
+
+
+def _prep_pair(spark, sf):
+    return fx.drift_pair_lineitem(spark, sf, null_quantity=True)
+
+
+def _impute_q(strategy):
+    def q(spark, sf):
+        b, _ = _prep_pair(spark, sf)
+        return rounded(P.impute(b, PREP_NUM, strategy), PREP_NUM)
+    return q
+
+
+def _impute_sql(strategy):
+    return (f"WITH {osql._impute_sql(_PB_SQL, PREP_NUM, PREP_OTHER, strategy, 'b1')} "
+            f"SELECT {osql.round_cols(PREP_NUM + PREP_OTHER, set(PREP_NUM)).replace('round(', 'round(CAST(').replace(', 6)', ' AS DOUBLE), 6)')} FROM b1")
+
+
+for _s in ("drop", "zero", "median"):
+    register(f"impute_{_s}", _impute_sql(_s))(_impute_q(_s))
+
+
+def _clip_q(method):
+    def q(spark, sf):
+        b, _ = _prep_pair(spark, sf)
+        return rounded(P.clip(P.impute(b, PREP_NUM, "drop"), PREP_NUM, method), PREP_NUM)
+    return q
+
+
+def _clip_sql(method):
+    return (f"WITH {osql._impute_sql(_PB_SQL, PREP_NUM, PREP_OTHER, 'drop', 'b1')}, "
+            f"{osql._clip_sql('b1', PREP_NUM, PREP_OTHER, method, 'b2')} "
+            f"SELECT {osql.round_cols(PREP_NUM + PREP_OTHER, set(PREP_NUM))} FROM b2")
+
+
+register("clip_zscore", _clip_sql("zscore"))(_clip_q("zscore"))
+register("clip_iqr", _clip_sql("iqr"))(_clip_q("iqr"))
+
+
+def _scale_q(scaler, side="current", impute="drop", outliers="zscore"):
+    def q(spark, sf):
+        b, c = _prep_pair(spark, sf)
+        cfg = P.PrepConfig(scaler=scaler, impute=impute, outliers=outliers)
+        bp, cp, _, _, _ = P.prepare_pair(b, c, cfg)
+        return rounded(bp if side == "baseline" else cp, PREP_NUM)
+    return q
+
+
+register("scale_standard", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER))(_scale_q("standard"))
+register("scale_minmax", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, scaler="minmax"))(_scale_q("minmax"))
+register("scale_none", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, scaler="none"))(_scale_q("none"))
+register("prepare", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, impute="median", outliers="iqr",
+                                  side="baseline"))(_scale_q("standard", "baseline", "median", "iqr"))
+
+
+@register("column_profile", f"WITH b AS ({_PB_SQL}) {osql.profile_sql('b', PREP_NUM)}")
+def q_column_profile(spark, sf):
+    b, _ = _prep_pair(spark, sf)
+    return P.column_profile(b, PREP_NUM)
+
+
+@register("column_profile_after", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, what="profile"))
+def q_column_profile_after(spark, sf):
+    b, c = _prep_pair(spark, sf)
+    _, _, _, _, ci = P.prepare_pair(b, c)
+    return ci["post_stats"]
+
+
+_SCALER_SQL = (f"WITH {osql._impute_sql(_PB_SQL, PREP_NUM, PREP_OTHER, 'drop', 'b1')}, "
+               f"{osql._clip_sql('b1', PREP_NUM, PREP_OTHER, 'zscore', 'b2')} "
+               + " UNION ALL ".join(
+                   f"SELECT '{c}' AS feature, 'standard' AS kind, round(avg({c}), 6) AS center, "
+                   f"round(CASE WHEN stddev_pop({c}) < {osql.TINY} THEN 1.0 ELSE stddev_pop({c}) END, 6) AS scale "
+                   f"FROM b2" for c in PREP_NUM))
+
+
+@register("scaler_params", _SCALER_SQL)
+def q_scaler_params(spark, sf):
+    b, c = _prep_pair(spark, sf)
+    _, _, scaler, _, _ = P.prepare_pair(b, c)
+    t = scaler.to_dataframe(spark)
+    return t.select("feature", "kind", round6("center").alias("center"), round6("scale").alias("scale"))
+
+
+@register("split_columns", ST.split_columns_sql(_PB_SQL, [], PREP_NUM))
+def q_split_columns(spark, sf):
+    b, _ = _prep_pair(spark, sf)
+    ids, num = C.split_columns(b)
+    return ST.split_columns_table(b, ids, num)
+
+
+# ------------------------------------------------------------------ cohort (2.1, 2.3, 2.4, 2.5, 2.6)
+_T = fx.COHORT_TARGETS
+_COHORT_CTES = osql.cohort_ctes(fx.LAB_EVENTS_SQL, fx.ADMISSIONS_SQL, fx.PATIENTS_SQL, fx.LAB_ITEMS_SQL,
+                                _T, "365 DAY")
+_LABS = list(_T.values())
+
+
+def _cohort(spark, sf):
+    return CO.build_cohort(fx.lab_events(spark, sf), fx.admissions(spark, sf), fx.patients(spark, sf),
+                           fx.lab_items(spark, sf), labels=_T, window=fx.COHORT_WINDOW)
+
+
+@register("build_cohort", f"WITH {_COHORT_CTES} SELECT * EXCLUDE ({', '.join(_LABS)}), "
+                          + ", ".join(f"round({c}, 6) AS {c}" for c in _LABS) + " FROM cohort")
+def q_build_cohort(spark, sf):
+    return rounded(_cohort(spark, sf), _LABS)
+
+
+@register("split_half", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, position, split FROM cohort")
+def q_split_half(spark, sf):
+    return _cohort(spark, sf).select("subject_id", "hadm_id", "position", "split")
+
+
+@register("sample_metadata", f"WITH {_COHORT_CTES} SELECT split, CAST(COUNT(*) AS BIGINT) AS rows, "
+                             f"'{','.join(CO.COHORT_COLUMNS)}' AS columns FROM cohort GROUP BY split")
+def q_sample_metadata(spark, sf):
+    return CO.sample_metadata(_cohort(spark, sf))
+
+
+@register("row_counts", f"WITH {_COHORT_CTES} SELECT split, CAST(COUNT(*) AS BIGINT) AS rows FROM cohort GROUP BY split")
+def q_row_counts(spark, sf):
+    return CO.sample_metadata(_cohort(spark, sf)).select("split", "rows")
+
+
+@register("sort_cohort", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, charttime, position FROM cohort")
+def q_sort_cohort(spark, sf):
+    return _cohort(spark, sf).orderBy("subject_id", "hadm_id", "charttime") \
+                             .select("subject_id", "hadm_id", "charttime", "position")
+
+
+@register("derive_label", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, round(lactate, 6) AS lactate, "
+                          f"CASE WHEN coalesce(lactate, 0) >= 2.0 THEN 1 ELSE 0 END AS label FROM cohort")
+def q_derive_label(spark, sf):
+    from modelwatch.functions.scalar import derive_label
+    c = _cohort(spark, sf)
+    return rounded(c.select("subject_id", "hadm_id", "lactate", derive_label("lactate").alias("label")), ["lactate"])
+
+
+def _labs_in_window(spark, sf, window=fx.COHORT_WINDOW):
+    targets = CO.item_lookup(fx.lab_items(spark, sf), list(_T))
+    labs = CO.scan_events_filtered(fx.lab_events(spark, sf), targets)
+    return CO.join_first_window(labs, fx.admissions(spark, sf), window)
+
+
+@register("item_lookup", f"WITH {_COHORT_CTES} SELECT itemid, label FROM t")
+def q_item_lookup(spark, sf):
+    return CO.item_lookup(fx.lab_items(spark, sf), list(_T))
+
+
+@register("semi_join_items", f"WITH {_COHORT_CTES} SELECT e.subject_id, e.hadm_id, e.itemid, e.valuenum "
+                             f"FROM ({fx.LAB_EVENTS_SQL}) e WHERE e.itemid IN (SELECT itemid FROM t)")
+def q_semi_join_items(spark, sf):
+    ids = CO.item_lookup(fx.lab_items(spark, sf), list(_T))
+    return CO.semi_join_items(fx.lab_events(spark, sf), ids).select("subject_id", "hadm_id", "itemid", "valuenum")
+
+
+@register("scan_events_filtered", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, charttime, itemid, valuenum, label FROM labs")
+def q_scan_events_filtered(spark, sf):
+    targets = CO.item_lookup(fx.lab_items(spark, sf), list(_T))
+    return CO.scan_events_filtered(fx.lab_events(spark, sf), targets) \
+             .select("subject_id", "hadm_id", "charttime", "itemid", "valuenum", "label")
+
+
+@register("join_item_labels", f"WITH {_COHORT_CTES} SELECT label, CAST(COUNT(*) AS BIGINT) AS rows, "
+                              f"round(avg(valuenum), 6) AS mean_value FROM labs GROUP BY label")
+def q_join_item_labels(spark, sf):
+    targets = CO.item_lookup(fx.lab_items(spark, sf), list(_T))
+    labs = CO.scan_events_filtered(fx.lab_events(spark, sf), targets)
+    return labs.groupBy("label").agg(F.count(F.lit(1)).cast("long").alias("rows"),
+                                     round6(F.avg("valuenum")).alias("mean_value"))
+
+
+@register("range_filter", f"SELECT CAST(COUNT(*) AS BIGINT) AS kept FROM ({fx.LAB_EVENTS_SQL}) e "
+                          f"WHERE valuenum > -1e6 AND valuenum < 1e6")
+def q_range_filter(spark, sf):
+    from modelwatch.functions.scalar import in_open_range
+    return fx.lab_events(spark, sf).where(in_open_range("valuenum")).agg(F.count(F.lit(1)).cast("long").alias("kept"))
+
+
+@register("join_events_admissions",
+          f"WITH {_COHORT_CTES} SELECT labs.subject_id, labs.hadm_id, labs.charttime, labs.itemid, adm.admittime "
+          f"FROM labs JOIN adm ON labs.subject_id = adm.subject_id AND labs.hadm_id = adm.hadm_id")
+def q_join_events_admissions(spark, sf):
+    targets = CO.item_lookup(fx.lab_items(spark, sf), list(_T))
+    labs = CO.scan_events_filtered(fx.lab_events(spark, sf), targets)
+    adm = fx.admissions(spark, sf).select("subject_id", "hadm_id", "admittime")
+    return labs.join(adm, ["subject_id", "hadm_id"]).select("subject_id", "hadm_id", "charttime", "itemid", "admittime")
+
+
+@register("join_first_24h", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, charttime, itemid, label, admittime FROM j")
+def q_join_first_24h(spark, sf):
+    return _labs_in_window(spark, sf).select("subject_id", "hadm_id", "charttime", "itemid", "label", "admittime")
+
+
+@register("join_patients", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, itemid, gender, anchor_age FROM jp")
+def q_join_patients(spark, sf):
+    return CO.join_patients(_labs_in_window(spark, sf), fx.patients(spark, sf)) \
+             .select("subject_id", "hadm_id", "itemid", "gender", "anchor_age")
+
+
+@register("median_per_admission", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, admission_type, anchor_age, "
+                                  f"anchor_year_group, gender, label, round(value, 6) AS value FROM med")
+def q_median_per_admission(spark, sf):
+    labs = CO.join_patients(_labs_in_window(spark, sf), fx.patients(spark, sf))
+    return rounded(CO.median_per_admission(labs), ["value"])
+
+
+@register("pivot_labs", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, admission_type, anchor_age, "
+                        f"anchor_year_group, gender, " + ", ".join(f"round({c}, 6) AS {c}" for c in _LABS) + " FROM wide")
+def q_pivot_labs(spark, sf):
+    labs = CO.join_patients(_labs_in_window(spark, sf), fx.patients(spark, sf))
+    return rounded(CO.pivot_labs(CO.median_per_admission(labs), _T), _LABS)
+
+
+register("rename_labels", ORACLE["pivot_labs"])(q_pivot_labs)
+
+
+@register("join_admit_time", f"WITH {_COHORT_CTES} SELECT hadm_id, charttime FROM fa")
+def q_join_admit_time(spark, sf):
+    return fx.admissions(spark, sf).groupBy("hadm_id").agg(F.min("admittime").alias("charttime"))
+
+
+register("dedupe_first", ORACLE["join_admit_time"])(q_join_admit_time)
