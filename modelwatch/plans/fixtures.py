@@ -70,19 +70,19 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
 
 def fairness_frame(spark, sf_dir) -> DataFrame:
     """lineitem x orders x customer: group = market segment, label = returnflag 'R'."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_discount",
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_discount",
                                                   "l_quantity", "l_extendedprice", "l_tax")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-    return j.select(F.col("l_orderkey").alias("row_key"),
+    return j.select(F.col("l_orderkey").alias("hadm_id"), F.col("l_linestatus").alias("segment"),
                     F.col("c_mktsegment").alias("gender"),
                     (F.col("l_returnflag") == "R").cast("int").alias("label"),
                     (F.col("l_discount") * 10).alias("y_score"),
                     "l_quantity", "l_extendedprice", "l_tax")
 
 
-FAIRNESS_FRAME_SQL = """SELECT li.l_orderkey AS row_key, c.c_mktsegment AS gender,
+FAIRNESS_FRAME_SQL = """SELECT li.l_orderkey AS hadm_id, li.l_linestatus AS segment, c.c_mktsegment AS gender,
        CAST(li.l_returnflag = 'R' AS INTEGER) AS label,
        li.l_discount * 10 AS y_score, li.l_quantity, li.l_extendedprice, li.l_tax
 FROM lineitem li JOIN orders o ON li.l_orderkey = o.o_orderkey
@@ -174,14 +174,18 @@ def contributions(spark, sf_dir) -> DataFrame:
     return e.select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("contrib"))
 
 
-def run_metrics(spark, sf_dir) -> DataFrame:
-    """events as a run log: one run per (day, event_type); metric = value of the event."""
+HISTORY_FAIL_BELOW = 2.0   # fixture rule: a record whose metric is under 2.0 is a FAIL
+
+
+def history_records(spark, sf_dir) -> DataFrame:
+    """events as run-history records: one record per event, model = event_type,
+    run = (day, event_type), metric = value, status FAIL when the metric is under 2.0."""
     ev = table(spark, sf_dir, "events")
     return ev.select(
         F.concat_ws(":", F.date_format("ts", "yyyy-MM-dd"), "event_type").alias("run_id"),
-        F.col("event_type").alias("model"),
-        F.col("ts"), F.col("event_id"), F.col("value"))
+        F.col("event_type").alias("model"), F.col("ts"), F.col("event_id"), F.col("value").alias("metric"),
+        F.when(F.col("value") < HISTORY_FAIL_BELOW, "FAIL").otherwise("PASS").alias("status"))
 
 
-RUN_METRICS_SQL = """SELECT strftime(ts, '%Y-%m-%d') || ':' || event_type AS run_id,
-       event_type AS model, ts, event_id, value FROM events"""
+HISTORY_SQL = f"""SELECT strftime(ts, '%Y-%m-%d') || ':' || event_type AS run_id, event_type AS model, ts, event_id,
+       value AS metric, CASE WHEN value < {HISTORY_FAIL_BELOW} THEN 'FAIL' ELSE 'PASS' END AS status FROM events"""

@@ -443,3 +443,296 @@ def q_join_admit_time(spark, sf):
 
 
 register("dedupe_first", ORACLE["join_admit_time"])(q_join_admit_time)
+
+
+# ------------------------------------------------------------------ fairness (2.4, 2.9)
+from modelwatch.operators import fairness as FA  # noqa: E402
+from modelwatch.operators import attribution as A  # noqa: E402
+from modelwatch.operators import gate as G  # noqa: E402
+from modelwatch.operators import history as H  # noqa: E402
+from modelwatch.plans import pipelines as PL  # noqa: E402
+
+_RATES_SQL = (f"SELECT segment, 'positive_rate' AS metric, CAST(gender AS VARCHAR) AS \"group\", "
+              f"round(avg(CASE WHEN TRY_CAST(label AS DOUBLE) = 1 THEN 1.0 ELSE 0.0 END), 6) AS value "
+              f"FROM ({fx.FAIRNESS_FRAME_SQL}) f WHERE gender IS NOT NULL GROUP BY segment, gender")
+_PARITY_SQL = (f"SELECT segment AS run_id, CAST(COUNT(*) AS BIGINT) AS n_groups, "
+               f"round(max(value) - min(value), 6) AS parity_gap, "
+               f"round(CASE WHEN max(value) = 0 THEN NULL ELSE min(value) / max(value) END, 6) AS parity_ratio "
+               f"FROM ({_RATES_SQL}) r GROUP BY segment")
+
+
+@register("positive_rate_by_group", _RATES_SQL)
+def q_positive_rate(spark, sf):
+    return FA.positive_rate_by_group(fx.fairness_frame(spark, sf), "gender", "label", by=["segment"])
+
+
+@register("parity_gap", _PARITY_SQL)
+def q_parity_gap(spark, sf):
+    return PL.run_parity(spark, sf)
+
+
+_FAIR_SRC = f"SELECT CAST(gender AS VARCHAR) AS segment, label AS y_true, y_score FROM ({fx.FAIRNESS_FRAME_SQL}) f"
+_FAIR_ALL = (f"SELECT segment, y_true, y_score FROM ({_FAIR_SRC}) a UNION ALL "
+             f"SELECT '{FA.OVERALL}' AS segment, y_true, y_score FROM ({_FAIR_SRC}) b")
+_FAIR_SQL = (f"SELECT segment AS \"group\", n, accuracy_at_05 AS accuracy, precision_at_05 AS precision, "
+             f"recall_at_05 AS recall, f1_at_05 AS f1, auroc AS auc, "
+             f"round(CAST(tp + fp AS DOUBLE) / n, 6) AS pos_rate FROM ("
+             + osql.metrics_sql(_FAIR_ALL, ["segment"], ["n", "accuracy_at_05", "precision_at_05", "recall_at_05",
+                                                        "f1_at_05", "auroc", "tp", "fp"]) + ") m")
+
+
+@register("fairness_by_group", _FAIR_SQL)
+def q_fairness_by_group(spark, sf):
+    return FA.fairness_by_group(fx.fairness_frame(spark, sf), "gender", "label", "y_score")
+
+
+_SLICES_SQL = (f"SELECT \"group\" AS slice, accuracy, precision, recall, f1, auc FROM ({_FAIR_SQL}) s")
+
+
+@register("fairness_slices", _SLICES_SQL)
+def q_fairness_slices(spark, sf):
+    return FA.fairness_slices(FA.fairness_by_group(fx.fairness_frame(spark, sf), "gender", "label", "y_score"))
+
+
+@register("pick_group_column", f"SELECT 'gender' AS group_column, CAST(COUNT(DISTINCT gender) AS BIGINT) AS n_groups "
+                               f"FROM ({fx.FAIRNESS_FRAME_SQL}) f")
+def q_pick_group_column(spark, sf):
+    df = fx.fairness_frame(spark, sf)
+    g = C.pick_group_column(df, None)
+    return df.agg(F.lit(g).alias("group_column"), F.countDistinct(g).cast("long").alias("n_groups"))
+
+
+@register("train_score_audit")
+def q_train_score_audit(spark, sf):
+    df = fx.fairness_frame(spark, sf).drop("y_score", "segment")
+    return FA.train_score_audit(df, "gender", "label", seed=42, max_iter=100)
+
+
+# ------------------------------------------------------------------ attribution (2.4, 2.6, 2.8)
+_IMPACT_SQL = ("SELECT 'f' || CAST(pos AS VARCHAR) AS name, m AS mean_abs_impact, CAST(pos AS INTEGER) AS pos FROM ("
+               "SELECT pos - 1 AS pos, avg(abs(CAST(v AS DOUBLE))) AS m FROM ("
+               "SELECT UNNEST(embedding) AS v, UNNEST(range(1, len(embedding) + 1)) AS pos FROM embeddings) u "
+               "GROUP BY pos) x")
+_TOP_SQL = (f"SELECT name, round(mean_abs_impact, 6) AS mean_abs_impact, pos FROM ({_IMPACT_SQL}) i "
+            f"ORDER BY mean_abs_impact DESC, pos LIMIT 25")
+
+
+@register("mean_abs_impact", f"SELECT name, round(mean_abs_impact, 6) AS mean_abs_impact, pos FROM ({_IMPACT_SQL}) i")
+def q_mean_abs_impact(spark, sf):
+    m = A.mean_abs_impact(fx.contributions(spark, sf))
+    return m.select("name", round6("mean_abs_impact").alias("mean_abs_impact"), "pos")
+
+
+@register("top_features", _TOP_SQL)
+def q_top_features(spark, sf):
+    return PL.top_feature_table(spark, sf)
+
+
+@register("top_features_named", f"SELECT name, round(mean_abs_impact, 6) AS mean_abs_impact FROM ({_IMPACT_SQL}) i "
+                                f"ORDER BY mean_abs_impact DESC, name LIMIT 25")
+def q_top_features_named(spark, sf):
+    return A.top_features_named(A.mean_abs_impact(fx.contributions(spark, sf)))
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from modelwatch.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/modelwatch-scratch/{name}-{uuid.uuid4().hex}"
+
+
+@register("normalize_features", f"SELECT name, mean_abs_impact FROM ({_TOP_SQL}) t")
+def q_normalize_features(spark, sf):
+    path = _scratch(spark, "top_features")
+    A.write_top_features(PL.top_feature_table(spark, sf), path)
+    return A.normalize_features(spark, path).select("name", "mean_abs_impact")
+
+
+@register("normalize_features_alt", f"SELECT name, mean_abs_impact FROM ({_TOP_SQL}) t")
+def q_normalize_features_alt(spark, sf):
+    path = _scratch(spark, "top_features_alt")
+    t = PL.top_feature_table(spark, sf)
+    # The alternative key names: {"top_features": [{"column": ..., "mean_abs": ...}]}
+    t.agg(F.collect_list(F.struct(F.col("name").alias("column"), F.col("mean_abs_impact").alias("mean_abs")))
+          .alias("top_features")).coalesce(1).write.mode("overwrite").json(path)
+    return A.normalize_features_alt(spark, path).select("name", "mean_abs_impact")
+
+
+# ------------------------------------------------------------------ gates (2.3, 2.8)
+_PERF_RUN_SQL = (f"SELECT segment AS run_id, * EXCLUDE (segment) FROM "
+                 f"({osql.metrics_sql(fx.PREDICTIONS_UNIQUE_SQL, ['segment'])}) p")
+_DMAX_SQL = osql.drift_sql(_B_SQL, _C_SQL, fx.DRIFT_LINEITEM_COLS, "max")
+_OBS_SQL = (f"WITH perf AS ({_PERF_RUN_SQL}), dm AS (SELECT * FROM ({_DMAX_SQL}) d), par AS ({_PARITY_SQL}), "
+            f"topf AS (SELECT COUNT(*) AS n FROM ({_TOP_SQL}) t) "
+            f"SELECT perf.run_id, dm.max_psi, dm.max_ks, perf.auroc, perf.auprc, perf.log_loss, perf.ks_stat, perf.n, "
+            f"perf.accuracy_at_05, par.parity_gap, par.n_groups AS n_fairness_slices, topf.n > 0 AS shap_artifact_present, "
+            f"CAST(topf.n AS BIGINT) AS top_features_detected "
+            f"FROM perf CROSS JOIN dm CROSS JOIN topf LEFT JOIN par ON perf.run_id = par.run_id")
+
+
+@register("observed_metrics", _OBS_SQL)
+def q_observed_metrics(spark, sf):
+    return PL.observed_metrics(spark, sf)
+
+
+def _checks_sql(obs_sql: str) -> str:
+    parts = []
+    for name, metric, op, thr in G.check_specs(G.DEFAULT_POLICY):
+        v = f"CAST({metric} AS DOUBLE)"
+        sop = "=" if op == "==" else op
+        parts.append(f"SELECT run_id, '{name}' AS name, {v} AS value, '{op}' AS op, CAST({thr} AS DOUBLE) AS threshold, "
+                     f"CASE WHEN {v} IS NULL THEN 'SKIP' WHEN {v} {sop} {thr} THEN 'PASS' ELSE 'FAIL' END AS result "
+                     f"FROM obs")
+    return (f"WITH obs AS ({obs_sql}), c AS ({' UNION ALL '.join(parts)}), "
+            f"st AS (SELECT run_id, CASE WHEN SUM(CASE WHEN result = 'FAIL' THEN 1 ELSE 0 END) > 0 THEN 'FAIL' "
+            f"ELSE 'PASS' END AS status FROM c GROUP BY run_id) "
+            f"SELECT c.run_id, st.status, name, value, op, threshold, result FROM c JOIN st ON c.run_id = st.run_id")
+
+
+_CHECKS_SQL = _checks_sql(_OBS_SQL)
+
+
+@register("gate_checks", _CHECKS_SQL)
+def q_gate_checks(spark, sf):
+    return G.gate_checks(PL.observed_metrics(spark, sf))
+
+
+@register("join_policy", f"WITH ch AS ({_CHECKS_SQL}) SELECT run_id, name AS \"check\", value, threshold FROM ch")
+def q_join_policy(spark, sf):
+    obs = PL.observed_metrics(spark, sf)
+    long = obs.select("run_id", *[F.col(c).cast("double") for c in G.OBSERVED_COLUMNS]).unpivot(
+        ["run_id"], G.OBSERVED_COLUMNS, "metric", "value")
+    pol = G.policy_table(spark)          # a handful of rows from the configuration
+    return long.join(F.broadcast(pol), "metric").select("run_id", "check", "value", "threshold")
+
+
+_BASIC_GATE_SQL = (f"SELECT run_id, CASE WHEN auroc IS NULL OR auroc < 0.7 OR (ks_stat IS NOT NULL AND ks_stat < 0.1) "
+                   f"THEN 'FAIL' ELSE 'PASS' END AS status, CAST(0.7 AS DOUBLE) AS min_auroc, CAST(0.1 AS DOUBLE) AS min_ks, "
+                   f"list_filter([CASE WHEN auroc IS NULL OR auroc < 0.7 THEN 'auroc<0.7' END, "
+                   f"CASE WHEN ks_stat IS NOT NULL AND ks_stat < 0.1 THEN 'ks<0.1' END], lambda x: x IS NOT NULL) AS reasons, "
+                   f"ks_stat AS max_ks FROM ({_PERF_RUN_SQL}) p")
+
+
+@register("gate_basic", _BASIC_GATE_SQL)
+def q_gate_basic(spark, sf):
+    return G.gate_basic(PL.run_performance(spark, sf))
+
+
+@register("gate_required",
+          f"SELECT run_id, CASE WHEN len(r) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, r AS reasons FROM ("
+          f"SELECT run_id, list_filter(["
+          f"CASE WHEN auroc IS NULL THEN 'AUROC missing' WHEN auroc < 0.7 THEN 'AUROC ' || CAST(auroc AS VARCHAR) || ' < min_auroc 0.7' END, "
+          f"CASE WHEN ks_stat IS NULL THEN 'KS missing' WHEN ks_stat < 0.1 THEN 'KS ' || CAST(ks_stat AS VARCHAR) || ' < min_ks 0.1' END"
+          f"], lambda x: x IS NOT NULL) AS r FROM ({_PERF_RUN_SQL}) p) q")
+def q_gate_required(spark, sf):
+    return G.gate_required(PL.run_performance(spark, sf))
+
+
+@register("gate_fallback", f"SELECT run_id, CASE WHEN coalesce(auroc, 0) >= 0.7 AND coalesce(ks_stat, 0) >= 0.1 "
+                           f"THEN 'PASS' ELSE 'FAIL' END AS status, ks_stat AS max_ks FROM ({_PERF_RUN_SQL}) p")
+def q_gate_fallback(spark, sf):
+    return G.gate_fallback(PL.run_performance(spark, sf))
+
+
+@register("gate_status_normalize", f"SELECT run_id, CASE WHEN lower(status) IN ('pass', 'passed', 'success') "
+                                   f"THEN 'pass' ELSE 'fail' END AS gate FROM ({_BASIC_GATE_SQL}) g")
+def q_gate_status_normalize(spark, sf):
+    g = G.gate_basic(PL.run_performance(spark, sf))
+    return g.select("run_id", G.gate_status_normalize(g).alias("gate"))
+
+
+@register("live_validation",
+          f"SELECT p.run_id, g.status, p.n, p.accuracy_at_05, p.auroc, p.ks_stat, "
+          f"CASE WHEN g.status = 'PASS' THEN 'pass' ELSE 'fail' END AS gate_status, g.reasons AS gate_reasons "
+          f"FROM ({_PERF_RUN_SQL}) p LEFT JOIN ({_BASIC_GATE_SQL}) g ON p.run_id = g.run_id")
+def q_live_validation(spark, sf):
+    perf = PL.run_performance(spark, sf)
+    lv = G.live_validation(perf, G.gate_basic(perf))
+    return lv.select("run_id", "status", "performance.*", F.col("gate.status").alias("gate_status"),
+                     F.col("gate.reasons").alias("gate_reasons"))
+
+
+def _audit_sql(kind: str) -> str:
+    rules = {
+        "performance": ["CASE WHEN auroc IS NOT NULL AND auroc < 0.75 THEN printf('AUROC %.3f < min_auroc %.3f', auroc, 0.75) END",
+                        "CASE WHEN auprc IS NOT NULL AND auprc < 0.2 THEN printf('AUPRC %.3f < min_auprc %.3f', auprc, 0.2) END"],
+        "drift": ["CASE WHEN max_psi IS NOT NULL AND max_psi > 0.2 THEN printf('PSI %.3f > psi_fail %.3f', max_psi, 0.2) END",
+                  "CASE WHEN max_ks IS NOT NULL AND max_ks > 0.2 THEN printf('KS %.3f > ks_fail %.3f', max_ks, 0.2) END"],
+        "fairness": ["CASE WHEN parity_gap IS NOT NULL AND abs(parity_gap) > 0.05 THEN printf('parity_gap %.3f exceeds %.3f', parity_gap, 0.05) END"],
+        "explainability": ["CASE WHEN NOT coalesce(shap_artifact_present, false) THEN 'SHAP artifact required but missing' END",
+                           "CASE WHEN top_features_detected < 2 THEN 'top_features_count ' || CAST(top_features_detected AS VARCHAR) || ' < required 2' END"],
+    }[kind]
+    return (f"SELECT run_id, list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS violations FROM ({_OBS_SQL}) o")
+
+
+_AUDIT_SECTIONS = {"performance": "performance", "drift": "drift", "fairness": "fairness",
+                   "explainability": "explainability"}
+
+
+def _audit_obs(spark, sf):
+    o = PL.observed_metrics(spark, sf)
+    return o.select("run_id", "auroc", "auprc", F.col("max_psi").alias("psi"), F.col("max_ks").alias("ks"),
+                    "parity_gap", "shap_artifact_present", F.col("top_features_detected").alias("top_features_count"))
+
+
+def _audit_q(kind):
+    def q(spark, sf):
+        pol = {kind: G.DEFAULT_POLICY[kind]}
+        return G.audit_violations(_audit_obs(spark, sf), pol)
+    return q
+
+
+for _k, _name in (("performance", "audit_performance"), ("drift", "audit_drift"),
+                  ("fairness", "audit_fairness_gap"), ("explainability", "audit_explainability")):
+    register(_name, _audit_sql(_k))(_audit_q(_k))
+
+_ALL_VIOL_SQL = (f"SELECT a.run_id, list_concat(list_concat(a.violations, b.violations), list_concat(c.violations, d.violations)) "
+                 f"AS violations FROM ({_audit_sql('performance')}) a JOIN ({_audit_sql('drift')}) b USING (run_id) "
+                 f"JOIN ({_audit_sql('fairness')}) c USING (run_id) JOIN ({_audit_sql('explainability')}) d USING (run_id)")
+
+
+@register("audit_result", f"SELECT run_id, CASE WHEN len(violations) = 0 THEN 'PASS' ELSE 'SOFT-FAIL' END AS result, "
+                          f"CAST(len(violations) AS INTEGER) AS n_violations, violations FROM ({_ALL_VIOL_SQL}) v")
+def q_audit_result(spark, sf):
+    return G.audit_result(G.audit_violations(_audit_obs(spark, sf)))
+
+
+@register("threshold_table",
+          f"SELECT run_id, metric, actual, threshold, status FROM ("
+          f"SELECT run_id, 'AUROC' AS metric, auroc AS actual, CAST(0.7 AS DOUBLE) AS threshold, "
+          f"CASE WHEN auroc IS NULL THEN '—' WHEN auroc < 0.7 THEN 'FAIL' ELSE 'PASS' END AS status FROM ({_OBS_SQL}) a "
+          f"UNION ALL SELECT run_id, 'KS Statistic', ks_stat, CAST(0.1 AS DOUBLE), "
+          f"CASE WHEN ks_stat IS NULL THEN '—' WHEN ks_stat < 0.1 THEN 'FAIL' ELSE 'PASS' END FROM ({_OBS_SQL}) b "
+          f"UNION ALL SELECT run_id, 'Max PSI', max_psi, CAST(0.2 AS DOUBLE), "
+          f"CASE WHEN max_psi IS NULL THEN '—' WHEN max_psi > 0.2 THEN 'FAIL' WHEN max_psi > 0.1 THEN 'WARN' "
+          f"ELSE 'PASS' END FROM ({_OBS_SQL}) c) t")
+def q_threshold_table(spark, sf):
+    return G.threshold_table(PL.observed_metrics(spark, sf))
+
+
+_RISK_SQL = (f"WITH ch AS ({_CHECKS_SQL}), st AS (SELECT DISTINCT run_id, status FROM ch), o AS ({_OBS_SQL}), "
+             f"r AS (SELECT o.run_id, upper(coalesce(st.status, '')) AS policy_gate, "
+             f"(o.auroc IS NOT NULL AND o.ks_stat IS NOT NULL) AS performance_present, "
+             f"coalesce(o.n_fairness_slices > 0, false) AS fairness_present, "
+             f"coalesce(o.top_features_detected > 0, false) AS explainability_present FROM o LEFT JOIN st ON o.run_id = st.run_id), "
+             f"s AS (SELECT *, (CASE WHEN policy_gate <> 'PASS' THEN 2 ELSE 0 END) + (CASE WHEN performance_present THEN 0 ELSE 1 END) "
+             f"+ (CASE WHEN fairness_present THEN 0 ELSE 1 END) + (CASE WHEN explainability_present THEN 0 ELSE 1 END) AS risk_score FROM r) "
+             f"SELECT *, CASE WHEN risk_score <= 1 THEN 'LOW' WHEN risk_score = 2 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level FROM s")
+
+
+@register("risk_score", _RISK_SQL)
+def q_risk_score(spark, sf):
+    obs = PL.observed_metrics(spark, sf)
+    st = G.gate_status(G.gate_checks(obs)).withColumnRenamed("status", "gate_status")
+    runs = obs.join(st, "run_id", "left").withColumnRenamed("top_features_detected", "n_top_features")
+    return G.risk_score(runs)
+
+
+@register("policy_registry",
+          f"WITH ch AS ({_CHECKS_SQL}) SELECT 'default' AS policy_id, '1.0.0' AS version, true AS active, "
+          f"run_id, name AS \"check\", threshold, result FROM ch")
+def q_policy_registry(spark, sf):
+    registry = {"policies": [{"id": "default", "file": "policy.yaml", "version": "1.0.0", "active": True}]}
+    reg = G.policy_registry(spark, registry, {"policy.yaml": G.DEFAULT_POLICY})
+    checks = G.gate_checks(PL.observed_metrics(spark, sf))
+    return F.broadcast(reg).join(checks, reg["check"] == checks["name"]).select(
+        "policy_id", "version", "active", "run_id", F.col("check"), reg["threshold"], "result")
