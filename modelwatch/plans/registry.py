@@ -736,3 +736,174 @@ def q_policy_registry(spark, sf):
     checks = G.gate_checks(PL.observed_metrics(spark, sf))
     return F.broadcast(reg).join(checks, reg["check"] == checks["name"]).select(
         "policy_id", "version", "active", "run_id", F.col("check"), reg["threshold"], "result")
+
+
+# ------------------------------------------------------------------ history (2.4, 2.5, 2.7)
+_HIST_LAST_SQL = ("SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) "
+                  "AS recency FROM ({src}) h) x WHERE recency <= {n}")
+
+
+def _hist(spark, sf):
+    return fx.history_records(spark, sf)
+
+
+@register("history_last_n", _HIST_LAST_SQL.format(src=fx.HISTORY_SQL, n=H.HISTORY_KEEP))
+def q_history_last_n(spark, sf):
+    return H.history_last_n(_hist(spark, sf), H.HISTORY_KEEP, tiebreak="event_id")
+
+
+@register("history_show", _HIST_LAST_SQL.format(src=fx.HISTORY_SQL, n=H.HISTORY_SHOW))
+def q_history_show(spark, sf):
+    return H.history_last_n(_hist(spark, sf), H.HISTORY_SHOW, tiebreak="event_id")
+
+
+_FAILS_SQL = (f"SELECT model, CAST(COUNT(*) AS BIGINT) AS n_recent, "
+              f"CAST(SUM(CASE WHEN upper(status) = 'FAIL' THEN 1 ELSE 0 END) AS BIGINT) AS n_fail FROM ("
+              f"{_HIST_LAST_SQL.format(src=fx.HISTORY_SQL, n=H.FAIL_WINDOW)}) l GROUP BY model")
+
+
+@register("fail_count_recent", _FAILS_SQL)
+def q_fail_count_recent(spark, sf):
+    return H.fail_count_recent(_hist(spark, sf), H.FAIL_WINDOW, tiebreak="event_id")
+
+
+@register("append_history", _HIST_LAST_SQL.format(src=fx.HISTORY_SQL, n=H.HISTORY_KEEP))
+def q_append_history(spark, sf):
+    """Two appends (before / from the 16th) to a history table, read back, newest 200."""
+    path = _scratch(spark, "history")
+    recs = _hist(spark, sf)
+    cut = F.col("ts") < F.lit(fx.EVENTS_SPLIT_TS).cast("timestamp_ntz")
+    H.append_history(recs.where(cut), path)
+    H.append_history(recs.where(~cut), path)
+    return H.history_last_n(spark.read.parquet(path), H.HISTORY_KEEP, tiebreak="event_id")
+
+
+_GATE_RUN_SQL = f"SELECT DISTINCT run_id, status FROM ({_CHECKS_SQL}) c"
+_TOP_NAMES_SQL = (f"SELECT list(name ORDER BY mean_abs_impact DESC, name) AS top_features FROM ("
+                  f"SELECT * FROM ({_TOP_SQL}) t ORDER BY mean_abs_impact DESC, name LIMIT 25) t2")
+
+
+@register("trust_audit_summary",
+          f"SELECT p.run_id, CAST(coalesce(p.n, 0) AS BIGINT) AS entries_evaluated, "
+          f"(SELECT CAST(coalesce(SUM(n_fail), 0) AS BIGINT) FROM ({_FAILS_SQL}) f) AS drift_flags, "
+          f"round(coalesce(p.ks_stat, 0.0), 6) AS max_ks, upper(coalesce(g.status, 'FAIL')) AS policy_status, "
+          f"(SELECT top_features FROM ({_TOP_NAMES_SQL}) tn) AS top_features "
+          f"FROM ({_PERF_RUN_SQL}) p LEFT JOIN ({_GATE_RUN_SQL}) g ON p.run_id = g.run_id")
+def q_trust_audit_summary(spark, sf):
+    perf = PL.run_performance(spark, sf)
+    gate = G.gate_status(G.gate_checks(PL.observed_metrics(spark, sf)))
+    fails = H.fail_count_recent(_hist(spark, sf), H.FAIL_WINDOW, tiebreak="event_id")
+    return H.trust_audit_summary(perf, gate, fails, PL.top_feature_table(spark, sf))
+
+
+# ------------------------------------------------------------------ evidence (2.8): rows-only checks
+from modelwatch.operators import evidence as EV  # noqa: E402
+from modelwatch.sources import files as S  # noqa: E402
+
+
+@register("file_digest")
+def q_file_digest(spark, sf):
+    return EV.file_digest(spark, f"{sf}/*.parquet")
+
+
+@register("table_fingerprint")
+def q_table_fingerprint(spark, sf):
+    return EV.table_fingerprint(fx.table(spark, sf, "lineitem"))
+
+
+@register("checklist_join")
+def q_checklist_join(spark, sf):
+    expected = spark.createDataFrame([(f"{t}.parquet",) for t in fx.TABLES] + [("policy_gate_result.json",)], "name string")
+    return EV.checklist_join(expected, EV.file_digest(spark, f"{sf}/*.parquet", with_hash=False))
+
+
+# ------------------------------------------------------------------ sources and sinks (2.1)
+_ORDERS_SCHEMA = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+                  "o_orderdate timestamp_ntz, o_orderpriority string")
+
+
+@register("scan_csv_any", "SELECT * FROM orders")
+def q_scan_csv_any(spark, sf):
+    base = _scratch(spark, "orders") + "/orders.csv"
+    fx.table(spark, sf, "orders").write.option("header", True).option("compression", "gzip").csv(base + ".gz")
+    return S.scan_csv_any(spark, base, schema=_ORDERS_SCHEMA)
+
+
+@register("scan_typed_csv", f"SELECT * FROM ({fx.ADMISSIONS_SQL}) a")
+def q_scan_typed_csv(spark, sf):
+    path = _scratch(spark, "admissions")
+    fx.admissions(spark, sf).drop("dischtime").write.option("header", True).csv(path)
+    return S.scan_typed_csv(spark, path, schema="subject_id bigint, hadm_id bigint, admittime string, "
+                                                "admission_type string")
+
+
+@register("scan_predictions", f"SELECT y_true, y_score FROM ({fx.PREDICTIONS_UNIQUE_SQL}) p")
+def q_scan_predictions(spark, sf):
+    path = _scratch(spark, "predictions")
+    p = fx.predictions_unique(spark, sf)
+    # Header written with a byte-order mark on the first name, as spreadsheet exports do.
+    p.select(F.col("y_true").alias(S.BOM + "y_true"), F.col("y_score").alias("y_pred_prob")) \
+     .write.option("header", True).csv(path)
+    return S.scan_predictions(spark, path)
+
+
+_METRICS_LONG_SQL = (f"SELECT run_id, metric, value FROM (SELECT run_id, CAST(n AS DOUBLE) AS n, auroc, auprc, ks_stat, "
+                     f"log_loss FROM ({_PERF_RUN_SQL}) p) UNPIVOT (value FOR metric IN (n, auroc, auprc, ks_stat, log_loss))")
+
+
+def _perf_small(spark, sf):
+    return PL.run_performance(spark, sf).select("run_id", "n", "auroc", "auprc", "ks_stat", "log_loss")
+
+
+@register("sink_metrics_long", _METRICS_LONG_SQL)
+def q_sink_metrics_long(spark, sf):
+    long = M.metrics_long(_perf_small(spark, sf), run_col="run_id")
+    pq, _ = S.sink_metrics_long(long, _scratch(spark, "metrics"))
+    return spark.read.parquet(pq)
+
+
+@register("scan_json_report", f"SELECT run_id, auroc, ks_stat FROM ({_PERF_RUN_SQL}) p")
+def q_scan_json_report(spark, sf):
+    path = _scratch(spark, "reports")
+    PL.run_performance(spark, sf).write.option("maxRecordsPerFile", 1).json(path)
+    r = S.scan_json_report(spark, path, "run_id string, auroc double, ks_stat double")
+    return r.where(F.col("_corrupt").isNull()).select("run_id", "auroc", "ks_stat")
+
+
+@register("sink_table", f"SELECT * FROM ({_PERF_RUN_SQL}) p")
+def q_sink_table(spark, sf):
+    path = S.sink_table(PL.run_performance(spark, sf), _scratch(spark, "table"))
+    return spark.read.parquet(path)
+
+
+@register("sink_prep_manifest", ORACLE["scaler_params"])
+def q_sink_prep_manifest(spark, sf):
+    b, c = _prep_pair(spark, sf)
+    _, _, scaler, _, _ = P.prepare_pair(b, c)
+    path = _scratch(spark, "manifest")
+    S.sink_table(scaler.to_dataframe(spark), path, fmt="json")
+    t = spark.read.schema("feature string, kind string, center double, scale double, extra double").json(path)
+    return t.select("feature", "kind", round6("center").alias("center"), round6("scale").alias("scale"))
+
+
+@register("sink_run_log", _METRICS_LONG_SQL)
+def q_sink_run_log(spark, sf):
+    root = _scratch(spark, "runlog")
+    out = S.sink_run_log(M.metrics_long(_perf_small(spark, sf), run_col="run_id"), root, "metrics")
+    return spark.read.parquet(out).select("run_id", "metric", "value")
+
+
+@register("scan_run_log", f"SELECT DISTINCT run_id FROM ({_PERF_RUN_SQL}) p ORDER BY run_id LIMIT 5")
+def q_scan_run_log(spark, sf):
+    """Metrics written in the tracking layout (one text file per metric), scanned back."""
+    root = _scratch(spark, "mlruns")
+    long = M.metrics_long(_perf_small(spark, sf), run_col="run_id")
+    line = F.concat_ws(" ", F.lit("0"), F.col("value").cast("string"), F.lit("0"))
+    long.select(F.concat(F.lit("0/"), "run_id").alias("exp_run"), "metric", line.alias("value")) \
+        .write.partitionBy("exp_run", "metric").text(root)
+    return S.list_runs(S.scan_run_log(spark, root, layout="partitioned"))
+
+
+@register("table_head", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
+def q_table_head(spark, sf):
+    return S.table_head(fx.table(spark, sf, "orders"), 5, order=["o_orderkey"])

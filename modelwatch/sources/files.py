@@ -79,14 +79,23 @@ def scan_json_report(spark: SparkSession, path: str, schema: T.StructType | str)
                  .withColumn("path", F.col("_metadata.file_path")))
 
 
-def scan_run_log(spark: SparkSession, root: str) -> DataFrame:
-    """Recorded runs: ``<root>/<experiment>/<run_id>/metrics/<metric>`` text files with
-    lines 'ts value step' -> (run_id, metric, ts, value, step)."""
-    raw = spark.read.text(f"{root}/*/*/metrics/*").select(F.col("_metadata.file_path").alias("p"), "value")
+def scan_run_log(spark: SparkSession, root: str, layout: str = "tracking") -> DataFrame:
+    """Recorded runs as (run_id, metric, ts, value, step) from text lines 'ts value step'.
+
+    ``tracking``: ``<root>/<experiment>/<run_id>/metrics/<metric>`` files (the tracking
+    library's layout); ``partitioned``: ``<root>/exp_run=<exp>/<run>/metric=<m>/part-*``
+    as written by Spark's ``partitionBy``."""
+    if layout == "partitioned":
+        raw = spark.read.text(root).select(F.col("exp_run"), F.col("metric"), "value")
+        run = F.element_at(F.split("exp_run", "/"), -1)
+        metric = F.col("metric")
+    else:
+        raw = spark.read.text(f"{root}/*/*/metrics/*").select(F.col("_metadata.file_path").alias("p"), "value")
+        segs = F.split("p", "/")
+        run, metric = F.element_at(segs, -3), F.element_at(segs, -1)
     parts = F.split(F.trim("value"), r"\s+")
-    segs = F.split("p", "/")
     return raw.where(F.length(F.trim("value")) > 0).select(
-        F.element_at(segs, -3).alias("run_id"), F.element_at(segs, -1).alias("metric"),
+        run.alias("run_id"), metric.alias("metric"),
         parts[0].try_cast("long").alias("ts"), parts[1].try_cast("double").alias("value"),
         parts[2].try_cast("long").alias("step"))
 
