@@ -907,3 +907,19 @@ def q_scan_run_log(spark, sf):
 @register("table_head", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
 def q_table_head(spark, sf):
     return S.table_head(fx.table(spark, sf, "orders"), 5, order=["o_orderkey"])
+
+
+# ------------------------------------------------------------------ streaming history (2.7): rows-only
+@register("stream_history")
+def q_stream_history(spark, sf):
+    """Predictions land as files (one per ship year); the stream scores and gates each
+    micro-batch and appends its record to the history table, which is read back."""
+    from modelwatch.streaming.monitor import monitor_stream
+    src, hist = _scratch(spark, "stream-src"), _scratch(spark, "stream-history")
+    li = fx.table(spark, sf, "lineitem")
+    preds = li.select(F.year("l_shipdate").alias("yr"), (F.col("l_returnflag") == "R").cast("int").alias("y_true"),
+                      (F.col("l_extendedprice") / 105000.0).alias("y_score"))
+    preds.repartition(8, "yr").write.parquet(src)
+    q = monitor_stream(spark, src, "yr int, y_true int, y_score double", hist, files_per_batch=1)
+    q.awaitTermination()
+    return spark.read.parquet(hist).select("batch_id", "n", "auroc", "ks_stat", "status")
