@@ -136,3 +136,14 @@ def sample_metadata(cohort: DataFrame) -> DataFrame:
     cols = [c for c in cohort.columns if c not in ("split", "position")]
     return cohort.groupBy("split").agg(F.count(F.lit(1)).cast("long").alias("rows")) \
                  .withColumn("columns", F.lit(",".join(cols)))
+
+
+def union_chunks(spark, paths: Sequence[str] | None = None, frames: Sequence[DataFrame] | None = None) -> DataFrame:
+    """Append filtered pieces: a multi-path read (one scan, files split across tasks) or a
+    ``unionByName`` of frames (no shuffle)."""
+    if paths:
+        return spark.read.parquet(*paths)
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out

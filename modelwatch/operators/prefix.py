@@ -8,7 +8,8 @@ row into one task. This operator gives the same result with bounded tasks:
 2. Per group, ``percentile_approx`` picks B-1 cut points of the key. The bucket of a
    row is ``size(filter(cuts, c -> c <= key))``: a pure function of the key, so equal
    keys share a bucket and a recomputed task gives the same bucket.
-3. Per (group, bucket) totals (at most B rows per group) give exclusive offsets.
+3. Per (group, bucket) totals (at most B rows per group) give exclusive offsets,
+   joined back on (group, bucket) as plain columns.
 4. ``sum().over(partitionBy(group, bucket).orderBy(key))`` plus the bucket offset is
    the global inclusive running total. Each window task holds about 1/B of a group.
 
@@ -47,8 +48,16 @@ def attach_group_table(df: DataFrame, small: DataFrame, by: Sequence[str],
     return df.select("*", *[small.select(c).scalar().alias(c) for c in small.columns])
 
 
-def _plus_field(c: str):
-    return lambda acc, y: acc + y[c]
+def bucket_of(cuts: Column, key: Column, n_cuts: int) -> Column:
+    """Number of cut points <= key (cuts sorted ascending), as an unrolled binary search
+    over the array: log2(B) element comparisons per row, all inside whole-stage codegen
+    (a ``filter`` lambda over the array would be evaluated interpretively)."""
+    def ub(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(cuts.getItem(mid) <= key, ub(mid + 1, hi)).otherwise(ub(lo, mid))
+    return ub(0, n_cuts)
 
 
 def running_totals(df: DataFrame, key: str, counts: Sequence[str], by: Sequence[str] = (),
@@ -76,31 +85,30 @@ def running_totals(df: DataFrame, key: str, counts: Sequence[str], by: Sequence[
 
     cuts = df.groupBy(*by).agg(F.percentile_approx(lead, fracs, accuracy).alias("_cuts"))
     b = attach_group_table(df, cuts, by, broadcast_groups)
-    b = b.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(lead)))).drop("_cuts")
-
-    # Offsets from at most nb rows per group: exclusive sums of earlier buckets.
-    tot = b.groupBy(*by, "_bucket").agg(*[F.sum(c).cast("long").alias(c) for c in counts])
-    lst = tot.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_bucket", *counts))).alias("_t"))
-    zero = F.lit(0).cast("long")
-    offs = lst.select(
-        *by,
-        F.map_from_entries(F.transform(
-            "_t",
-            lambda x, i: F.struct(
-                x["_bucket"],
-                F.struct(*[F.aggregate(F.slice("_t", 1, i), zero, _plus_field(c)).alias(c)
-                           for c in counts])))).alias("_off"),
-        *[F.aggregate("_t", zero, _plus_field(c)).alias(f"tot_{c}") for c in counts],
-    )
-    b = attach_group_table(b, offs, by, broadcast_groups)
+    b = b.withColumn("_bucket", bucket_of(F.col("_cuts"), F.col(lead), len(fracs))).drop("_cuts")
+
+    # Exclusive offsets of every (group, bucket) from the per-bucket totals. This table
+    # has at most nb rows per group, so its window is tiny: partitioned by the group
+    # keys, or a single task over nb rows when there are no groups (bounded by nb, not
+    # by the data).
+    tot = b.groupBy(*by, "_bucket").agg(*[F.sum(c).cast("long").alias(f"_b_{c}") for c in counts])
+    wo = Window.partitionBy(*by).orderBy("_bucket")
+    wall = Window.partitionBy(*by)
+    offs = tot.select(
+        *by, "_bucket",
+        *[(F.sum(f"_b_{c}").over(wo.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+           - F.col(f"_b_{c}")).alias(f"_o_{c}") for c in counts],
+        *[F.sum(f"_b_{c}").over(wall).cast("long").alias(f"tot_{c}") for c in counts])
+    # (group, bucket) rows: bounded by groups x nb; broadcast when the caller bounds groups.
+    o = F.broadcast(offs) if (broadcast_groups or not by) else offs
+    b = b.join(o, [*by, "_bucket"], "inner")
 
     w = (Window.partitionBy(*by, "_bucket").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    keep = [c for c in b.columns if c not in ("_off", "_bucket")]
+    keep = [c for c in b.columns if c != "_bucket" and not c.startswith("_o_")]
     return b.select(
         *keep,
-        *[(F.sum(c).over(w) + F.col("_off")[F.col("_bucket")][c]).cast("long").alias(f"cum_{c}")
-          for c in counts])
+        *[(F.sum(c).over(w) + F.col(f"_o_{c}")).cast("long").alias(f"cum_{c}") for c in counts])
 
 
 def row_position(df: DataFrame, order: Sequence, lead: str, by: Sequence[str] = (),

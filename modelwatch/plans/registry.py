@@ -923,3 +923,44 @@ def q_stream_history(spark, sf):
     q = monitor_stream(spark, src, "yr int, y_true int, y_score double", hist, files_per_batch=1)
     q.awaitTermination()
     return spark.read.parquet(hist).select("batch_id", "n", "auroc", "ks_stat", "status")
+
+
+# ------------------------------------------------------------------ remaining inventory names
+@register("numeric_coerce", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, "
+                            "TRY_CAST(event_type AS DOUBLE) AS event_type_num FROM events")
+def q_numeric_coerce(spark, sf):
+    from modelwatch.functions.scalar import numeric_coerce
+    ev = fx.table(spark, sf, "events")
+    return ev.select("event_id", numeric_coerce(F.get_json_object("props", "$.k")).alias("k"),
+                     numeric_coerce("event_type").alias("event_type_num"))
+
+
+register("round6", ORACLE["performance_metrics_text"])(q_performance_metrics_text)
+
+_CO_NUM = ["anchor_age"] + _LABS
+_CO_OTHER = ["subject_id", "hadm_id", "charttime", "gender", "admission_type", "anchor_year_group"]
+_CO_SIDE = ("(WITH " + _COHORT_CTES + " SELECT " + ", ".join(_CO_OTHER + _CO_NUM) + " FROM cohort WHERE split = '{s}')")
+
+
+@register("reorder_columns", osql.prep_sql(_CO_SIDE.format(s="baseline"), _CO_SIDE.format(s="current"),
+                                           _CO_NUM, _CO_OTHER, side="baseline"))
+def q_reorder_columns(spark, sf):
+    """Cohort -> prepare (baseline fits the scaler) -> id/time columns first."""
+    c = _cohort(spark, sf).drop("position")
+    b, cur = c.where("split = 'baseline'").drop("split"), c.where("split = 'current'").drop("split")
+    bp, _, _, _, _ = P.prepare_pair(b, cur)
+    return rounded(bp, _CO_NUM)
+
+
+@register("union_chunks", ORACLE["join_item_labels"])
+def q_union_chunks(spark, sf):
+    """Lab events land in two chunk folders; one multi-path read appends them."""
+    root = _scratch(spark, "chunks")
+    ev = fx.lab_events(spark, sf)
+    cut = F.col("charttime") < F.lit(fx.DRIFT_SPLIT_SHIPDATE).cast("timestamp_ntz")
+    ev.where(cut).write.parquet(f"{root}/a")
+    ev.where(~cut).write.parquet(f"{root}/b")
+    events = CO.union_chunks(spark, paths=[f"{root}/a", f"{root}/b"])
+    labs = CO.scan_events_filtered(events, CO.item_lookup(fx.lab_items(spark, sf), list(_T)))
+    return labs.groupBy("label").agg(F.count(F.lit(1)).cast("long").alias("rows"),
+                                     round6(F.avg("valuenum")).alias("mean_value"))

@@ -76,4 +76,10 @@ def materialize(df):
     and the shuffle. A reliable checkpoint cuts lineage and survives executor loss.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Cache first so the checkpoint write reads the computed blocks instead of running
+    # the plan a second time; the cache is released once the checkpoint exists.
+    df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
