@@ -48,6 +48,10 @@ def attach_group_table(df: DataFrame, small: DataFrame, by: Sequence[str],
     return df.select("*", *[small.select(c).scalar().alias(c) for c in small.columns])
 
 
+def _plus_field(c: str):
+    return lambda acc, y: acc + y[c]
+
+
 def bucket_of(cuts: Column, key: Column, n_cuts: int) -> Column:
     """Number of cut points <= key (cuts sorted ascending), as an unrolled binary search
     over the array: log2(B) element comparisons per row, all inside whole-stage codegen
@@ -87,18 +91,20 @@ def running_totals(df: DataFrame, key: str, counts: Sequence[str], by: Sequence[
     b = attach_group_table(df, cuts, by, broadcast_groups)
     b = b.withColumn("_bucket", bucket_of(F.col("_cuts"), F.col(lead), len(fracs))).drop("_cuts")
 
-    # Exclusive offsets of every (group, bucket) from the per-bucket totals. This table
-    # has at most nb rows per group, so its window is tiny: partitioned by the group
-    # keys, or a single task over nb rows when there are no groups (bounded by nb, not
-    # by the data).
+    # Exclusive offsets of every (group, bucket): the per-bucket totals of a group (at
+    # most nb entries, a bound set by the parameter, not the data) are gathered into
+    # one sorted array, prefix-summed with higher-order functions, and exploded back to
+    # (group, bucket) rows. No window, so no single-task step even without groups.
     tot = b.groupBy(*by, "_bucket").agg(*[F.sum(c).cast("long").alias(f"_b_{c}") for c in counts])
-    wo = Window.partitionBy(*by).orderBy("_bucket")
-    wall = Window.partitionBy(*by)
-    offs = tot.select(
-        *by, "_bucket",
-        *[(F.sum(f"_b_{c}").over(wo.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-           - F.col(f"_b_{c}")).alias(f"_o_{c}") for c in counts],
-        *[F.sum(f"_b_{c}").over(wall).cast("long").alias(f"tot_{c}") for c in counts])
+    lst = tot.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("_bucket", *[f"_b_{c}" for c in counts]))).alias("_t"))
+    zero = F.lit(0).cast("long")
+    entries = F.transform("_t", lambda x, i: F.struct(
+        x["_bucket"].alias("_bucket"),
+        *[F.aggregate(F.slice("_t", 1, i), zero, _plus_field(f"_b_{c}")).alias(f"_o_{c}") for c in counts]))
+    offs = lst.select(*by, F.explode(entries).alias("_e"),
+                      *[F.aggregate("_t", zero, _plus_field(f"_b_{c}")).alias(f"tot_{c}") for c in counts]) \
+              .select(*by, "_e.*", *[f"tot_{c}" for c in counts])
     # (group, bucket) rows: bounded by groups x nb; broadcast when the caller bounds groups.
     o = F.broadcast(offs) if (broadcast_groups or not by) else offs
     b = b.join(o, [*by, "_bucket"], "inner")
