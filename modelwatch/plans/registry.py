@@ -284,7 +284,7 @@ def q_column_profile(spark, sf):
 def q_column_profile_after(spark, sf):
     b, c = _prep_pair(spark, sf)
     _, _, _, _, ci = P.prepare_pair(b, c)
-    return ci["post_stats"]
+    return ci["post_stats"]()
 
 
 _SCALER_SQL = (f"WITH {osql._impute_sql(_PB_SQL, PREP_NUM, PREP_OTHER, 'drop', 'b1')}, "
@@ -878,11 +878,19 @@ def q_sink_table(spark, sf):
 
 @register("sink_prep_manifest", ORACLE["scaler_params"])
 def q_sink_prep_manifest(spark, sf):
+    """Prepare the pair, write the manifest (scaler, output fingerprints, profiles,
+    config), and read the scaler parameters back."""
+    from dataclasses import asdict
     b, c = _prep_pair(spark, sf)
-    _, _, scaler, _, _ = P.prepare_pair(b, c)
+    cfg = P.PrepConfig()
+    bp, cp, scaler, bi, ci = P.prepare_pair(b, c, cfg)
     path = _scratch(spark, "manifest")
-    S.sink_table(scaler.to_dataframe(spark), path, fmt="json")
-    t = spark.read.schema("feature string, kind string, center double, scale double, extra double").json(path)
+    S.sink_prep_manifest(spark, path, asdict(cfg), scaler.to_dataframe(spark),
+                         {"data_prepared_baseline": bp, "data_prepared_current": cp},
+                         {("baseline", "pre"): bi["pre_stats"](), ("baseline", "post"): bi["post_stats"](),
+                          ("current", "pre"): ci["pre_stats"](), ("current", "post"): ci["post_stats"]()})
+    t = spark.read.schema("feature string, kind string, center double, scale double, extra double") \
+             .json(f"{path}/scaler")
     return t.select("feature", "kind", round6("center").alias("center"), round6("scale").alias("scale"))
 
 

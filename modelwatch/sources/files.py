@@ -138,3 +138,39 @@ def sink_run_log(df: DataFrame, path: str, kind: str) -> str:
     df.withColumn("run_date", F.to_date(F.current_timestamp())).write.mode("append") \
       .partitionBy("run_date").parquet(out)
     return out
+
+
+def sink_prep_manifest(spark: SparkSession, path: str, cfg: dict, scaler_table: DataFrame | None,
+                       outputs: dict, stats: dict) -> str:
+    """Preparation manifest under ``path``:
+
+    * ``scaler/``   fitted scaler parameters (one row per column),
+    * ``outputs/``  one row per written table: name, rows, order-independent fingerprint,
+    * ``stats/``    column profiles per split (``split``, ``when`` = pre / post),
+    * ``config/``   the configuration and notes as one JSON record.
+
+    Fingerprints and profiles are Spark aggregates; nothing is gathered on the driver
+    except the configuration dict that was passed in.
+    """
+    import json as _json
+    from modelwatch.operators.evidence import table_fingerprint
+
+    if scaler_table is not None:
+        scaler_table.write.mode("overwrite").json(os.path.join(path, "scaler"))
+    fps = None
+    for name, df in outputs.items():
+        fp = table_fingerprint(df).select(F.lit(name).alias("name"), "rows", "fingerprint")
+        fps = fp if fps is None else fps.unionByName(fp)
+    if fps is not None:
+        fps.write.mode("overwrite").json(os.path.join(path, "outputs"))
+    st = None
+    for (split, when), df in stats.items():
+        part = df.select(F.lit(split).alias("split"), F.lit(when).alias("when"), "*")
+        st = part if st is None else st.unionByName(part)
+    if st is not None:
+        st.write.mode("overwrite").json(os.path.join(path, "stats"))
+    doc = {"config": cfg, "notes": ["ID/timestamp columns preserved; scaling applied only to numeric features.",
+                                    "Outlier clipping applied before scaling."]}
+    spark.createDataFrame([(_json.dumps(doc, sort_keys=True),)], "value string").write.mode("overwrite") \
+         .text(os.path.join(path, "config"))
+    return path
