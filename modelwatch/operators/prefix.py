@@ -120,14 +120,32 @@ def running_totals(df: DataFrame, key: str, counts: Sequence[str], by: Sequence[
         *[(F.sum(c).over(w) + F.col(f"_o_{c}")).cast("long").alias(f"cum_{c}") for c in counts])
 
 
-def row_position(df: DataFrame, order: Sequence, lead: str, by: Sequence[str] = (),
-                 n_buckets: int | None = None) -> DataFrame:
-    """0-based position of every row in ``order`` (per group), plus ``n_rows``."""
-    r = running_totals(df.withColumn("_one", F.lit(1).cast("long")), key=lead,
-                       counts=["_one"], by=by, order=order, lead=lead, n_buckets=n_buckets)
-    return (r.withColumn("position", F.col("cum__one") - 1)
-             .withColumnRenamed("tot__one", "n_rows")
-             .drop("_one", "cum__one"))
+def row_position(df: DataFrame, order: Sequence, lead: str | None = None, by: Sequence[str] = (),
+                 n_parts: int | None = None) -> DataFrame:
+    """0-based position of every row in ``order`` (per group ``by``), plus ``n_rows``.
+
+    Range partitioning on the FULL order key (bounds from a sample of all order
+    columns), so a hot leading key (one subject with a third of the rows) is spread by
+    its other order columns. The partition id is stamped into the data and the result
+    checkpointed, so a recomputed task can never move rows between partitions. Then:
+    per-partition row counts (at most ``n_parts`` rows) -> exclusive offsets -> row
+    number inside each partition + offset. ``lead`` is accepted for API symmetry.
+    """
+    by = list(by)
+    order = list(order)
+    n = n_parts or n_buckets_for(df)
+    keys = [*by, *order]
+    parted = materialize(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
+    cnt = parted.groupBy(*by, "_pid").agg(F.count(F.lit(1)).cast("long").alias("_b_n"))
+    lst = cnt.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_pid", "_b_n"))).alias("_t"))
+    zero = F.lit(0).cast("long")
+    entries = F.transform("_t", lambda x, i: F.struct(
+        x["_pid"].alias("_pid"), F.aggregate(F.slice("_t", 1, i), zero, _plus_field("_b_n")).alias("_o_n")))
+    offs = lst.select(*by, F.explode(entries).alias("_e"),
+                      F.aggregate("_t", zero, _plus_field("_b_n")).alias("n_rows")).select(*by, "_e.*", "n_rows")
+    j = parted.join(F.broadcast(offs) if not by else offs, [*by, "_pid"], "inner")
+    w = Window.partitionBy(*by, "_pid").orderBy(*order)
+    return j.withColumn("position", F.row_number().over(w) - 1 + F.col("_o_n")).drop("_pid", "_o_n")
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
