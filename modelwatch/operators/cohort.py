@@ -32,6 +32,9 @@ COHORT_COLUMNS = ["subject_id", "hadm_id", "anchor_age", "gender", "admission_ty
 EVENT_COLUMNS = ["subject_id", "hadm_id", "charttime", "itemid", "valuenum", "valueuom"]
 INDEX_KEYS = ["subject_id", "hadm_id", "admission_type", "anchor_age", "anchor_year_group", "gender"]
 DEFAULT_WINDOW = "24 hours"
+# Per-admission groups are many and small: up to this many distinct values a group's
+# median comes from a plain per-group window; larger (hot) groups are bucketed.
+SMALL_GROUP_ROWS = 100_000
 DEFAULT_GENDER = "Unknown"
 
 
@@ -83,7 +86,8 @@ def median_per_admission(labs: DataFrame, keys: Sequence[str] = (*INDEX_KEYS, "l
     (pandas ``groupby`` does the same)."""
     keys = list(keys)
     clean = labs.na.drop(subset=keys)
-    return exact_quantiles(clean, "valuenum", [0.5], by=keys, names=["value"]).drop("n")
+    return exact_quantiles(clean, "valuenum", [0.5], by=keys, names=["value"],
+                           small_group_rows=SMALL_GROUP_ROWS).drop("n")
 
 
 def pivot_labs(med: DataFrame, labels: dict = LAB_LABELS, index: Sequence[str] = INDEX_KEYS) -> DataFrame:

@@ -67,10 +67,16 @@ def bucket_of(cuts: Column, key: Column, n_cuts: int) -> Column:
 def running_totals(df: DataFrame, key: str, counts: Sequence[str], by: Sequence[str] = (),
                    order: Sequence | None = None, lead: str | None = None,
                    n_buckets: int | None = None, accuracy: int | None = None,
-                   broadcast_groups: bool = False, materialized: bool = False) -> DataFrame:
+                   broadcast_groups: bool = False, materialized: bool = False,
+                   small_group_rows: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running total in key order) and ``tot_<c>`` (group
     total) for every count column ``c`` (BIGINT).
 
+    ``small_group_rows`` (for many-group inputs, such as one group per admission):
+    groups with at most that many rows take a plain per-group window, whose task
+    memory is bounded by the threshold; only the larger (hot) groups, found with one
+    size aggregate, take the bucketed path. Without it every group is bucketed.
+
     ``order`` is the full ordering within a group (default ``[key]``); ``lead`` is the
     numeric / temporal column the cut points are drawn from (default ``key``), and must
     be the first ordering column. Ties in ``order`` are broken arbitrarily, so callers
@@ -84,6 +90,19 @@ def running_totals(df: DataFrame, key: str, counts: Sequence[str], by: Sequence[
     counts = list(counts)
     order = list(order or [key])
     lead = lead or key
+    if by and small_group_rows:
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_gn"))
+        hot = sizes.where(F.col("_gn") > int(small_group_rows)).select(*by)
+        small = df.join(hot, by, "left_anti")
+        w = (Window.partitionBy(*by).orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        wall = Window.partitionBy(*by)
+        small_r = small.select(
+            "*", *[F.sum(c).over(wall).cast("long").alias(f"tot_{c}") for c in counts],
+            *[F.sum(c).over(w).cast("long").alias(f"cum_{c}") for c in counts])
+        large_r = running_totals(df.join(hot, by, "left_semi"), key, counts, by, order, lead, n_buckets,
+                                 accuracy, broadcast_groups, materialized=True)
+        return small_r.unionByName(large_r)
     nb = n_buckets_for(df, n_buckets)
     fracs = [i / nb for i in range(1, nb)]
     # Cut points only balance the buckets (results are exact for any cuts), so a rank
@@ -150,7 +169,8 @@ def row_position(df: DataFrame, order: Sequence, lead: str | None = None, by: Se
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None, n_buckets: int | None = None,
-                    broadcast_groups: bool = False, weight: str | None = None) -> DataFrame:
+                    broadcast_groups: bool = False, weight: str | None = None,
+                    small_group_rows: int | None = None) -> DataFrame:
     """Exact quantiles per group, NumPy's ``linear`` method (``np.percentile`` default).
 
     Position h = (n-1)q; the result interpolates between the values at positions
@@ -165,7 +185,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     pre = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
              .agg(cnt.cast("long").alias("_cnt")))
     r = running_totals(pre, value, ["_cnt"], by, n_buckets=n_buckets,
-                       broadcast_groups=broadcast_groups)
+                       broadcast_groups=broadcast_groups, small_group_rows=small_group_rows)
     n = F.col("tot__cnt")
     start = F.col("cum__cnt") - F.col("_cnt")
     aggs = []

@@ -52,3 +52,19 @@ def test_row_position_with_hot_leading_key(spark):
     keys = list(zip(pos["subject_id"], pos["hadm_id"]))
     assert keys == sorted(keys)
     assert (pos["n_rows"] == 2000).all()
+
+
+def test_running_totals_hybrid_small_and_hot_groups(spark):
+    rng = np.random.default_rng(11)
+    n_small = 300
+    g = np.concatenate([np.repeat(np.arange(n_small), 3), np.full(2000, -1)])      # group -1 is hot
+    k = np.concatenate([np.tile([3.0, 1.0, 2.0], n_small), rng.permutation(2000).astype(float)])
+    c = rng.integers(1, 4, len(g))
+    pdf = pd.DataFrame({"g": g, "k": k, "c": c})
+    df = spark.createDataFrame(pdf).withColumn("c", F.col("c").cast("long"))
+    got = running_totals(df, "k", ["c"], ["g"], n_buckets=8, small_group_rows=50).toPandas()
+    got = got.sort_values(["g", "k"])
+    exp = pdf.sort_values(["g", "k"]).assign(cum=lambda d: d.groupby("g")["c"].cumsum())
+    assert (got["cum_c"].to_numpy() == exp["cum"].to_numpy()).all()
+    q = exact_quantiles(df, "k", [0.5], by=["g"], small_group_rows=50).toPandas().set_index("g")
+    assert q.loc[-1, "q0"] == np.percentile(np.arange(2000.0), 50) and q.loc[5, "q0"] == 2.0
