@@ -82,7 +82,9 @@ def feature_stats(counts: DataFrame, n_buckets: int | None = None) -> tuple[Data
     stats = (g.where((F.col("n_base") > 0) & (F.col("n_curr") > 0))
               .select("feature", "n_base", "n_curr", "ks",
                       _quantile_value(PSI_LOW_Q, "p1"), _quantile_value(PSI_HIGH_Q, "p99")))
-    return counts, stats
+    # One row per column, read twice (PSI edges and the output): materialize it once
+    # instead of running the window and aggregate again.
+    return counts, materialize(stats)
 
 
 def _bin_expr(bins: int) -> Column:

@@ -39,8 +39,9 @@ def observed_metrics(spark, sf) -> DataFrame:
     fair = run_parity(spark, sf).select("run_id", "parity_gap", "n_groups")
     j = perf.join(fair, "run_id", "left")
     n = n_top.select("n").scalar()
+    d = dmax.select(F.struct("max_psi", "max_ks")).scalar()       # one subquery for both values
     return j.select(
-        "run_id", dmax.select("max_psi").scalar().alias("max_psi"), dmax.select("max_ks").scalar().alias("max_ks"),
+        "run_id", d["max_psi"].alias("max_psi"), d["max_ks"].alias("max_ks"),
         "auroc", "auprc", "log_loss", "ks_stat", "n", "accuracy_at_05", "parity_gap",
         F.col("n_groups").alias("n_fairness_slices"), (n > 0).alias("shap_artifact_present"),
         n.alias("top_features_detected"))
