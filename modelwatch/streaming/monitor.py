@@ -2,14 +2,16 @@
 
 Prediction files arriving in a folder are processed as micro-batches; each batch is
 scored (``performance_metrics``), gated (``gate_basic``) and its history record is
-appended to the history table (``append_history``), the reference's per-run
-"validate, then append history" step made incremental. ``foreachBatch`` gives
-exactly-once output together with the stream checkpoint, which lives in the shared
-checkpoint folder so a restarted driver or lost executor resumes where it stopped.
+added to the history table, the reference's per-run "validate, then append history"
+step made incremental. Each batch overwrites only its own ``batch_id`` partition, so a
+retried batch is idempotent; with the stream checkpoint in the shared checkpoint folder
+(at a path derived from the history table) a restarted driver or a lost executor
+resumes where it stopped without duplicate records.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from modelwatch.operators.gate import gate_basic
-from modelwatch.operators.history import append_history
 from modelwatch.operators.metrics import performance_metrics
 from modelwatch.session import checkpoint_dir
 
@@ -41,12 +42,16 @@ def monitor_stream(spark: SparkSession, source: str, schema: str, history_path:
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.parquet(source)
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/modelwatch-stream/{abs(hash(history_path))}"
+    # Stable location per history table, so a restarted driver resumes the same stream.
+    tag = hashlib.sha1(history_path.encode("utf-8")).hexdigest()[:16]
+    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/modelwatch-stream/{tag}"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        append_history(batch_record(batch, batch_id, by), history_path)
+        # Idempotent: a retried batch overwrites its own batch_id partition only.
+        (batch_record(batch, batch_id, by).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(history_path))
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -51,3 +51,23 @@ def test_scan_csv_any_prefers_gzip(spark, tmp_path):
     assert S.scan_csv_any(spark, base, schema="a int").count() == 1
     spark.createDataFrame([(1,), (2,)], "a int").write.option("header", True).option("compression", "gzip").csv(base + ".gz")
     assert S.scan_csv_any(spark, base, schema="a int").count() == 2
+
+
+def test_stream_monitor_resumes_without_duplicates(spark, tmp_path):
+    from modelwatch.streaming.monitor import monitor_stream
+    src, hist, ck = str(tmp_path / "src"), str(tmp_path / "hist"), str(tmp_path / "ck")
+    schema = "y_true int, y_score double"
+
+    def drop_file(i):
+        spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.6 + i / 100), (0, 0.4)], schema) \
+             .coalesce(1).write.mode("append").parquet(src)
+
+    for i in range(2):
+        drop_file(i)
+    monitor_stream(spark, src, schema, hist, files_per_batch=1, checkpoint=ck).awaitTermination()
+    first = spark.read.parquet(hist)
+    assert sorted(r["batch_id"] for r in first.collect()) == [0, 1]
+    assert all(r["status"] == "PASS" and r["n"] == 4 for r in first.collect())
+    drop_file(2)                                    # restart: only the new file is processed
+    monitor_stream(spark, src, schema, hist, files_per_batch=1, checkpoint=ck).awaitTermination()
+    assert sorted(r["batch_id"] for r in spark.read.parquet(hist).collect()) == [0, 1, 2]
