@@ -21,10 +21,6 @@ def is_numeric_type(dt: T.DataType) -> bool:
     return isinstance(dt, (T.NumericType, T.BooleanType))
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
-
-
 def split_columns(df: DataFrame, id_time_cols=PREP_ID_TIME_COLS) -> tuple[list[str], list[str]]:
     """(id/time columns present, numeric feature columns), both in frame order."""
     ids = [c for c in df.columns if c in id_time_cols]

@@ -31,11 +31,6 @@ def is_finite(c) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def finite_or_null(c) -> Column:
-    x = col(c).cast("double")
-    return F.when(is_finite(x), x)
-
-
 def numeric_coerce(c) -> Column:
     """``to_numeric(errors="coerce")``: anything unparsable becomes NULL."""
     return F.expr(f"try_cast({c} AS DOUBLE)") if isinstance(c, str) else c.try_cast("double")
@@ -58,10 +53,6 @@ def round6(c) -> Column:
     return F.round(col(c), ROUND_DIGITS)
 
 
-def safe_div(a, b) -> Column:
-    return F.try_divide(col(a), col(b))
-
-
 def derive_label(lactate_col: str | None = "lactate", threshold: float = 2.0) -> Column:
     """Demo label rule: ``coalesce(lactate, 0) >= 2.0`` as 0/1 (0 when the column is absent)."""
     if lactate_col is None:

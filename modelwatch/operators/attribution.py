@@ -60,8 +60,9 @@ def read_json_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalize_features(spark: SparkSession, path: str) -> DataFrame:
-    """Keys ``name``/``feature`` and ``mean_abs_impact``/``importance``; entries with no
-    name or a non-numeric impact are dropped. Sorted by impact descending per file."""
+    """(path, name, mean_abs_impact) per entry. Keys ``name``/``feature`` and
+    ``mean_abs_impact``/``importance``; entries with no name or a non-numeric impact are
+    dropped. Rank with ``top_features`` / ``orderBy`` when an order is needed."""
     e = _entries(read_json_files(spark, path))
     name = F.coalesce(F.col("e.name"), F.col("e.feature"))
     imp = F.coalesce(F.col("e.mean_abs_impact"), F.col("e.importance")).try_cast("double")
@@ -70,8 +71,9 @@ def normalize_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalize_features_alt(spark: SparkSession, path: str) -> DataFrame:
-    """Also keys ``column`` and ``mean_abs``; nameless entries are dropped (they would
-    otherwise become the text 'None'). Order: impact descending, then name."""
+    """Like ``normalize_features``, also accepting keys ``column`` and ``mean_abs``;
+    nameless entries are dropped (they would otherwise become the text 'None'). The
+    reference's order (impact descending, then name) is ``top_features_named``."""
     e = _entries(read_json_files(spark, path))
     name = F.coalesce(F.col("e.name"), F.col("e.feature"), F.col("e.column"))
     imp = F.coalesce(F.col("e.mean_abs_impact"), F.col("e.mean_abs"), F.col("e.importance")).try_cast("double")
@@ -79,11 +81,13 @@ def normalize_features_alt(spark: SparkSession, path: str) -> DataFrame:
             .where(F.col("name").isNotNull() & F.col("mean_abs_impact").isNotNull())
 
 
-def write_top_features(top: DataFrame, path: str, n_top: int | None = None) -> None:
-    """One JSON document {"n_top_features": k, "features": [{name, mean_abs_impact}]}.
+def write_top_features(top: DataFrame, path: str) -> None:
+    """One JSON document {"n_top_features": k, "features": [{name, mean_abs_impact}]},
+    features by impact descending (ties by position).
 
     ``top`` is already cut to k rows, so gathering it into one record is bounded by k."""
     doc = top.agg(F.sort_array(F.collect_list(F.struct(
+        F.negative("mean_abs_impact").alias("_k"),
         F.col("pos").alias("_pos") if "pos" in top.columns else F.lit(0).alias("_pos"),
         "name", "mean_abs_impact"))).alias("f"))
     doc = doc.select(F.size("f").alias("n_top_features"),

@@ -13,10 +13,12 @@ row into one task. This operator gives the same result with bounded tasks:
 4. ``sum().over(partitionBy(group, bucket).orderBy(key))`` plus the bucket offset is
    the global inclusive running total. Each window task holds about 1/B of a group.
 
-Everything stays lazy. The per-group side tables (cuts, offsets) have one row per
-group; when there are no groups they are scalar subqueries, otherwise they are joined
-on the group keys (broadcast when the caller can prove the group count is bounded,
-for example one group per column; otherwise AQE picks broadcast from runtime sizes).
+The pre-aggregated input is materialized once (an eager, reliable checkpoint into the
+shared checkpoint folder); everything after it is lazy. The cut points have one row
+per group: a scalar subquery when there are no groups, otherwise joined on the group
+keys (broadcast when the caller can prove the group count is bounded, for example one
+group per column; otherwise AQE picks broadcast from runtime sizes). The offsets have
+at most B rows per group and are joined on (group, bucket).
 """
 
 from __future__ import annotations
@@ -202,13 +204,3 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
         t = h - F.floor(h)
         outs.append(np_lerp(F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double"), t).alias(nm))
     return g.select(*by, "n", *outs)
-
-
-def window_is_partitioned(df: DataFrame) -> bool:
-    """Plan check used by tests: no window runs on a single partition."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return "SinglePartition" not in plan
-
-
-def col_or_name(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c

@@ -71,3 +71,12 @@ def test_stream_monitor_resumes_without_duplicates(spark, tmp_path):
     drop_file(2)                                    # restart: only the new file is processed
     monitor_stream(spark, src, schema, hist, files_per_batch=1, checkpoint=ck).awaitTermination()
     assert sorted(r["batch_id"] for r in spark.read.parquet(hist).collect()) == [0, 1, 2]
+
+
+def test_scan_json_report_counts_malformed(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"run_id": "r1", "auroc": 0.8}')
+    (tmp_path / "b.json").write_text('{"run_id": "r2", "auroc": ')
+    df = S.scan_json_report(spark, str(tmp_path), "run_id string, auroc double")
+    rows = {r["path"].rsplit("/", 1)[-1]: r for r in df.collect()}
+    assert rows["a.json"]["auroc"] == 0.8 and rows["a.json"]["_corrupt"] is None
+    assert rows["b.json"]["run_id"] is None and rows["b.json"]["_corrupt"] is not None
