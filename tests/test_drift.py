@@ -66,3 +66,10 @@ def test_no_columns(spark):
     assert D.drift_by_feature(b, b).count() == 0
     m = D.drift_max(D.drift_by_feature(b, b)).collect()[0]
     assert m["max_psi"] is None and m["max_ks"] is None
+
+
+def test_partition_count_invariance(pair):
+    _, _, b, c = pair
+    a = sorted(tuple(r) for r in D.drift_by_feature(b, c).collect())
+    z = sorted(tuple(r) for r in D.drift_by_feature(b.repartition(7), c.repartition(3), n_buckets=5).collect())
+    assert a == z

@@ -113,3 +113,21 @@ def test_no_single_partition_window(spark):
     specs = re.findall(r"Window \[.*?windowspecdefinition\((.*?)\)", plan)
     assert specs and all("_bucket" in s for s in specs)          # every window is partitioned by bucket
     assert not re.search(r"Window \[[^\n]*\], \[\], \[", plan)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 8)), min_size=2, max_size=60))
+def test_metrics_property_against_brute_force(spark, pairs):
+    y = [p[0] for p in pairs]
+    s = [p[1] / 8 for p in pairs]
+    got = M.performance_metrics(frame(spark, y, s), n_buckets=4).collect()[0]
+    if 0 < sum(y) < len(y):
+        exp = brute(y, s)
+        for k, v in exp.items():
+            assert got[k] == pytest.approx(round(v, 6), abs=2e-6), k
+    else:
+        assert got["auroc"] is None and got["ks_stat"] is None
