@@ -450,7 +450,7 @@ from modelwatch.operators import fairness as FA  # noqa: E402
 from modelwatch.operators import attribution as A  # noqa: E402
 from modelwatch.operators import gate as G  # noqa: E402
 from modelwatch.operators import history as H  # noqa: E402
-from modelwatch.plans import pipelines as PL  # noqa: E402
+from modelwatch.plans import runs as PL  # noqa: E402
 
 _RATES_SQL = (f"SELECT segment, 'positive_rate' AS metric, CAST(gender AS VARCHAR) AS \"group\", "
               f"round(avg(CASE WHEN TRY_CAST(label AS DOUBLE) = 1 THEN 1.0 ELSE 0.0 END), 6) AS value "

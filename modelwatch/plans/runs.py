@@ -1,5 +1,5 @@
-"""End-to-end plans built from the operators: the per-run observed record that the
-gates read, and the validation flow (metrics -> gate -> live record)."""
+"""Per-run plans built from the operators: metrics, parity gap and attribution per run,
+and the observed record per run that the gates read."""
 
 from __future__ import annotations
 
