@@ -172,7 +172,8 @@ def row_position(df: DataFrame, order: Sequence, lead: str | None = None, by: Se
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None, n_buckets: int | None = None,
                     broadcast_groups: bool = False, weight: str | None = None,
-                    small_group_rows: int | None = None) -> DataFrame:
+                    small_group_rows: int | None = None, approx: bool = False,
+                    approx_accuracy: int = 10000) -> DataFrame:
     """Exact quantiles per group, NumPy's ``linear`` method (``np.percentile`` default).
 
     Position h = (n-1)q; the result interpolates between the values at positions
@@ -180,9 +181,19 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     group is ever gathered into one task (unlike the ``percentile`` aggregate, which
     keeps every distinct value of a group in one buffer). NULLs are ignored.
     Returns one row per group: ``by`` columns, ``n`` and one column per quantile.
+
+    ``approx=True`` is the scale option: one ``percentile_approx`` pass (rank error
+    1 / ``approx_accuracy``, no checkpoint, no window); it returns observed values, not
+    interpolated ones.
     """
     by = list(by)
     names = list(names or [f"q{i}" for i in range(len(qs))])
+    if approx:
+        x = F.col(value)
+        g = df.where(x.isNotNull()).groupBy(*by).agg(
+            (F.sum(F.col(weight)) if weight else F.count(F.lit(1))).cast("long").alias("n"),
+            F.percentile_approx(x, [float(q) for q in qs], approx_accuracy).alias("_q"))
+        return g.select(*by, "n", *[F.col("_q")[i].cast("double").alias(nm) for i, nm in enumerate(names)])
     cnt = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
     pre = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
              .agg(cnt.cast("long").alias("_cnt")))

@@ -68,3 +68,11 @@ def test_running_totals_hybrid_small_and_hot_groups(spark):
     assert (got["cum_c"].to_numpy() == exp["cum"].to_numpy()).all()
     q = exact_quantiles(df, "k", [0.5], by=["g"], small_group_rows=50).toPandas().set_index("g")
     assert q.loc[-1, "q0"] == np.percentile(np.arange(2000.0), 50) and q.loc[5, "q0"] == 2.0
+
+
+def test_approx_quantiles_option(spark):
+    vals = np.arange(10001, dtype=float)
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    got = exact_quantiles(df, "v", [0.25, 0.5], approx=True).collect()[0]
+    assert got["n"] == 10001
+    assert abs(got["q0"] - 2500) <= 10001 / 10000 + 1 and abs(got["q1"] - 5000) <= 10001 / 10000 + 1
