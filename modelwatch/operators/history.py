@@ -25,7 +25,8 @@ ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 def history_record(runs: DataFrame, run_cols: Sequence[str] = ("run_id",)) -> DataFrame:
     """A history record per run: ts (UTC ISO text), status, auroc, ks_stat, min_auroc,
     min_ks, reasons. Status is the run's own gate status."""
-    return runs.select(*run_cols, F.date_format(F.current_timestamp(), ISO_UTC).alias("ts"),
+    now_utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return runs.select(*run_cols, F.date_format(now_utc, ISO_UTC).alias("ts"),
                        F.upper(F.coalesce(F.col("status"), F.lit(""))).alias("status"),
                        "auroc", "ks_stat", "min_auroc", "min_ks",
                        F.coalesce(F.col("reasons"), F.array().cast("array<string>")).alias("reasons"))
