@@ -739,8 +739,8 @@ def q_policy_registry(spark, sf):
 
 
 # ------------------------------------------------------------------ history (2.4, 2.5, 2.7)
-_HIST_LAST_SQL = ("SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) "
-                  "AS recency FROM ({src}) h) x WHERE recency <= {n}")
+_HIST_LAST_SQL = ("SELECT * FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) "
+                  "AS INTEGER) AS recency FROM ({src}) h) x WHERE recency <= {n}")
 
 
 def _hist(spark, sf):
