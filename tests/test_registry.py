@@ -50,3 +50,18 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.sql(ORACLE[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert _bag(df.columns, df.collect()) == _bag(rel.columns, rel.fetchall())
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "array<string>": "VARCHAR[]"}
+
+
+@pytest.mark.parametrize("name", SAMPLE)
+def test_query_types_match_oracle(spark, con, name):
+    from modelwatch.plans.registry import ORACLE, QUERIES
+    df = QUERIES[name](spark, SF)
+    rel = con.sql(ORACLE[name])
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(t, t) == duck[f.name], (f.name, t, duck[f.name])
