@@ -972,3 +972,15 @@ def q_union_chunks(spark, sf):
     labs = CO.scan_events_filtered(events, CO.item_lookup(fx.lab_items(spark, sf), list(_T)))
     return labs.groupBy("label").agg(F.count(F.lit(1)).cast("long").alias("rows"),
                                      round6(F.avg("valuenum")).alias("mean_value"))
+
+
+@register("prediction_rejects",
+          f"SELECT segment, CAST(SUM(CASE WHEN TRY_CAST(y_true AS INTEGER) IN (0, 1) AND y_score IS NOT NULL "
+          f"AND NOT isnan(y_score) THEN 1 ELSE 0 END) AS BIGINT) AS n_kept, "
+          f"CAST(SUM(CASE WHEN TRY_CAST(y_true AS INTEGER) IN (0, 1) AND y_score IS NOT NULL "
+          f"AND NOT isnan(y_score) THEN 0 ELSE 1 END) AS BIGINT) AS n_dropped "
+          f"FROM ({fx.PREDICTIONS_TEXT_SQL}) p GROUP BY segment")
+def q_prediction_rejects(spark, sf):
+    """Rows kept and dropped per segment by the prediction validity rule (bad label,
+    NULL or NaN score); the decided deviation D3 counts rather than hides them."""
+    return M.prediction_rejects(fx.predictions_text(spark, sf), by=SEG)
