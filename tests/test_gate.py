@@ -46,3 +46,20 @@ def test_audit_and_normalize(spark):
     assert res["result"] == "FAIL"
     df = spark.createDataFrame([("Passed",), ("oops",), (None,)], "status string")
     assert [r[0] for r in df.select(G.gate_status_normalize(df)).collect()] == ["pass", "fail", "fail"]
+
+
+def test_policy_file_thresholds_reach_checks(spark, tmp_path):
+    p = tmp_path / "policy.yaml"
+    p.write_text("drift:\n  psi_fail: 0.5\n  ks_fail: 0.05\nperformance:\n  min_auroc: 0.9\n  min_auprc: 0.1\n"
+                 "fairness:\n  parity_gap_fail: 0.3\nexplainability:\n  top_features_min: 5\n"
+                 "  require_shap_artifact: false\n")
+    pol = G.load_policy(str(p))
+    obs = spark.createDataFrame([("r", 0.3, 0.1, 0.85, 0.5, 0.2, False, 3)],
+                                "run_id string, max_psi double, max_ks double, auroc double, auprc double, "
+                                "parity_gap double, shap_artifact_present boolean, top_features_detected int")
+    got = {r["name"]: (r["threshold"], r["result"]) for r in G.gate_checks(obs, pol).collect()}
+    assert got["drift.psi"] == (0.5, "PASS") and got["drift.ks"] == (0.05, "FAIL")
+    assert got["performance.auroc"] == (0.9, "FAIL") and got["fairness.parity_gap"] == (0.3, "PASS")
+    assert got["explainability.shap_artifact_present"] == (0.0, "PASS")
+    assert got["explainability.top_features_min"] == (5.0, "FAIL")
+    assert G.policy_table(spark, pol).count() == 7
