@@ -80,3 +80,17 @@ def test_scan_json_report_counts_malformed(spark, tmp_path):
     rows = {r["path"].rsplit("/", 1)[-1]: r for r in df.collect()}
     assert rows["a.json"]["auroc"] == 0.8 and rows["a.json"]["_corrupt"] is None
     assert rows["b.json"]["run_id"] is None and rows["b.json"]["_corrupt"] is not None
+
+
+def test_scan_run_log_tracking_layout(spark, tmp_path):
+    for run, metrics in {"runA": {"auroc": "1700000000 0.91 0", "ks_stat": "1700000000 0.4 0"},
+                         "runB": {"auroc": "1700000100 0.55 1\n"}}.items():
+        d = tmp_path / "0" / run / "metrics"
+        d.mkdir(parents=True)
+        for m, line in metrics.items():
+            (d / m).write_text(line)
+    df = S.scan_run_log(spark, str(tmp_path))
+    got = sorted((r["run_id"], r["metric"], r["ts"], r["value"], r["step"]) for r in df.collect())
+    assert got == [("runA", "auroc", 1700000000, 0.91, 0), ("runA", "ks_stat", 1700000000, 0.4, 0),
+                   ("runB", "auroc", 1700000100, 0.55, 1)]
+    assert [r["run_id"] for r in S.list_runs(df).collect()] == ["runA", "runB"]
