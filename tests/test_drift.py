@@ -73,3 +73,14 @@ def test_partition_count_invariance(pair):
     a = sorted(tuple(r) for r in D.drift_by_feature(b, c).collect())
     z = sorted(tuple(r) for r in D.drift_by_feature(b.repartition(7), c.repartition(3), n_buckets=5).collect())
     assert a == z
+
+
+def test_report_flags_shifted_quantity(spark):
+    from conftest import SF001
+    from modelwatch.plans import fixtures as fx
+    b, c = fx.drift_pair_lineitem(spark, SF001, shift_quantity=1.2)
+    rep = {r["feature"]: r for r in D.drift_report(b, c).collect()}
+    assert rep["l_quantity"]["kind"] == "numeric" and rep["l_quantity"]["drift_flag"] is True
+    assert rep["l_returnflag"]["kind"] == "categorical" and rep["l_returnflag"]["ks"] is None
+    s = D.dataset_drift(D.drift_report(b, c)).first()
+    assert s["n_columns"] == len(rep) and s["n_drifted"] >= 1
