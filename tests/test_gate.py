@@ -63,3 +63,17 @@ def test_policy_file_thresholds_reach_checks(spark, tmp_path):
     assert got["explainability.shap_artifact_present"] == (0.0, "PASS")
     assert got["explainability.top_features_min"] == (5.0, "FAIL")
     assert G.policy_table(spark, pol).count() == 7
+
+
+def test_threshold_table_and_risk(spark):
+    m = spark.createDataFrame([("r1", 0.8, 0.05, 0.15), ("r2", None, 0.3, 0.05)],
+                              "run_id string, auroc double, ks_stat double, max_psi double")
+    t = {(r["run_id"], r["metric"]): r["status"] for r in G.threshold_table(m).collect()}
+    assert t[("r1", "AUROC")] == "PASS" and t[("r1", "KS Statistic")] == "FAIL"
+    assert t[("r1", "Max PSI")] == "WARN" and t[("r2", "AUROC")] == "—" and t[("r2", "Max PSI")] == "PASS"
+    runs = spark.createDataFrame([("a", "PASS", 0.8, 0.2, 3, 5), ("b", "FAIL", 0.8, 0.2, 3, 5),
+                                  ("c", "FAIL", None, 0.2, 0, 0)],
+                                 "run_id string, gate_status string, auroc double, ks_stat double, "
+                                 "n_fairness_slices int, n_top_features int")
+    r = {x["run_id"]: (x["risk_score"], x["risk_level"]) for x in G.risk_score(runs).collect()}
+    assert r == {"a": (0, "LOW"), "b": (2, "MEDIUM"), "c": (5, "HIGH")}
