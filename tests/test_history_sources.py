@@ -94,3 +94,17 @@ def test_scan_run_log_tracking_layout(spark, tmp_path):
     assert got == [("runA", "auroc", 1700000000, 0.91, 0), ("runA", "ks_stat", 1700000000, 0.4, 0),
                    ("runB", "auroc", 1700000100, 0.55, 1)]
     assert [r["run_id"] for r in S.list_runs(df).collect()] == ["runA", "runB"]
+
+
+def test_trust_audit_summary(spark):
+    perf = spark.createDataFrame([("r1", 10, 0.3), ("r2", None, None)], "run_id string, n long, ks_stat double")
+    gate = spark.createDataFrame([("r1", "pass")], "run_id string, status string")
+    fails = spark.createDataFrame([("m1", 100, 3), ("m2", 40, 2)], "model string, n_recent long, n_fail long")
+    top = spark.createDataFrame([(f"f{i}", float(i % 7), i) for i in range(40)],
+                                "name string, mean_abs_impact double, pos int")
+    out = {r["run_id"]: r for r in H.trust_audit_summary(perf, gate, fails, top).collect()}
+    assert out["r1"]["entries_evaluated"] == 10 and out["r1"]["policy_status"] == "PASS"
+    assert out["r2"]["entries_evaluated"] == 0 and out["r2"]["max_ks"] == 0.0 and out["r2"]["policy_status"] == "FAIL"
+    assert out["r1"]["drift_flags"] == 5
+    feats = out["r1"]["top_features"]
+    assert len(feats) == 25 and feats[:2] == ["f13", "f20"]        # impact 6.0, ties by name
