@@ -28,3 +28,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op2(spark, sf):
     from modelwatch.llm.simhash_dedup import simhash_groups
     return simhash_groups(table(spark, sf, "documents"), shingle=3, radius=2)
+
+
+@register("op3_sentencepiece_codec")
+def op3(spark, sf):
+    import public_tokenizers
+    from modelwatch.llm.piece_codec import piece_codes
+    return piece_codes(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+@register("op8_token_counts")
+def op8(spark, sf):
+    import public_tokenizers
+    from modelwatch.llm.token_counts import token_counts
+    return token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
