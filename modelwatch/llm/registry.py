@@ -42,3 +42,9 @@ def op8(spark, sf):
     import public_tokenizers
     from modelwatch.llm.token_counts import token_counts
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@register("op10_benchmark_decontamination")
+def op10(spark, sf):
+    from modelwatch.llm.decontaminate import leaks
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
