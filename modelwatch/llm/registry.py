@@ -48,3 +48,14 @@ def op8(spark, sf):
 def op10(spark, sf):
     from modelwatch.llm.decontaminate import leaks
     return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def _op9_sql() -> str:
+    from modelwatch.llm.line_templates import strip_templates_sql
+    return strip_templates_sql()
+
+
+@register("op9_line_templates", _op9_sql())
+def op9(spark, sf):
+    from modelwatch.llm.line_templates import strip_templates
+    return strip_templates(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
