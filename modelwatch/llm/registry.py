@@ -59,3 +59,15 @@ def _op9_sql() -> str:
 def op9(spark, sf):
     from modelwatch.llm.line_templates import strip_templates
     return strip_templates(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@register("op1_quality_classifier")
+def op1(spark, sf):
+    from modelwatch.llm.quality import quality
+    return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op4_language_id")
+def op4(spark, sf):
+    from modelwatch.llm.language_id import language_id
+    return language_id(table(spark, sf, "documents"))
