@@ -71,3 +71,16 @@ def op1(spark, sf):
 def op4(spark, sf):
     from modelwatch.llm.language_id import language_id
     return language_id(table(spark, sf, "documents"))
+
+
+@register("op6_toxicity")
+def op6(spark, sf):
+    from modelwatch.llm.toxicity import toxicity
+    out = toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return out.withColumn("n_offending", F.size("offending").cast("long")).drop("offending")
+
+
+@register("op7_lm_scoring")
+def op7(spark, sf):
+    from modelwatch.llm.lm_score import lm_scores
+    return lm_scores(table(spark, sf, "documents"))
