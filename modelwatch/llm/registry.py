@@ -84,3 +84,14 @@ def op6(spark, sf):
 def op7(spark, sf):
     from modelwatch.llm.lm_score import lm_scores
     return lm_scores(table(spark, sf, "documents"))
+
+
+def _op5_sql() -> str:
+    from modelwatch.llm.embedding_dedup import embedding_groups_sql
+    return embedding_groups_sql(0.9)
+
+
+@register("op5_embedding_dedup", _op5_sql())
+def op5(spark, sf):
+    from modelwatch.llm.embedding_dedup import embedding_groups
+    return embedding_groups(table(spark, sf, "embeddings"), threshold=0.9)

@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence's score is the logistic of a bias and the weights of its words; a document's is
-the noisy-or of its sentences, 1 - prod(1 - s). Only document labels are known; the
+A sentence's score is the logistic of a bias and the weights of its words and word
+beginnings (of 3, 4 and 5 letters, so that inflected forms share a weight); a document's
+is the noisy-or of its sentences, 1 - prod(1 - s). Only document labels are known; the
 gradient of their likelihood reaches the sentences through the noisy-or. Training:
 
 1. A bounded sample of labelled documents (a hash of the id picks ``fit_docs`` at most).
-2. Words counted per label over the sample; those clearly commoner in documents of label 1
-   (two-proportion z of at least ``min_z``) become features, ``max_words`` at most.
+2. Words and beginnings counted per label over the sample; those clearly commoner in
+   documents of label 1 (two-proportion z of at least ``min_z``) become features,
+   ``max_words`` at most.
 3. The sample's sentences become lists of feature ids, written once. Each gradient step is
    one Spark job: every partition returns its partial gradient, and Adam moves the weights.
 
@@ -33,6 +35,15 @@ from modelwatch.llm.common import bounded, chunks, id_remainder, save
 FIT_DOCS, MAX_WORDS, STEPS, PARTS = 30_000, 4096, 40, 8
 SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
 WORD = re.compile(r"\w+").findall
+BEGINNINGS, CACHE = (3, 4, 5), 400_000
+
+
+def features(words) -> set[str]:
+    """The words and, marked with a star, their beginnings."""
+    own = set(words)
+    for k in BEGINNINGS:
+        own |= {w[:k] + "*" for w in words if len(w) >= k}
+    return own
 
 
 def softplus(z):
@@ -43,20 +54,38 @@ def sigmoid(z):
     return np.exp(-softplus(-z))
 
 
+class _Ids(dict):
+    """Word -> its feature ids, worked out once per word."""
+
+    def __init__(self, names):
+        super().__init__()
+        self.names = names
+
+    def __missing__(self, word):
+        self[word] = out = [self.names[f] for f in features([word]) if f in self.names]
+        return out
+
+
 class Model:
     def __init__(self, words: list[str], weight: np.ndarray, bias: float):
         self.words, self.weight, self.bias = {w: i for i, w in enumerate(words)}, weight, bias
+        self.ids = _Ids(self.words)
+
+    def __reduce__(self):
+        return Model, (list(self.words), self.weight, self.bias)
 
     def sentences(self, text: str) -> tuple[int, list[tuple[int, int, int, list[int]]]]:
         """How many sentences hold no feature, and (index, start, end, feature ids) of the others."""
-        own = self.words
-        if own.keys().isdisjoint(WORD(text.lower())):
+        own = self.ids
+        if len(own) > CACHE:
+            own.clear()
+        if not any(map(own.__getitem__, set(WORD(text.lower())))):
             return len(SENTENCE.findall(text)), []
         found, n = [], 0
         for n, m in enumerate(SENTENCE.finditer(text), 1):
-            ids = [own[w] for w in set(WORD(m[0].lower())) if w in own]
+            ids = {i for w in WORD(m[0].lower()) for i in own[w]}
             if ids:
-                found.append((n - 1, m.start(), m.end(), ids))
+                found.append((n - 1, m.start(), m.end(), sorted(ids)))
         return n - len(found), found
 
     def score(self, text: str, sentence_cut: float) -> tuple[float, int, list[dict]]:
@@ -85,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fit_docs: int = FIT_DOCS
         for pdf in chunks(frames, 4_000_000):
             seen = [Counter(), Counter()]
             for t, y in zip(pdf["text"], pdf["y"]):
-                seen[int(y)].update(set(WORD(t.lower())))
+                seen[int(y)].update(features(set(WORD(t.lower()))))
             w = list(seen[0].keys() | seen[1].keys())
             yield pd.DataFrame({"word": w, "neg": [seen[0][x] for x in w], "pos": [seen[1][x] for x in w]})
 
