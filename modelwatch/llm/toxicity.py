@@ -7,10 +7,11 @@ gradient of their likelihood reaches the sentences through the noisy-or. Trainin
 
 1. A bounded sample of labelled documents (a hash of the id picks ``fit_docs`` at most).
 2. Words and beginnings counted per label over the sample; those clearly commoner in
-   documents of label 1 (two-proportion z of at least ``min_z``) become features,
-   ``max_words`` at most.
+   documents of label 1 (two-proportion z of at least ``min_z``, ``min_lift`` times the
+   share) become features, ``max_words`` at most.
 3. The sample's sentences become lists of feature ids, written once. Each gradient step is
    one Spark job: every partition returns its partial gradient, and Adam moves the weights.
+   Documents of label 1 count ``positive`` times, as they are the few.
 
 The trained model then scores every whole text and locates its offending sentences (score
 of at least ``sentence_cut``) by index and character span.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from modelwatch.llm.common import bounded, chunks, id_remainder, save
 
-FIT_DOCS, MAX_WORDS, STEPS, PARTS = 30_000, 4096, 40, 8
+FIT_DOCS, MAX_WORDS, STEPS, PARTS = 30_000, 4096, 60, 4
 SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
 WORD = re.compile(r"\w+").findall
 BEGINNINGS, CACHE = (3, 4, 5), 400_000
@@ -99,7 +100,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS,
-        min_z: float = 4.0, steps: int = STEPS, rate: float = 0.3, decay: float = 1e-4) -> Model:
+        min_z: float = 4.0, min_lift: float = 3.0, positive: float = 3.0,
+        steps: int = STEPS, rate: float = 0.5, decay: float = 1e-4) -> Model:
     spark = docs.sparkSession
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     sample = bounded(marked, "doc_id", fit_docs)     # at most fit_docs ids, so safe to broadcast
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fit_docs: int = FIT_DOCS
     counted = rows.mapInPandas(words, "word string, neg long, pos long").groupBy("word").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     p1, p0, p = F.col("pos") / pos, F.col("neg") / (n - pos), (F.col("pos") + F.col("neg")) / n
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)) + 1e-12)
-    best = (counted.where("pos >= 3").withColumn("z", z).where(F.col("z") >= min_z)
+    best = (counted.where("pos >= 3").withColumn("z", z).where((F.col("z") >= min_z) & (p1 >= min_lift * p0))
             .orderBy(F.desc("z"), "word").limit(max_words).toPandas())
     odds = np.log((best["pos"] + 0.5) / (pos + 1)) - np.log((best["neg"] + 0.5) / (n - pos + 1))
     model = Model(best["word"].tolist(), np.clip(odds.to_numpy(dtype=np.float64), -4, 4), -6.0)
@@ -135,17 +137,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fit_docs: int = FIT_DOCS
             yield pd.DataFrame({"y": pdf["y"], "plain": [a for a, _ in own], "sizes": [[len(x[3]) for x in b] for _, b in own],
                                 "ids": [[i for x in b for i in x[3]] for _, b in own]})
 
-    bags = save(rows.mapInPandas(instances, "y double, plain long, sizes array<int>, ids array<int>").coalesce(PARTS), "bags")
+    bags = save(rows.mapInPandas(instances, "y double, plain long, sizes array<int>, ids array<int>"), "bags")
+    # Texts of label 0 without features act on the bias alone, through their number of sentences.
+    bare = (F.col("y") == 0) & (F.size("ids") == 0)
+    rest = bags.where(bare).agg(F.sum("plain")).first()[0] or 0
+    bags = bags.where(~bare).coalesce(PARTS)
     theta = np.concatenate([model.weight, [model.bias]])
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        grad = gradient(bags, theta) / n + decay * np.concatenate([theta[:-1], [0.0]])
+        grad = gradient(bags, theta, positive)
+        grad[-1] += rest * sigmoid(theta[-1])
+        grad = grad / n + decay * np.concatenate([theta[:-1], [0.0]])
         m1, m2 = 0.8 * m1 + 0.2 * grad, 0.95 * m2 + 0.05 * grad ** 2
         theta = theta - rate * (m1 / (1 - 0.8 ** step)) / (np.sqrt(m2 / (1 - 0.95 ** step)) + 1e-8)
     return Model(best["word"].tolist(), theta[:-1], float(theta[-1]))
 
 
-def gradient(bags: DataFrame, theta: np.ndarray) -> np.ndarray:
+def gradient(bags: DataFrame, theta: np.ndarray, positive: float) -> np.ndarray:
     """Gradient of the documents' negative log-likelihood: one partial sum per partition."""
     size = len(theta)
 
@@ -161,7 +169,7 @@ def gradient(bags: DataFrame, theta: np.ndarray) -> np.ndarray:
             bag = np.repeat(np.arange(len(y)), n_sent)
             z = theta[-1] + np.bincount(of, weights=theta[ids], minlength=len(sent))
             total = plain * softplus(theta[-1]) + np.bincount(bag, weights=softplus(z), minlength=len(y))
-            outer = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0)     # d loss / d total
+            outer = np.where(y > 0, -positive / np.expm1(np.clip(total, 1e-9, 500)), 1.0)     # d loss / d total
             inner = outer[bag] * sigmoid(z)
             out[:-1] += np.bincount(ids, weights=inner[of], minlength=size - 1)
             out[-1] += inner.sum() + (outer * plain).sum() * sigmoid(theta[-1])
