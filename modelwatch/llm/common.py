@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -67,6 +67,25 @@ def chunks(frames: Iterator[pd.DataFrame], chars: int, col: str = "text") -> Ite
             lo = hi
 
 
+def per_text(docs: DataFrame, keep: list, make: Callable, schema: str, chars: int = 4_000_000) -> DataFrame:
+    """``keep`` columns of every row, with the columns that a text function computes.
+
+    ``make()`` runs once per task and returns a function from a list of texts (None for
+    null) to a dict of equally long columns named as in ``schema``. Only the text goes
+    through Python, about ``chars`` characters at a time.
+    """
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        work = make()
+        for series in batches:
+            parts = [pd.DataFrame(work([t if isinstance(t, str) else None for t in p["text"]]))
+                     for p in chunks(iter([pd.DataFrame({"text": series})]), chars)]
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(work([]))
+
+    out = docs.select(*keep, run(F.col("text").cast("string")).alias("_made"))
+    return out.select(*[c for c in out.columns if c != "_made"], "_made.*")
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable over the pairs (a[i], b[i]) for each of 0 .. n-1."""
     root = np.arange(n)

@@ -23,15 +23,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from typing import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import chunks
+from modelwatch.llm.common import per_text
 
 WORD = re.compile(r"\w+").findall
 BLOCK_ITEMS = 2048
@@ -176,37 +174,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
     spark = docs.sparkSession
     keep = list(keep or ["doc_id"])
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    own = docs.select(*keep, *([] if "text" in keep else ["text"]))
     items = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string"))
-    # Read block by block; only one block's texts and index are held at a time.
-    total = items.count()
-    n_blocks = max(1, -(-total // block_items))
-    out = own
+    # Read block by block; only one block's texts and index are on the driver at a time.
+    n_blocks = max(1, -(-items.count() // block_items))
+    out, made = docs.select(F.struct(*keep).alias("_row"), "text"), []
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect() if n_blocks > 1 else items.collect()
         index = spark.sparkContext.broadcast(Index([tuple(r) for r in rows], shingle, radius, threshold))
-        out = _block(out, index, kind, b)
-    names = ["contaminated", "item_ids", "similarity"]
-    return out.select(*keep, (F.size("_items") > 0).alias(names[0]),
-                      F.array_sort("_items").alias(names[1]), F.col("_best").alias(names[2]))
+        out = per_text(out, [c for c in out.columns], _matcher(index, b), f"_ids{b} array<{kind}>, _best{b} double", 8_000_000)
+        made.append(b)
+    ids = F.array_sort(F.concat(*[f"_ids{b}" for b in made]))
+    best = F.greatest(*[f"_best{b}" for b in made]) if len(made) > 1 else F.col("_best0")
+    return out.select("_row.*", (F.size(ids) > 0).alias("contaminated"), ids.alias("item_ids"), best.alias("similarity"))
 
 
-def _block(docs: DataFrame, index, kind: str, b: int) -> DataFrame:
-    """Adds this block's matches to the columns _items and _best (made by the first block)."""
-    base = [f for f in docs.schema if f.name not in ("_items", "_best")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _matcher(index, b: int):
+    def make():
         seen: dict[str, int] = {}
-        for pdf in chunks(frames, 8_000_000):
-            ids, best = [], []
-            for t in pdf["text"]:
-                m = index.value.match(word_hashes(WORD(t.lower()), seen)) if isinstance(t, str) and index.value.known else {}
-                ids.append(list(m))
-                best.append(max(m.values(), default=0.0))
-            if b:
-                ids = [list(x) + y for x, y in zip(pdf["_items"], ids)]
-                best = np.maximum(best, pdf["_best"].to_numpy())
-            yield pdf[[f.name for f in base]].assign(_items=ids, _best=best)
-
-    return docs.mapInPandas(run, f"{fields}, _items array<{kind}>, _best double")
+
+        def work(texts):
+            found = [index.value.match(word_hashes(WORD(t.lower()), seen)) if t and index.value.known else {} for t in texts]
+            return {f"_ids{b}": [list(m) for m in found], f"_best{b}": [float(max(m.values(), default=0.0)) for m in found]}
+        return work
+    return make

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import chunks, id_remainder, save, slot_of
+from modelwatch.llm.common import chunks, id_remainder, per_text, save, slot_of
 
 #: Slots of the filter and hashes per n-gram; letters per n-gram.
 SLOT_BITS, HASHES, N = 20, 2, 3
@@ -72,7 +72,9 @@ class Model:
         fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
         self.rate = np.minimum(fill ** HASHES, 0.999)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        if not texts:
+            return [], np.zeros(0), np.zeros(0, dtype=np.int64)
         if self.letters is None:
             self.letters = letter_map()
         m = len(texts)
@@ -96,12 +98,12 @@ class Model:
                 pred.append("und")
             else:
                 pred.append(self.langs[best[i]] if score[i] > 0 else self.prior)
-        return pred, np.where([p == "und" for p in pred], 0.0, score)
+        return pred, np.where([p == "und" for p in pred], 0.0, score), total
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, typical: float = 0.5, least: float = 1e-5) -> Model:
     """Learn from the rows of ``docs`` (text, lang; doc_id only picks the bounded sample)."""
-    docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    docs = docs.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     width = max(1, -(-len(langs) // 64))
@@ -141,23 +143,28 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, typical: float = 0.5, least:
     return Model(langs, max(langs, key=lambda x: sizes[x]), table)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row with lang_pred and score."""
+def identify(docs: DataFrame, model: Model, keep: list) -> DataFrame:
+    """``keep`` columns of every row with lang_pred, score and n_grams (n-grams in the text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(*keep, *([] if "text" in keep else [F.col("text")]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(frames, CHARS):
-            pred, score = shared.value.predict(pdf["text"].fillna("").tolist())
-            yield pdf[keep].assign(lang_pred=pred, score=score)
+    def make():
+        def work(texts):
+            pred, score, n = shared.value.predict([t or "" for t in texts])
+            return {"lang_pred": pred, "score": score, "n_grams": n}
+        return work
+
+    return per_text(docs, keep, make, "lang_pred string, score double, n_grams long", CHARS)
+
 
-    return own.mapInPandas(run, f"{fields}, lang_pred string, score double")
+def accepted(docs: DataFrame, model: Model, least: float = 0.3, sure: int = 20) -> DataFrame:
+    """The rows of ``docs`` in a known language: not ``und``, and not a text of at least
+    ``sure`` n-grams of which the best language knows a share below ``least``."""
+    told = identify(docs, model, [F.struct(*docs.columns).alias("_row"), F.col("text")])
+    return told.where((F.col("lang_pred") != "und") & ((F.col("score") >= least) | (F.col("n_grams") < sure))).select("_row.*")
 
 
 def language_id(docs: DataFrame, folds: int = 5, held: int = 0, **options) -> DataFrame:
     """doc_id, held_out (crc32 of the id modulo ``folds`` is ``held``), lang_pred, score.
     Learns only from the other rows with a language."""
     model = fit(docs.where(id_remainder(folds) != held), **options)
-    own = docs.select("doc_id", (id_remainder(folds) == held).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return identify(own, model, ["doc_id", "held_out"])
+    return identify(docs, model, ["doc_id", (id_remainder(folds) == held).alias("held_out")])

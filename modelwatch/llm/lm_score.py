@@ -44,7 +44,7 @@ BATCH_TOKENS, BUCKET_ENTRIES, PRIOR = 1_000_000, 2_000_000, 4.0
 #: Names that no word can have, as words hold no space.
 END, START = (xxhash.xxh64_intdigest(x) for x in (b" end", b" start"))
 LOW = np.uint64((1 << 56) - 1)
-BATCH_FIELDS = "batch long, doc_id array<long>, held array<boolean>, sizes array<int>, words binary, codes binary"
+BATCH_FIELDS = "batch long, doc_id array<long>, no_id array<boolean>, held array<boolean>, sizes array<int>, words binary, codes binary"
 
 
 class _Numbers(dict):
@@ -57,7 +57,7 @@ def batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
     """One row per batch of texts (docs: doc_id, held_out, text)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, k = TaskContext.get().partitionId() << 32, 0
-        numbers, codes, ids, held, sizes, n = _Numbers(), [], [], [], [], 0
+        numbers, codes, ids, no_id, held, sizes, n = _Numbers(), [], [], [], [], [], 0
 
         def flush():
             words = np.array([END] + [xxhash.xxh64_intdigest(w) for w in list(numbers)[1:]], dtype="<u8")
@@ -65,23 +65,24 @@ def batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
             order = np.argsort(-np.bincount(c, minlength=len(words)), kind="stable")   # frequent words get small numbers
             rank = np.empty(len(order), dtype="<i4")
             rank[order] = np.arange(len(order))
-            return pd.DataFrame({"batch": [first + k], "doc_id": [ids], "held": [held], "sizes": [sizes],
+            return pd.DataFrame({"batch": [first + k], "doc_id": [ids], "no_id": [no_id], "held": [held], "sizes": [sizes],
                                  "words": [words[order].tobytes()], "codes": [rank[c].tobytes()]})
 
         numbers[None]
         for pdf in frames:
-            for i, h, t in zip(pdf["doc_id"].astype(object), pdf["held_out"], pdf["text"]):
+            for i, none, h, t in zip(pdf["doc_id"], pdf["no_id"], pdf["held_out"], pdf["text"]):
                 words = t.encode("utf-8", "replace").lower().split() if isinstance(t, str) else []
                 own = np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))
                 codes.append(np.append(own, np.int32(0)))
-                ids.append(None if pd.isna(i) else int(i))
+                ids.append(int(i))
+                no_id.append(bool(none))
                 held.append(bool(h))
                 sizes.append(len(words) + 1)
                 n += len(words) + 1
                 if n >= batch_tokens:
                     yield flush()
                     k += 1
-                    numbers, codes, ids, held, sizes, n = _Numbers(), [], [], [], [], 0
+                    numbers, codes, ids, no_id, held, sizes, n = _Numbers(), [], [], [], [], [], 0
                     numbers[None]
         if ids:
             yield flush()
@@ -196,7 +197,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, prior: float = PRI
     """doc_id, held_out (crc32 of the id modulo ``folds`` is ``held``), n_tokens, n_known,
     train_tokens, base_score (add-one unigrams), score (the automaton)."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(folds) == held).alias("held_out"),
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), (id_remainder(folds) == held).alias("held_out"),
                       F.col("text").cast("string").alias("text"))
     table = save(batches(own, batch_tokens), "batches")
     size = table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
@@ -219,7 +220,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, prior: float = PRI
                     totals.append(t)
                 auto = Automaton(mine, *totals, tokens, known, prior)
                 yield pd.DataFrame({
-                    "doc_id": pd.array(list(r.doc_id), dtype="Int64"), "held_out": list(r.held), "n_tokens": mine.sizes,
+                    "doc_id": pd.arrays.IntegerArray(np.asarray(r.doc_id, dtype=np.int64), np.asarray(r.no_id, dtype=bool)), "held_out": list(r.held), "n_tokens": mine.sizes,
                     "n_known": np.add.reduceat((totals[0] > 0)[mine.codes].astype(np.int64), mine.offset), "train_tokens": tokens,
                     "base_score": np.add.reduceat(auto.root_arc[mine.codes], mine.offset), "score": auto.run(mine)})
 

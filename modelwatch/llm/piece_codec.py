@@ -22,14 +22,11 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from typing import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from modelwatch.llm.common import chunks
+from modelwatch.llm.common import per_text
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -235,22 +232,20 @@ def piece_codes(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     little-endian int32), round_trip (decoding the ids gives the text back)."""
     model = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
     uid = uuid.uuid4().hex
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = _OWN.get(uid)
         if codec is None:
             _OWN.clear()
             codec = _OWN[uid] = Codec(model.value)
-        for part in chunks(frames, CHARS):
-            texts = part["text"].fillna("").tolist()
+
+        def work(texts):
+            texts = [t or "" for t in texts]
             codes = codec.encode(texts)
-            cols = {"doc_id": part["doc_id"].to_numpy(), "n_pieces": [len(c) // 4 for c in codes]}
-            if with_ids:
-                cols["ids"] = [np.frombuffer(c, dtype="<i4") for c in codes]
-            cols["ids_crc32"] = [zlib.crc32(c) for c in codes]
-            cols["round_trip"] = [codec.decode(c) == t.encode("utf-8", "replace") for c, t in zip(codes, texts)]
-            yield pd.DataFrame(cols)
+            return {"n_pieces": [len(c) // 4 for c in codes],
+                    **({"ids": [np.frombuffer(c, dtype="<i4") for c in codes]} if with_ids else {}),
+                    "ids_crc32": [zlib.crc32(c) for c in codes],
+                    "round_trip": [codec.decode(c) == t.encode("utf-8", "replace") for c, t in zip(codes, texts)]}
+        return work
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInPandas(
-        run, f"doc_id {kind}, n_pieces long, {'ids array<int>, ' if with_ids else ''}ids_crc32 long, round_trip boolean")
+    return per_text(docs, ["doc_id"], make, f"n_pieces long, {'ids array<int>, ' if with_ids else ''}ids_crc32 long, round_trip boolean", CHARS)

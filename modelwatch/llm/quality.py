@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import bounded, chunks, id_remainder, save, slot_of
+from modelwatch.llm.common import bounded, id_remainder, per_text, save, slot_of
 
 FIT_ROWS, FEATURES, RIDGE, BINS, SEED = 100_000, 256, 1.0, 1024, 11
 #: Partial sums of the normal equations that reach the driver at the most.
@@ -61,13 +61,12 @@ def statistics(text: str) -> list[float]:
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and one double per statistic."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(frames, 8_000_000):
-            x = np.array([statistics(t) for t in pdf["text"].fillna("")]).reshape(len(pdf), len(NAMES))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()} | {c: x[:, i] for i, c in enumerate(NAMES)})
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(
-        run, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in NAMES))
+    def make():
+        def work(texts):
+            x = np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(NAMES))
+            return {c: x[:, i] for i, c in enumerate(NAMES)}
+        return work
+    return per_text(docs, ["doc_id"], make, ", ".join(f"{c} double" for c in NAMES))
 
 
 class Model:
@@ -125,7 +124,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, fit_rows: int = FIT_ROW
             xy += x.T @ pdf["_y"].to_numpy()
         yield pd.DataFrame({"xx": [xx.tobytes()], "xy": [xy.tobytes()]})
 
-    sums = part.where("not _c").drop("_c").coalesce(PARTS).mapInPandas(equations, "xx binary, xy binary").collect()
+    sums = part.where("not _c").coalesce(PARTS).select("_y", *NAMES).mapInPandas(equations, "xx binary, xy binary").collect()
     xx = sum(np.frombuffer(bytes(r["xx"])).reshape(size, size) for r in sums)
     xy = sum(np.frombuffer(bytes(r["xy"])) for r in sums)
     model.beta = np.linalg.solve(xx + ridge * np.eye(size), xy)
@@ -136,7 +135,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, fit_rows: int = FIT_ROW
             r = shared.value.raw(pdf[NAMES].to_numpy())
             yield pd.DataFrame({"bin": np.clip(((r + 0.5) / 2 * BINS).astype(np.int64), 0, BINS - 1), "r": r, "y": pdf["_y"].to_numpy()})
 
-    bins = (part.where("_c").drop("_c").mapInPandas(scored, "bin long, r double, y double").groupBy("bin")
+    bins = (part.where("_c").select("_y", *NAMES).mapInPandas(scored, "bin long, r double, y double").groupBy("bin")
             .agg(F.avg("r").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("bin"))
     if len(bins):
         x, y = pool(bins["x"].to_numpy(), bins["y"].to_numpy(), bins["n"].to_numpy(dtype=np.float64))
@@ -157,11 +156,10 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: i
     model = fit(stats.where(id_remainder(folds) != held), labels, label, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            s = shared.value.score(pdf[NAMES].to_numpy())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= cut).astype(np.int32)})
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(shared.value.score(x[NAMES].to_numpy()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stats.withColumn("held_out", id_remainder(folds) == held).mapInPandas(
-        run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    out = stats.select("doc_id", (id_remainder(folds) == held).alias("held_out"), score(F.struct(*NAMES)).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))

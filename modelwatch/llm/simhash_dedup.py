@@ -22,15 +22,13 @@ ignored.
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import bounded, components, drop, local_roots, save
+from modelwatch.llm.common import bounded, components, drop, local_roots, per_text, save
 
 BLOCKS = np.array([0xFFFF << s for s in (0, 16, 32, 48)], dtype=np.uint64)
 #: Sampled fingerprints that shape the shards, home rows a shard aims at, rows of a bucket.
@@ -60,11 +58,9 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): ``fp`` is the fingerprint as a signed long."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    def make():
+        return lambda texts: {"fp": np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)}
+    return per_text(docs, [F.col("doc_id").cast("long").alias("doc_id")], make, "fp long")
 
 
 class Tree:

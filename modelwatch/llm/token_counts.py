@@ -18,14 +18,11 @@ import json
 import re
 import unicodedata
 import uuid
-from typing import Iterator
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from modelwatch.llm.common import chunks
+from modelwatch.llm.common import per_text
 
 #: White space of str.split that the tokenizer's pattern may see otherwise.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -104,17 +101,16 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     uid = uuid.uuid4().hex
     model = spark.sparkContext.broadcast((spec, proven_whole(spec)))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         counter = _OWN.get(uid)
         if counter is None:
             _OWN.clear()
             counter = _OWN[uid] = Counter(*model.value)
-        for part in chunks(frames, CHARS):
-            texts = part["text"].fillna("").tolist()
+
+        def work(texts):
+            texts = [t or "" for t in texts]
             n = counter.count(texts)
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(),
-                                "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts],
-                                "n_tokens": n, "over_limit": [x > limit for x in n]})
+            return {"n_bytes": [len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+        return work
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInPandas(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return per_text(docs, ["doc_id"], make, "n_bytes long, n_tokens long, over_limit boolean", CHARS)

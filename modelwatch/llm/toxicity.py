@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import bounded, chunks, id_remainder, save
+from modelwatch.llm.common import bounded, chunks, id_remainder, per_text, save
 
 FIT_DOCS, MAX_WORDS, STEPS, PARTS = 30_000, 4096, 60, 4
 SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
@@ -186,14 +186,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     model = fit(docs.where(id_remainder(folds) != held), labels.where(id_remainder(folds) != held), label, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(frames, 4_000_000):
-            own = [shared.value.score(t, sentence_cut) for t in pdf["text"].fillna("")]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "score": [x[0] for x in own],
-                                "predicted": np.array([x[0] >= cut for x in own], dtype=np.int32),
-                                "n_sentences": [x[1] for x in own], "offending": [x[2] for x in own]})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", (id_remainder(folds) == held).alias("held_out"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_sentences long, "
-             "offending array<struct<index: int, start: int, end: int, score: double>>")
+    def make():
+        def work(texts):
+            own = [shared.value.score(t or "", sentence_cut) for t in texts]
+            return {"score": [x[0] for x in own], "predicted": np.array([x[0] >= cut for x in own], dtype=np.int32),
+                    "n_sentences": [x[1] for x in own], "offending": [x[2] for x in own]}
+        return work
+
+    return per_text(docs, ["doc_id", (id_remainder(folds) == held).alias("held_out")], make,
+                    "score double, predicted int, n_sentences long, "
+                    "offending array<struct<index: int, start: int, end: int, score: double>>")
