@@ -27,11 +27,16 @@ from pyspark.sql import functions as F
 from modelwatch.llm.common import save
 
 FIELD = "<*>"
+#: Hash slots of the first look at shared leaves (a broadcast of that many numbers at most).
+SLOTS = 1 << 20
 
 
 def masked_line(line: Column) -> Column:
     """Tokens joined by single spaces, those with digits as variable fields."""
-    norm = F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))
+    odd = line.contains("  ")
+    for c in "\t\r\v\f":
+        odd = odd | line.contains(c)
+    norm = F.trim(F.when(odd, F.regexp_replace(line, r"[\x09-\x0D\x20]+", " ")).otherwise(line))
     return F.when(norm.rlike("[0-9]"), F.regexp_replace(norm, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(norm)
 
 
@@ -44,12 +49,18 @@ def strip_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     lines = lines.withColumn("n_tok", n_tok).withColumn("h", F.xxhash64("masked")).withColumn(
         "leaf", F.xxhash64("n_tok", F.substring_index("masked", " ", depth)))
 
-    rows = save(lines.select("doc_id", "_th", "line_no", "h", "leaf"), "lines")
+    lines = save(lines, "lines")
+    rows = lines.select("doc_id", "_th", "line_no", "h", "leaf")
     kinds = rows.groupBy("leaf", "h").agg(F.min("doc_id").alias("low"))
-    shared = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
+    shared = save(kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf"), "leaves")
+    # A first look by hash slot, SLOTS rows at the most whatever the corpus, so that few
+    # lines of other leaves carry their text through the exact join.
+    slot = F.pmod("leaf", F.lit(SLOTS)).alias("slot")
+    slots = F.broadcast(shared.select(slot).distinct())
 
     # Leaf templates: the most frequent token of every position, counted over different lines.
-    words = (lines.where(F.col("n_tok") > depth).select("h", "leaf", "n_tok", "masked").join(shared, "leaf", "left_semi")
+    words = (lines.where(F.col("n_tok") > depth).select("h", "leaf", "n_tok", "masked", slot)
+             .join(slots, "slot", "left_semi").drop("slot").join(shared, "leaf", "left_semi")
              .dropDuplicates(["h", "leaf"]).select("h", "leaf", "n_tok", F.posexplode(F.split("masked", " ")).alias("pos", "tok")))
     words = save(words, "words")
     top = (words.groupBy("leaf", "pos", "tok").agg(F.count(F.lit(1)).alias("n"))
