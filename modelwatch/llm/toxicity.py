@@ -9,9 +9,10 @@ gradient of their likelihood reaches the sentences through the noisy-or. Trainin
 2. Words and beginnings counted per label over the sample; those clearly commoner in
    documents of label 1 (two-proportion z of at least ``min_z``, ``min_lift`` times the
    share) become features, ``max_words`` at most.
-3. The sample's sentences become lists of feature ids, written once. Each gradient step is
-   one Spark job: every partition returns its partial gradient, and Adam moves the weights.
-   Documents of label 1 count ``positive`` times, as they are the few.
+3. The sample's sentences become lists of feature ids, written once. Training goes in
+   ``rounds`` of parameter mixing, one Spark job each: every partition takes ``steps`` Adam
+   steps on its own documents from the shared weights, and the mean of the partitions'
+   weights starts the next round. Documents of label 1 count ``positive`` times.
 
 The trained model then scores every whole text and locates its offending sentences (score
 of at least ``sentence_cut``) by index and character span.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from modelwatch.llm.common import bounded, chunks, id_remainder, per_text, save
 
-FIT_DOCS, MAX_WORDS, STEPS, PARTS = 30_000, 4096, 60, 4
+FIT_DOCS, MAX_WORDS, ROUNDS, STEPS, PARTS = 30_000, 4096, 8, 12, 4
 SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
 WORD = re.compile(r"\w+").findall
 BEGINNINGS, CACHE = (3, 4, 5), 400_000
@@ -101,7 +102,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS,
         min_z: float = 4.0, min_lift: float = 3.0, positive: float = 3.0,
-        steps: int = STEPS, rate: float = 0.5, decay: float = 1e-4) -> Model:
+        rounds: int = ROUNDS, steps: int = STEPS, rate: float = 0.5, decay: float = 1e-4) -> Model:
     spark = docs.sparkSession
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     sample = bounded(marked, "doc_id", fit_docs)     # at most fit_docs ids, so safe to broadcast
@@ -143,39 +144,46 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fit_docs: int = FIT_DOCS
     rest = bags.where(bare).agg(F.sum("plain")).first()[0] or 0
     bags = bags.where(~bare).coalesce(PARTS)
     theta = np.concatenate([model.weight, [model.bias]])
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        grad = gradient(bags, theta, positive)
-        grad[-1] += rest * sigmoid(theta[-1])
-        grad = grad / n + decay * np.concatenate([theta[:-1], [0.0]])
-        m1, m2 = 0.8 * m1 + 0.2 * grad, 0.95 * m2 + 0.05 * grad ** 2
-        theta = theta - rate * (m1 / (1 - 0.8 ** step)) / (np.sqrt(m2 / (1 - 0.95 ** step)) + 1e-8)
-    return Model(best["word"].tolist(), theta[:-1], float(theta[-1]))
 
+    def mix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = pd.concat([pd.DataFrame(columns=["y", "plain", "sizes", "ids"]), *frames])
+        if len(own):
+            grad = loss_gradient(own, rest * len(own) / left, positive)
+            t, m1, m2 = theta.copy(), np.zeros_like(theta), np.zeros_like(theta)
+            for step in range(1, steps + 1):
+                g = grad(t) / (n * len(own) / left) + decay * np.concatenate([t[:-1], [0.0]])
+                m1, m2 = 0.8 * m1 + 0.2 * g, 0.95 * m2 + 0.05 * g ** 2
+                t = t - rate * (m1 / (1 - 0.8 ** step)) / (np.sqrt(m2 / (1 - 0.95 ** step)) + 1e-8)
+            yield pd.DataFrame({"t": [t.tobytes()], "n": [len(own)]})
+
+    left = bags.count()
+    for _ in range(rounds):
+        parts = bags.mapInPandas(mix, "t binary, n long").collect()      # PARTS rows at the most
+        theta = sum(r["n"] * np.frombuffer(bytes(r["t"])) for r in parts) / sum(r["n"] for r in parts)
+        rate *= 0.7
+    return Model(best["word"].tolist(), theta[:-1], float(theta[-1]))
 
-def gradient(bags: DataFrame, theta: np.ndarray, positive: float) -> np.ndarray:
-    """Gradient of the documents' negative log-likelihood: one partial sum per partition."""
-    size = len(theta)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(size)
-        for pdf in frames:
-            y, plain = pdf["y"].to_numpy(), pdf["plain"].to_numpy(dtype=np.float64)
-            sizes = [np.asarray(x, dtype=np.int64) for x in pdf["sizes"]]
-            n_sent = np.array([len(x) for x in sizes])
-            sent = np.concatenate([np.zeros(0, dtype=np.int64), *sizes])
-            ids = np.concatenate([np.zeros(0, dtype=np.int64), *[np.asarray(x, dtype=np.int64) for x in pdf["ids"]]])
-            of = np.repeat(np.arange(len(sent)), sent)
-            bag = np.repeat(np.arange(len(y)), n_sent)
-            z = theta[-1] + np.bincount(of, weights=theta[ids], minlength=len(sent))
-            total = plain * softplus(theta[-1]) + np.bincount(bag, weights=softplus(z), minlength=len(y))
-            outer = np.where(y > 0, -positive / np.expm1(np.clip(total, 1e-9, 500)), 1.0)     # d loss / d total
-            inner = outer[bag] * sigmoid(z)
-            out[:-1] += np.bincount(ids, weights=inner[of], minlength=size - 1)
-            out[-1] += inner.sum() + (outer * plain).sum() * sigmoid(theta[-1])
-        yield pd.DataFrame({"g": [out.tobytes()]})
-
-    return sum((np.frombuffer(bytes(r["g"])) for r in bags.mapInPandas(run, "g binary").collect()), np.zeros(size))
+def loss_gradient(bags: pd.DataFrame, rest: float, positive: float):
+    """The gradient, as a function of the weights (bias last), of these documents' negative
+    log-likelihood; ``rest`` more sentences belong to documents of label 0."""
+    y, plain = bags["y"].to_numpy(dtype=np.float64), bags["plain"].to_numpy(dtype=np.float64)
+    none = np.zeros(0, dtype=np.int64)
+    sizes = [np.asarray(x, dtype=np.int64) for x in bags["sizes"]]
+    sent = np.concatenate([none, *sizes])
+    ids = np.concatenate([none, *[np.asarray(x, dtype=np.int64) for x in bags["ids"]]])
+    of = np.repeat(np.arange(len(sent)), sent)
+    bag = np.repeat(np.arange(len(y)), [len(x) for x in sizes])
+
+    def gradient(theta: np.ndarray) -> np.ndarray:
+        z = theta[-1] + np.bincount(of, weights=theta[ids], minlength=len(sent))
+        total = plain * softplus(theta[-1]) + np.bincount(bag, weights=softplus(z), minlength=len(y))
+        outer = np.where(y > 0, -positive / np.expm1(np.clip(total, 1e-9, 500)), 1.0)     # d loss / d total
+        inner = outer[bag] * sigmoid(z)
+        slope = sigmoid(theta[-1])
+        return np.append(np.bincount(ids, weights=inner[of], minlength=len(theta) - 1),
+                         inner.sum() + (outer * plain).sum() * slope + rest * slope)
+    return gradient
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1,
