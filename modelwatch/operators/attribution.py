@@ -47,11 +47,13 @@ def top_features_named(impacts: DataFrame, topk: int = DEFAULT_TOPK) -> DataFram
 
 def _entries(raw: DataFrame) -> DataFrame:
     """One row per entry of {"features": [...]}, {"top_features": [...]} or a bare list."""
-    obj = F.from_json("value", f"struct<features:array<{ENTRY_SCHEMA}>, top_features:array<{ENTRY_SCHEMA}>>")
-    arr = F.from_json("value", f"array<{ENTRY_SCHEMA}>")
+    # Elements are read as text first and parsed alone, so one bad element costs only itself.
+    obj = F.from_json("value", "struct<features:array<string>, top_features:array<string>>")
+    arr = F.from_json("value", "array<string>")
     feats = F.when(F.size(obj["features"]) > 0, obj["features"]).otherwise(obj["top_features"])
-    lst = F.coalesce(feats, arr, F.array().cast(f"array<{ENTRY_SCHEMA}>"))
-    return raw.select(F.col("path"), F.explode(lst).alias("e")).where(F.col("e").isNotNull())
+    lst = F.coalesce(feats, arr, F.array().cast("array<string>"))
+    return raw.select(F.col("path"), F.explode(lst).alias("_text")).where(F.ltrim("_text").startswith("{")) \
+              .select("path", F.from_json("_text", ENTRY_SCHEMA).alias("e")).where(F.col("e").isNotNull())
 
 
 def read_json_files(spark: SparkSession, path: str) -> DataFrame:

@@ -48,10 +48,11 @@ def parity_gap(rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def fairness_by_group(df: DataFrame, group: str, y: str = "label", s: str = "y_score",
                       thr: float = 0.5) -> DataFrame:
     """Overall and per-group n, accuracy, precision, recall, F1, AUC, predicted-positive
-    rate. AUC is NULL for a group with one class only."""
+    rate. AUC is NULL for a group with one class only. Rows without a group count in the
+    overall row only."""
     g = F.col(group).cast("string")
-    ex = df.where(F.col(group).isNotNull()).select(
-        F.explode(F.array(g, F.lit(OVERALL))).alias("group"), F.col(y).alias("_y"), F.col(s).alias("_s"))
+    ex = df.select(F.explode(F.array(g, F.lit(OVERALL))).alias("group"), F.col(y).alias("_y"), F.col(s).alias("_s")) \
+           .where(F.col("group").isNotNull())
     m = raw_metrics(ex, "_y", "_s", by=["group"], thr=thr)
     n = F.col("n")
     return m.select(

@@ -40,8 +40,8 @@ def load_policy(path: str | None = None) -> dict:
         return copy.deepcopy(DEFAULT_POLICY)
     try:
         import yaml
-    except ImportError:  # pragma: no cover
-        return copy.deepcopy(DEFAULT_POLICY)
+    except ImportError as e:  # a given policy must never be ignored
+        raise RuntimeError(f"reading the policy file {path} needs a YAML module") from e
     with open(path, encoding="utf-8") as fh:
         return yaml.safe_load(fh) or {}
 
@@ -75,11 +75,14 @@ def _compare(v: Column, op: str, thr: float) -> Column:
 
 def gate_checks(observed: DataFrame, policy: dict | None = None, run_cols: Sequence[str] = ("run_id",)) -> DataFrame:
     """One row per (run, check): name, value, op, threshold, result PASS / FAIL / SKIP,
-    plus the run's status (FAIL if any check FAILs; SKIP never fails)."""
+    plus the run's status (FAIL if any check FAILs; SKIP never fails). A missing
+    attribution artifact is a value of 0, never SKIP."""
     run_cols = list(run_cols)
     structs = []
     for name, metric, op, thr in check_specs(policy or DEFAULT_POLICY):
         v = F.col(metric).cast("double") if metric in observed.columns else F.lit(None).cast("double")
+        if metric == "shap_artifact_present":      # unknown counts as absent, so the gate fails closed
+            v = F.coalesce(v, F.lit(0.0))
         res = F.when(v.isNull(), "SKIP").when(_compare(v, op, thr), "PASS").otherwise("FAIL")
         structs.append(F.struct(F.lit(name).alias("name"), v.alias("value"), F.lit(op).alias("op"),
                                 F.lit(thr).alias("threshold"), res.alias("result")))
@@ -108,7 +111,9 @@ def gate_basic(metrics: DataFrame, run_cols: Sequence[str] = ("run_id",), min_au
 
 
 def _num_text(c: Column) -> Column:
-    return c.cast("string")
+    """Plain decimal text, also below 0.001 where the cast would switch to an exponent."""
+    plain = F.regexp_replace(c.cast("decimal(38,18)").cast("string"), "0+$", "")
+    return F.when((F.abs(c) < 1e-3) & (F.abs(c) >= 1e-18), plain).otherwise(c.cast("string"))
 
 
 def gate_required(metrics: DataFrame, run_cols: Sequence[str] = ("run_id",), min_auroc: float | None = 0.70,
@@ -226,7 +231,7 @@ def threshold_table(metrics: DataFrame, run_cols: Sequence[str] = ("run_id",), p
 def risk_score(runs: DataFrame, run_cols: Sequence[str] = ("run_id",)) -> DataFrame:
     """+2 gate not PASS, +1 each for missing performance, fairness, explainability;
     LOW <= 1, MEDIUM = 2, else HIGH."""
-    gate = F.upper(F.coalesce(F.col("gate_status"), F.lit("")))
+    gate = F.upper(F.coalesce(F.nullif(F.col("gate_status"), F.lit("")), F.lit("FAIL")))
     has_perf = F.col("auroc").isNotNull() & F.col("ks_stat").isNotNull()
     has_fair = F.coalesce(F.col("n_fairness_slices") > 0, F.lit(False))
     has_expl = F.coalesce(F.col("n_top_features") > 0, F.lit(False))
@@ -242,7 +247,9 @@ def policy_registry(spark: SparkSession, registry: dict, policies: dict[str, dic
     """Flatten registry entries with each policy file's checks (one row per check)."""
     rows = []
     for e in registry.get("policies", []) or []:
-        pol = policies.get(e.get("file"), DEFAULT_POLICY)
+        if e.get("file") not in policies:
+            raise KeyError(f"policy file {e.get('file')} of policy {e.get('id')} was not given")
+        pol = policies[e["file"]]
         for check, metric, op, thr in check_specs(pol):
             rows.append((str(e.get("id")), str(e.get("version")), bool(e.get("active", False)),
                          check, metric, op, float(thr)))

@@ -505,7 +505,7 @@ def q_pick_group_column(spark, sf):
 @register("train_score_audit")
 def q_train_score_audit(spark, sf):
     df = fx.fairness_frame(spark, sf).drop("y_score", "segment")
-    return FA.train_score_audit(df, "gender", "label", seed=42, max_iter=100)
+    return FA.train_score_audit(df, "gender", "label", seed=42)
 
 
 # ------------------------------------------------------------------ attribution (2.4, 2.6, 2.8)
@@ -562,7 +562,7 @@ _PERF_RUN_SQL = (f"SELECT segment AS run_id, * EXCLUDE (segment) FROM "
                  f"({osql.metrics_sql(fx.PREDICTIONS_UNIQUE_SQL, ['segment'])}) p")
 _DMAX_SQL = osql.drift_sql(_B_SQL, _C_SQL, fx.DRIFT_LINEITEM_COLS, "max")
 _OBS_SQL = (f"WITH perf AS ({_PERF_RUN_SQL}), dm AS (SELECT * FROM ({_DMAX_SQL}) d), par AS ({_PARITY_SQL}), "
-            f"topf AS (SELECT COUNT(*) AS n FROM ({_TOP_SQL}) t) "
+            f"topf AS (SELECT COUNT(*) AS n FROM ({_IMPACT_SQL}) t) "
             f"SELECT perf.run_id, dm.max_psi, dm.max_ks, perf.auroc, perf.auprc, perf.log_loss, perf.ks_stat, perf.n, "
             f"perf.accuracy_at_05, par.parity_gap, par.n_groups AS n_fairness_slices, topf.n > 0 AS shap_artifact_present, "
             f"CAST(topf.n AS BIGINT) AS top_features_detected "
@@ -927,7 +927,7 @@ def q_stream_history(spark, sf):
     li = fx.table(spark, sf, "lineitem")
     preds = li.select(F.year("l_shipdate").alias("yr"), (F.col("l_returnflag") == "R").cast("int").alias("y_true"),
                       (F.col("l_extendedprice") / 105000.0).alias("y_score"))
-    preds.repartition(8, "yr").write.parquet(src)
+    preds.repartition("yr").write.parquet(src)
     q = monitor_stream(spark, src, "yr int, y_true int, y_score double", hist, files_per_batch=1)
     q.awaitTermination()
     return spark.read.parquet(hist).select("batch_id", "n", "auroc", "ks_stat", "status")

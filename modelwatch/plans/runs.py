@@ -35,7 +35,7 @@ def observed_metrics(spark, sf) -> DataFrame:
     perf = run_performance(spark, sf)
     b, c = fx.drift_pair_lineitem(spark, sf)
     dmax = D.drift_max(D.drift_by_feature(b, c, ignore_cols=fx.LINEITEM_ID_COLS))
-    n_top = top_feature_table(spark, sf).agg(F.count(F.lit(1)).cast("long").alias("n"))
+    n_top = A.mean_abs_impact(fx.contributions(spark, sf)).agg(F.count(F.lit(1)).cast("long").alias("n"))
     fair = run_parity(spark, sf).select("run_id", "parity_gap", "n_groups")
     j = perf.join(fair, "run_id", "left")
     n = n_top.select("n").scalar()

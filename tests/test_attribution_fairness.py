@@ -57,3 +57,17 @@ def test_fairness_one_class_group(spark):
                                "gender string, label int, y_score double")
     t = {r["group"]: r for r in FA.fairness_by_group(df, "gender", "label", "y_score").collect()}
     assert t["a"]["auc"] is None and t["b"]["auc"] == 1.0 and t[FA.OVERALL]["n"] == 4
+
+
+def test_one_bad_entry_costs_only_itself(spark, tmp_path):
+    from modelwatch.operators import attribution as A
+    (tmp_path / "a.json").write_text('{"features": ["bad", {"name": "x", "mean_abs_impact": 2}, {"name": "y", "importance": "0.5"}, 7, {"name": "z", "mean_abs_impact": "no"}]}')
+    got = {(r["name"], r["mean_abs_impact"]) for r in A.normalize_features(spark, str(tmp_path)).collect()}
+    assert got == {("x", 2.0), ("y", 0.5)}
+
+
+def test_overall_row_keeps_rows_without_group(spark):
+    from modelwatch.operators import fairness as FA
+    df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.1), ("b", 1, 0.8), (None, 0, 0.2), (None, 1, 0.7)], "g string, label int, y_score double")
+    n = {r["group"]: r["n"] for r in FA.fairness_by_group(df, "g").collect()}
+    assert n == {"a": 2, "b": 1, FA.OVERALL: 5}

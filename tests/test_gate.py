@@ -77,3 +77,18 @@ def test_threshold_table_and_risk(spark):
                                  "n_fairness_slices int, n_top_features int")
     r = {x["run_id"]: (x["risk_score"], x["risk_level"]) for x in G.risk_score(runs).collect()}
     assert r == {"a": (0, "LOW"), "b": (2, "MEDIUM"), "c": (5, "HIGH")}
+
+
+def test_gate_fails_closed_without_artifact(spark):
+    from modelwatch.operators import gate as G
+    good = "1 AS run_id, 0.0D AS max_psi, 0.0D AS max_ks, 0.9D AS auroc, 0.9D AS auprc, 0.0D AS parity_gap, 9 AS top_features_detected"
+    for extra in ("", ", CAST(NULL AS BOOLEAN) AS shap_artifact_present"):
+        r = G.gate_status(G.gate_checks(spark.sql(f"SELECT {good}{extra}"))).first()
+        assert r["status"] == "FAIL"
+    assert G.gate_status(G.gate_checks(spark.sql(f"SELECT {good}, true AS shap_artifact_present"))).first()["status"] == "PASS"
+
+
+def test_small_ks_prints_plain_decimals(spark):
+    from modelwatch.operators import gate as G
+    r = G.gate_required(spark.sql("SELECT 1 AS run_id, 0.9D AS auroc, 0.00045D AS ks_stat")).first()
+    assert r["reasons"] == ["KS 0.00045 < min_ks 0.1"]
