@@ -32,9 +32,6 @@ COHORT_COLUMNS = ["subject_id", "hadm_id", "anchor_age", "gender", "admission_ty
 EVENT_COLUMNS = ["subject_id", "hadm_id", "charttime", "itemid", "valuenum", "valueuom"]
 INDEX_KEYS = ["subject_id", "hadm_id", "admission_type", "anchor_age", "anchor_year_group", "gender"]
 DEFAULT_WINDOW = "24 hours"
-# Per-admission groups are many and small: up to this many distinct values a group's
-# median comes from a plain per-group window; larger (hot) groups are bucketed.
-SMALL_GROUP_ROWS = 100_000
 DEFAULT_GENDER = "Unknown"
 
 
@@ -56,15 +53,12 @@ def semi_join_items(events: DataFrame, item_ids: DataFrame) -> DataFrame:
     return events.join(item_ids.select("itemid"), "itemid", "left_semi")
 
 
-def scan_events_filtered(events: DataFrame, targets: DataFrame, max_rows: int | None = None) -> DataFrame:
+def scan_events_filtered(events: DataFrame, targets: DataFrame) -> DataFrame:
     """Keep the event columns, target items only (label attached), non-null values in
-    the open sanity range. ``max_rows`` (off by default) keeps the earliest rows by
-    (charttime, ids), so the cut is stable."""
+    the open sanity range."""
     ev = events.select(*[c for c in EVENT_COLUMNS if c in events.columns])
     ev = ev.where(F.col("valuenum").isNotNull() & ~F.isnan("valuenum"))
     ev = ev.join(targets, "itemid")           # semi-join and label attach in one join
-    if max_rows is not None:
-        ev = ev.orderBy("charttime", "subject_id", "hadm_id", "itemid", "valuenum").limit(int(max_rows))
     return ev.where(in_open_range("valuenum"))
 
 
@@ -86,8 +80,7 @@ def median_per_admission(labs: DataFrame, keys: Sequence[str] = (*INDEX_KEYS, "l
     (pandas ``groupby`` does the same)."""
     keys = list(keys)
     clean = labs.na.drop(subset=keys)
-    return exact_quantiles(clean, "valuenum", [0.5], by=keys, names=["value"],
-                           small_group_rows=SMALL_GROUP_ROWS).drop("n")
+    return exact_quantiles(clean, "valuenum", [0.5], by=keys, names=["value"]).drop("n")
 
 
 def pivot_labs(med: DataFrame, labels: dict = LAB_LABELS, index: Sequence[str] = INDEX_KEYS) -> DataFrame:
@@ -111,10 +104,9 @@ def canonical(wide: DataFrame, columns: Sequence[str] = COHORT_COLUMNS) -> DataF
     return out
 
 
-def split_half(df: DataFrame, order: Sequence[str] = ("subject_id", "hadm_id", "charttime"),
-               lead: str = "subject_id") -> DataFrame:
+def split_half(df: DataFrame, order: Sequence[str] = ("subject_id", "hadm_id", "charttime")) -> DataFrame:
     """Add ``split``: the first n // 2 rows in ``order`` are 'baseline', the rest 'current'."""
-    pos = row_position(df, list(order), lead)
+    pos = row_position(df, list(order))
     half = F.floor(F.col("n_rows") / 2)
     return pos.withColumn("split", F.when(F.col("position") < half, "baseline").otherwise("current")) \
               .drop("n_rows")
@@ -122,12 +114,12 @@ def split_half(df: DataFrame, order: Sequence[str] = ("subject_id", "hadm_id", "
 
 def build_cohort(events: DataFrame, admissions: DataFrame, patients: DataFrame, items: DataFrame,
                  labels: dict = LAB_LABELS, window: str = DEFAULT_WINDOW,
-                 max_rows: int | None = None, check_items: bool = True) -> DataFrame:
+                 check_items: bool = True) -> DataFrame:
     """The whole cohort with a ``split`` column and the 0-based ``position``."""
     targets = item_lookup(items, list(labels))
     if check_items:
         require_rows(targets, "target lab items")
-    labs = scan_events_filtered(events, targets, max_rows)
+    labs = scan_events_filtered(events, targets)
     labs = join_first_window(labs, admissions, window)
     labs = join_patients(labs, patients)
     wide = pivot_labs(median_per_admission(labs), labels)

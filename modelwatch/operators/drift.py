@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from modelwatch.functions.columns import drift_columns, infer_roles
 from modelwatch.functions.scalar import clean_double, is_finite, np_lerp, round6
-from modelwatch.operators.prefix import running_totals
+from modelwatch.operators.prefix import range_parts, running_totals
 from modelwatch.session import materialize
 
 # Fixed values of the reference.
@@ -70,11 +70,10 @@ def _quantile_value(q: float, name: str) -> Column:
     return np_lerp(F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), h - F.floor(h)).alias(name)
 
 
-def feature_stats(counts: DataFrame, n_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(materialized value counts, per-feature stats: n_base, n_curr, ks, p1, p99)."""
-    counts = materialize(counts)
-    r = running_totals(counts, "value", ["nb", "nc"], ["feature"], n_buckets=n_buckets,
-                       broadcast_groups=True, materialized=True)
+def feature_stats(counts: DataFrame, n_parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(value counts in range parts, per-feature stats: n_base, n_curr, ks, p1, p99)."""
+    counts = range_parts(counts, ["feature", "value"], n_parts)
+    r = running_totals(counts, "value", ["nb", "nc"], ["feature"])
     g = r.groupBy("feature").agg(
         F.max("tot_nb").alias("n_base"), F.max("tot_nc").alias("n_curr"),
         F.max(F.abs(F.try_divide("cum_nb", "tot_nb") - F.try_divide("cum_nc", "tot_nc"))).alias("ks"),
@@ -126,13 +125,13 @@ def psi_table(counts: DataFrame, stats: DataFrame, bins: int = PSI_BINS) -> Data
 
 def drift_by_feature(baseline: DataFrame, current: DataFrame, ignore_cols=(),
                      cols: Sequence[str] | None = None, gate_variant: bool = False,
-                     n_buckets: int | None = None, rounded: bool = True) -> DataFrame:
+                     n_parts: int | None = None, rounded: bool = True) -> DataFrame:
     """(feature, psi, ks, drift_flag) for every comparable column with data on both sides."""
     cols = list(cols) if cols is not None else drift_columns(baseline, current, ignore_cols, gate_variant)
     spark = baseline.sparkSession
     if not cols:
         return spark.createDataFrame([], "feature string, psi double, ks double, drift_flag boolean")
-    counts, stats = feature_stats(value_counts(baseline, current, cols), n_buckets)
+    counts, stats = feature_stats(value_counts(baseline, current, cols), n_parts)
     p = psi_table(counts, stats)
     j = stats.select("feature", "ks").join(p, "feature")
     flag = (F.col("psi") >= DRIFT_FLAG_LEVEL) | (F.col("ks") >= DRIFT_FLAG_LEVEL)

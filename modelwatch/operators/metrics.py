@@ -65,9 +65,9 @@ def score_table(df: DataFrame, y: str = "y_true", s: str = "y_score",
 
 
 def ranked_scores(df: DataFrame, y: str = "y_true", s: str = "y_score",
-                  by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+                  by: Sequence[str] = (), n_parts: int | None = None) -> DataFrame:
     """Score table with running totals ``cum_p``, ``cum_n`` and totals ``tot_p``, ``tot_n``."""
-    return running_totals(score_table(df, y, s, by), "score", ["p", "n"], by, n_buckets=n_buckets)
+    return running_totals(score_table(df, y, s, by), "score", ["p", "n"], by, n_parts=n_parts)
 
 
 def _f1(tp: Column, fp: Column, P: Column) -> Column:
@@ -82,10 +82,10 @@ def _cand(neg_f1: Column, dist: Column, t: Column) -> Column:
 
 
 def raw_metrics(df: DataFrame, y: str = "y_true", s: str = "y_score", by: Sequence[str] = (),
-                thr: float = 0.5, n_buckets: int | None = None) -> DataFrame:
+                thr: float = 0.5, n_parts: int | None = None) -> DataFrame:
     """All metrics per segment, unrounded, plus the classification counts at ``thr``."""
     by = list(by)
-    r = ranked_scores(df, y, s, by, n_buckets)
+    r = ranked_scores(df, y, s, by, n_parts)
     sc, p, n = F.col("score"), F.col("p"), F.col("n")
     cp, cn, P, N = F.col("cum_p"), F.col("cum_n"), F.col("tot_p"), F.col("tot_n")
     ge = sc >= F.lit(thr)
@@ -147,32 +147,51 @@ def _rounded(m: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
 
 def performance_metrics(df: DataFrame, y: str = "y_true", s: str = "y_score",
                         by: Sequence[str] = (), thr: float = 0.5,
-                        n_buckets: int | None = None) -> DataFrame:
+                        n_parts: int | None = None) -> DataFrame:
     """The 11-metric record per segment, rounded to 6 places at the output."""
-    return _rounded(raw_metrics(df, y, s, by, thr, n_buckets), by, METRIC_COLUMNS)
+    return _rounded(raw_metrics(df, y, s, by, thr, n_parts), by, METRIC_COLUMNS)
 
 
-def basic_performance(df, y="y_true", s="y_score", by=(), thr=0.5, n_buckets=None) -> DataFrame:
+def basic_performance(df, y="y_true", s="y_score", by=(), thr=0.5, n_parts=None) -> DataFrame:
     """Short record: n, accuracy, AUROC, KS (NULLs when n = 0)."""
-    return _rounded(raw_metrics(df, y, s, by, thr, n_buckets), by, BASIC_COLUMNS)
+    return _rounded(raw_metrics(df, y, s, by, thr, n_parts), by, BASIC_COLUMNS)
+
+
+def threshold_metrics(df: DataFrame, y: str = "y_true", s: str = "y_score", by: Sequence[str] = (),
+                      thr: float = 0.5) -> DataFrame:
+    """Counts at ``thr``, accuracy, F1 and log loss per segment, unrounded: one grouped
+    aggregate over the rows, without ranks."""
+    by = list(by)
+    sc, pos = _score(s), _label(y) == 1
+    hit = sc >= F.lit(thr)
+    clip = F.least(F.greatest(sc, F.lit(LOG_LOSS_EPS)), F.lit(1 - LOG_LOSS_EPS))
+    g = df.where(valid_prediction(y, s)).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(pos).alias("_P"),
+        F.count_if(pos & hit).alias("tp"), F.count_if(~pos & hit).alias("fp"),
+        F.sum(-F.ln(F.when(pos, clip).otherwise(F.lit(1.0) - clip))).alias("_ll"))
+    n, P, tp, fp = F.col("n"), F.col("_P"), F.col("tp"), F.col("fp")
+    return g.select(*by, "n", "tp", "fp", (P - tp).alias("fn"),
+                    F.try_divide(P, n).alias("positive_rate"),
+                    F.try_divide(tp + (n - P - fp), n).alias("accuracy_at_05"),
+                    _f1(tp, fp, P).alias("f1_at_05"),
+                    F.try_divide(F.col("_ll"), n).alias("log_loss"))
 
 
 def classification_counts(df, y="y_true", s="y_score", by=(), thr=0.5) -> DataFrame:
-    return _rounded(raw_metrics(df, y, s, by, thr), by, ["n", "positive_rate", "tp", "fp", "fn"])
+    return _rounded(threshold_metrics(df, y, s, by, thr), by, ["n", "positive_rate", "tp", "fp", "fn"])
 
 
 def accuracy_at_threshold(df, y="y_true", s="y_score", by=(), thr=0.5) -> DataFrame:
-    return _rounded(raw_metrics(df, y, s, by, thr), by, ["n", "accuracy_at_05"])
+    return _rounded(threshold_metrics(df, y, s, by, thr), by, ["n", "accuracy_at_05"])
 
 
 def f1_at_threshold(df, y="y_true", s="y_score", by=(), thr=0.5) -> DataFrame:
-    m = raw_metrics(df, y, s, by, thr)
-    m = m.select(*by, "n", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("_pr"),
-                 F.try_divide("tp", F.col("tp") + F.col("fn")).alias("_rc"), "f1_at_05")
-    return m.select(*by, F.col("n").cast("long").alias("n"),
-                    round6(F.coalesce("_pr", F.lit(0.0))).alias("precision_at_05"),
-                    round6(F.coalesce("_rc", F.lit(0.0))).alias("recall_at_05"),
-                    round6("f1_at_05").alias("f1_at_05"))
+    tp = F.col("tp")
+    precision = F.coalesce(F.try_divide(tp, tp + F.col("fp")), F.lit(0.0))
+    recall = F.coalesce(F.try_divide(tp, tp + F.col("fn")), F.lit(0.0))
+    return threshold_metrics(df, y, s, by, thr).select(
+        *by, "n", round6(precision).alias("precision_at_05"), round6(recall).alias("recall_at_05"),
+        round6("f1_at_05").alias("f1_at_05"))
 
 
 def auroc(df, y="y_true", s="y_score", by=()) -> DataFrame:
@@ -188,7 +207,7 @@ def auprc(df, y="y_true", s="y_score", by=()) -> DataFrame:
 
 
 def log_loss(df, y="y_true", s="y_score", by=()) -> DataFrame:
-    return _rounded(raw_metrics(df, y, s, by), by, ["n", "log_loss"])
+    return _rounded(threshold_metrics(df, y, s, by), by, ["n", "log_loss"])
 
 
 def best_f1(df, y="y_true", s="y_score", by=()) -> DataFrame:

@@ -1,178 +1,101 @@
 """Distributed running totals over a global order, per group.
 
 Spark has no scalable global running sum: a window without ``partitionBy`` moves every
-row into one task. This operator gives the same result with bounded tasks:
+row into one task. This operator gives the same result with bounded tasks, by one path
+for all group sizes:
 
 1. The caller pre-aggregates to one row per (group, key) with count columns, so a hot
    key (or a heavily tied score) is one row whatever its size (map-side combine).
-2. Per group, ``percentile_approx`` picks B-1 cut points of the key. The bucket of a
-   row is ``size(filter(cuts, c -> c <= key))``: a pure function of the key, so equal
-   keys share a bucket and a recomputed task gives the same bucket.
-3. Per (group, bucket) totals (at most B rows per group) give exclusive offsets,
-   joined back on (group, bucket) as plain columns.
-4. ``sum().over(partitionBy(group, bucket).orderBy(key))`` plus the bucket offset is
-   the global inclusive running total. Each window task holds about 1/B of a group.
-
-The pre-aggregated input is materialized once (an eager, reliable checkpoint into the
-shared checkpoint folder); everything after it is lazy. The cut points have one row
-per group: a scalar subquery when there are no groups, otherwise joined on the group
-keys (broadcast when the caller can prove the group count is bounded, for example one
-group per column; otherwise AQE picks broadcast from runtime sizes). The offsets have
-at most B rows per group and are joined on (group, bucket).
+2. ``range_parts`` range-partitions that table on (group, order key) into
+   ``spark.sql.shuffle.partitions`` parts, stamps the part number and checkpoints it, so
+   a recomputed task cannot move rows between parts. A small group stays whole in one
+   part; a hot group is spread over as many parts as its share of the rows.
+3. Totals per (group, part), one row each, give exclusive offsets and group totals by a
+   window over those few rows.
+4. The offsets go back in as head rows that sort first within (group, part); one window
+   over (group, part) then gives the global inclusive running totals. No join, so NULL
+   groups are groups like any other, and nothing is exchanged on the group alone but the
+   (group, part) totals.
+
+Everything after the checkpoint is lazy.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.functions.scalar import np_lerp
 from modelwatch.session import materialize, shuffle_partitions
 
-MIN_BUCKETS = 16
-MAX_BUCKETS = 1024
+PART = "_part"
 
 
-def n_buckets_for(df: DataFrame, n_buckets: int | None = None) -> int:
-    if n_buckets:
-        return int(n_buckets)
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, 2 * shuffle_partitions(df.sparkSession)))
-
-
-def attach_group_table(df: DataFrame, small: DataFrame, by: Sequence[str],
-                       broadcast_small: bool = False) -> DataFrame:
-    """Attach a one-row-per-group table to ``df`` (scalar subqueries when no groups)."""
-    if by:
-        s = F.broadcast(small) if broadcast_small else small
-        return df.join(s, list(by), "inner")
-    return df.select("*", *[small.select(c).scalar().alias(c) for c in small.columns])
-
-
-def _plus_field(c: str):
-    return lambda acc, y: acc + y[c]
-
-
-def bucket_of(cuts: Column, key: Column, n_cuts: int) -> Column:
-    """Number of cut points <= key (cuts sorted ascending), as an unrolled binary search
-    over the array: log2(B) element comparisons per row, all inside whole-stage codegen
-    (a ``filter`` lambda over the array would be evaluated interpretively)."""
-    def ub(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(cuts.getItem(mid) <= key, ub(mid + 1, hi)).otherwise(ub(lo, mid))
-    return ub(0, n_cuts)
+def range_parts(df: DataFrame, keys: Sequence[str], n_parts: int | None = None) -> DataFrame:
+    """``df`` range-partitioned on ``keys`` and checkpointed, with the part number in
+    ``_part``: parts are in key order, equal keys share a part."""
+    n = int(n_parts or shuffle_partitions(df.sparkSession))
+    return materialize(df.repartitionByRange(n, *keys).withColumn(PART, F.spark_partition_id()))
 
 
 def running_totals(df: DataFrame, key: str, counts: Sequence[str], by: Sequence[str] = (),
-                   order: Sequence | None = None, lead: str | None = None,
-                   n_buckets: int | None = None, accuracy: int | None = None,
-                   broadcast_groups: bool = False, materialized: bool = False,
-                   small_group_rows: int | None = None) -> DataFrame:
+                   n_parts: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running total in key order) and ``tot_<c>`` (group
     total) for every count column ``c`` (BIGINT).
 
-    ``small_group_rows`` (for many-group inputs, such as one group per admission):
-    groups with at most that many rows take a plain per-group window, whose task
-    memory is bounded by the threshold; only the larger (hot) groups, found with one
-    size aggregate, take the bucketed path. Without it every group is bucketed.
-
-    ``order`` is the full ordering within a group (default ``[key]``); ``lead`` is the
-    numeric / temporal column the cut points are drawn from (default ``key``), and must
-    be the first ordering column. Ties in ``order`` are broken arbitrarily, so callers
-    pre-aggregate to unique keys when ties matter. The input is read by several
-    branches, so it is materialized once unless the caller already did
-    (``materialized=True``).
+    Ties in ``key`` are broken arbitrarily, so callers pre-aggregate to unique keys when
+    ties matter. A caller that reads the table elsewhere too passes the result of
+    ``range_parts(df, [*by, key])``, which is used as it stands.
     """
-    if not materialized:
-        df = materialize(df)
-    by = list(by)
-    counts = list(counts)
-    order = list(order or [key])
-    lead = lead or key
-    if by and small_group_rows:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_gn"))
-        hot = sizes.where(F.col("_gn") > int(small_group_rows)).select(*by)
-        small = df.join(hot, by, "left_anti")
-        w = (Window.partitionBy(*by).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        wall = Window.partitionBy(*by)
-        small_r = small.select(
-            "*", *[F.sum(c).over(wall).cast("long").alias(f"tot_{c}") for c in counts],
-            *[F.sum(c).over(w).cast("long").alias(f"cum_{c}") for c in counts])
-        large_r = running_totals(df.join(hot, by, "left_semi"), key, counts, by, order, lead, n_buckets,
-                                 accuracy, broadcast_groups, materialized=True)
-        return small_r.unionByName(large_r)
-    nb = n_buckets_for(df, n_buckets)
-    fracs = [i / nb for i in range(1, nb)]
-    # Cut points only balance the buckets (results are exact for any cuts), so a rank
-    # error of 1 / (4 nb) is plenty and keeps the sketch small and fast.
-    accuracy = accuracy or max(64, 4 * nb)
-
-    cuts = df.groupBy(*by).agg(F.percentile_approx(lead, fracs, accuracy).alias("_cuts"))
-    b = attach_group_table(df, cuts, by, broadcast_groups)
-    b = b.withColumn("_bucket", bucket_of(F.col("_cuts"), F.col(lead), len(fracs))).drop("_cuts")
-
-    # Exclusive offsets of every (group, bucket): the per-bucket totals of a group (at
-    # most nb entries, a bound set by the parameter, not the data) are gathered into
-    # one sorted array, prefix-summed with higher-order functions, and exploded back to
-    # (group, bucket) rows. No window, so no single-task step even without groups.
-    tot = b.groupBy(*by, "_bucket").agg(*[F.sum(c).cast("long").alias(f"_b_{c}") for c in counts])
-    lst = tot.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("_bucket", *[f"_b_{c}" for c in counts]))).alias("_t"))
-    zero = F.lit(0).cast("long")
-    entries = F.transform("_t", lambda x, i: F.struct(
-        x["_bucket"].alias("_bucket"),
-        *[F.aggregate(F.slice("_t", 1, i), zero, _plus_field(f"_b_{c}")).alias(f"_o_{c}") for c in counts]))
-    offs = lst.select(*by, F.explode(entries).alias("_e"),
-                      *[F.aggregate("_t", zero, _plus_field(f"_b_{c}")).alias(f"tot_{c}") for c in counts]) \
-              .select(*by, "_e.*", *[f"tot_{c}" for c in counts])
-    # (group, bucket) rows: bounded by groups x nb; broadcast when the caller bounds groups.
-    o = F.broadcast(offs) if (broadcast_groups or not by) else offs
-    b = b.join(o, [*by, "_bucket"], "inner")
-
-    w = (Window.partitionBy(*by, "_bucket").orderBy(*order)
+    by, counts = list(by), list(counts)
+    parted = df if PART in df.columns else range_parts(df, [*by, key], n_parts)
+    totals = parted.groupBy(*by, PART).agg(*[F.sum(c).cast("long").alias(c) for c in counts])
+    before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    heads = totals.select(
+        *by, PART, F.lit(0).alias("_row"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long").alias(c) for c in counts],
+        *[F.sum(c).over(whole).cast("long").alias(f"tot_{c}") for c in counts])
+    both = parted.withColumn("_row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    w = (Window.partitionBy(*by, PART).orderBy("_row", key)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    keep = [c for c in b.columns if c != "_bucket" and not c.startswith("_o_")]
-    return b.select(
-        *keep,
-        *[(F.sum(c).over(w) + F.col(f"_o_{c}")).cast("long").alias(f"cum_{c}") for c in counts])
+    out = both.select(
+        *[c for c in parted.columns if c != PART], "_row",
+        *[F.first(f"tot_{c}").over(w).alias(f"tot_{c}") for c in counts],
+        *[F.sum(c).over(w).cast("long").alias(f"cum_{c}") for c in counts])
+    return out.where("_row = 1").drop("_row")
 
 
-def row_position(df: DataFrame, order: Sequence, lead: str | None = None, by: Sequence[str] = (),
+def row_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
                  n_parts: int | None = None) -> DataFrame:
     """0-based position of every row in ``order`` (per group ``by``), plus ``n_rows``.
 
-    Range partitioning on the FULL order key (bounds from a sample of all order
-    columns), so a hot leading key (one subject with a third of the rows) is spread by
-    its other order columns. The partition id is stamped into the data and the result
-    checkpointed, so a recomputed task can never move rows between partitions. Then:
-    per-partition row counts (at most ``n_parts`` rows) -> exclusive offsets -> row
-    number inside each partition + offset. ``lead`` is accepted for API symmetry.
+    The range runs over the FULL order key (bounds from a sample of all order columns),
+    so a hot leading key (one subject with a third of the rows) is spread by its other
+    order columns. Offsets as in ``running_totals``, with rows counted.
     """
-    by = list(by)
-    order = list(order)
-    n = n_parts or n_buckets_for(df)
-    keys = [*by, *order]
-    parted = materialize(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
-    cnt = parted.groupBy(*by, "_pid").agg(F.count(F.lit(1)).cast("long").alias("_b_n"))
-    lst = cnt.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_pid", "_b_n"))).alias("_t"))
-    zero = F.lit(0).cast("long")
-    entries = F.transform("_t", lambda x, i: F.struct(
-        x["_pid"].alias("_pid"), F.aggregate(F.slice("_t", 1, i), zero, _plus_field("_b_n")).alias("_o_n")))
-    offs = lst.select(*by, F.explode(entries).alias("_e"),
-                      F.aggregate("_t", zero, _plus_field("_b_n")).alias("n_rows")).select(*by, "_e.*", "n_rows")
-    j = parted.join(F.broadcast(offs) if not by else offs, [*by, "_pid"], "inner")
-    w = Window.partitionBy(*by, "_pid").orderBy(*order)
-    return j.withColumn("position", F.row_number().over(w) - 1 + F.col("_o_n")).drop("_pid", "_o_n")
+    by, order = list(by), list(order)
+    parted = range_parts(df, [*by, *order], n_parts)
+    totals = parted.groupBy(*by, PART).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    heads = totals.select(*by, PART, F.lit(0).alias("_row"),
+                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                          F.sum("_n").over(Window.partitionBy(*by)).alias("n_rows"))
+    both = parted.withColumn("_row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    w = Window.partitionBy(*by, PART).orderBy("_row", *order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.select(*[c for c in parted.columns if c != PART], "_row",
+                      F.first("n_rows").over(run).alias("n_rows"),
+                      # the head row is row 1, so the first data row has row_number 2
+                      (F.row_number().over(w) - 2 + F.first("_before").over(run)).cast("long").alias("position"))
+    return out.where("_row = 1").drop("_row")
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, n_buckets: int | None = None,
-                    broadcast_groups: bool = False, weight: str | None = None,
-                    small_group_rows: int | None = None, approx: bool = False,
+                    names: Sequence[str] | None = None, n_parts: int | None = None,
+                    weight: str | None = None, approx: bool = False,
                     approx_accuracy: int = 10000) -> DataFrame:
     """Exact quantiles per group, NumPy's ``linear`` method (``np.percentile`` default).
 
@@ -197,8 +120,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     cnt = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
     pre = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
              .agg(cnt.cast("long").alias("_cnt")))
-    r = running_totals(pre, value, ["_cnt"], by, n_buckets=n_buckets,
-                       broadcast_groups=broadcast_groups, small_group_rows=small_group_rows)
+    r = running_totals(pre, value, ["_cnt"], by, n_parts=n_parts)
     n = F.col("tot__cnt")
     start = F.col("cum__cnt") - F.col("_cnt")
     aggs = []

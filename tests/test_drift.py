@@ -71,7 +71,7 @@ def test_no_columns(spark):
 def test_partition_count_invariance(pair):
     _, _, b, c = pair
     a = sorted(tuple(r) for r in D.drift_by_feature(b, c).collect())
-    z = sorted(tuple(r) for r in D.drift_by_feature(b.repartition(7), c.repartition(3), n_buckets=5).collect())
+    z = sorted(tuple(r) for r in D.drift_by_feature(b.repartition(7), c.repartition(3), n_parts=5).collect())
     assert a == z
 
 

@@ -102,7 +102,7 @@ def test_symmetry_and_partition_invariance(spark):
     neg = M.auroc(df.withColumn("y_score", -F.col("y_score"))).collect()[0]["auroc"]
     assert a + neg == pytest.approx(1.0, abs=2e-6)
     b = M.auroc(df.repartition(13)).collect()[0]["auroc"]
-    c = M.performance_metrics(df, n_buckets=3).collect()[0]["auroc"]
+    c = M.performance_metrics(df, n_parts=3).collect()[0]["auroc"]
     assert a == b == c
 
 
@@ -111,7 +111,11 @@ def test_no_single_partition_window(spark):
     import re
     plan = M.performance_metrics(df)._jdf.queryExecution().executedPlan().toString()
     specs = re.findall(r"Window \[.*?windowspecdefinition\((.*?)\)", plan)
-    assert specs and all("_bucket" in s for s in specs)          # every window is partitioned by bucket
+    # windows over rows (ordered by score) are partitioned by part; the others run over the
+    # totals, at most one row per part
+    over_rows = [s for s in specs if "score" in s]
+    assert over_rows and all(re.match(r"_part#\d+, _row", s) for s in over_rows)
+    assert all(re.match(r"_part#\d+ ASC|specifiedwindowframe", s) for s in specs if "score" not in s)
     assert not re.search(r"Window \[[^\n]*\], \[\], \[", plan)
 
 
@@ -124,7 +128,7 @@ from hypothesis import strategies as st  # noqa: E402
 def test_metrics_property_against_brute_force(spark, pairs):
     y = [p[0] for p in pairs]
     s = [p[1] / 8 for p in pairs]
-    got = M.performance_metrics(frame(spark, y, s), n_buckets=4).collect()[0]
+    got = M.performance_metrics(frame(spark, y, s), n_parts=4).collect()[0]
     if 0 < sum(y) < len(y):
         exp = brute(y, s)
         for k, v in exp.items():

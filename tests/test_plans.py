@@ -32,3 +32,24 @@ def test_drift_feature_tables_are_broadcast(spark):
     plan = _plan(D.drift_by_feature(b, c, cols=fx.DRIFT_LINEITEM_COLS))
     assert "BroadcastHashJoin [feature], [feature]" in plan
     assert "SortMergeJoin" not in plan
+
+
+def _exchange_keys(df):
+    return re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", _plan(df))
+
+
+def test_running_totals_never_move_rows_on_the_segment_alone(spark):
+    """Rows are exchanged on (segment, part). On the segment alone only the totals per
+    (segment, part) move: one exchange for the offsets."""
+    from modelwatch.operators import metrics as M
+    df = spark.range(1000).selectExpr("id % 3 AS segment", "id % 2 AS y_true", "id / 1000 AS y_score")
+    keys = _exchange_keys(M.running_counts(df, by=["segment"]))
+    assert keys.count("segment") == 1 and keys.count("segment, _part") == 2
+
+
+def test_threshold_metrics_are_one_aggregate(spark):
+    from modelwatch.operators import metrics as M
+    df = spark.range(100).selectExpr("id % 2 AS y_true", "id / 100 AS y_score")
+    for f in (M.accuracy_at_threshold, M.f1_at_threshold, M.classification_counts, M.log_loss):
+        plan = _plan(f(df))
+        assert "Window" not in plan and "Scan ExistingRDD" not in plan and plan.count("Exchange") == 1

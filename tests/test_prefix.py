@@ -17,7 +17,7 @@ def test_running_totals_hot_group_and_tiny_buckets(spark):
                         "c": rng.integers(1, 5, 1000)})
     df = spark.createDataFrame(pdf).withColumn("c", F.col("c").cast("long"))
     for nb in (2, 16, 64):
-        got = running_totals(df, "k", ["c"], ["g"], n_buckets=nb).toPandas().sort_values(["g", "k"])
+        got = running_totals(df, "k", ["c"], ["g"], n_parts=nb).toPandas().sort_values(["g", "k"])
         exp = pdf.sort_values(["g", "k"]).assign(cum=lambda d: d.groupby("g")["c"].cumsum())
         assert (got["cum_c"].to_numpy() == exp["cum"].to_numpy()).all()
         assert (got.groupby("g")["tot_c"].first() == pdf.groupby("g")["c"].sum()).all()
@@ -38,7 +38,7 @@ def test_exact_quantiles_match_numpy(spark):
        st.sampled_from([0.01, 0.1, 0.5, 0.9, 0.99]))
 def test_exact_quantile_property(spark, values, q):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    got = exact_quantiles(df, "v", [q], n_buckets=4).collect()[0]["q0"]
+    got = exact_quantiles(df, "v", [q], n_parts=4).collect()[0]["q0"]
     assert got == pytest.approx(np.percentile(np.array(values, dtype=float), q * 100), abs=1e-12)
 
 
@@ -54,20 +54,31 @@ def test_row_position_with_hot_leading_key(spark):
     assert (pos["n_rows"] == 2000).all()
 
 
-def test_running_totals_hybrid_small_and_hot_groups(spark):
+def test_running_totals_many_tiny_groups_one_hot_group_and_a_null_group(spark):
     rng = np.random.default_rng(11)
-    n_small = 300
-    g = np.concatenate([np.repeat(np.arange(n_small), 3), np.full(2000, -1)])      # group -1 is hot
-    k = np.concatenate([np.tile([3.0, 1.0, 2.0], n_small), rng.permutation(2000).astype(float)])
-    c = rng.integers(1, 4, len(g))
-    pdf = pd.DataFrame({"g": g, "k": k, "c": c})
-    df = spark.createDataFrame(pdf).withColumn("c", F.col("c").cast("long"))
-    got = running_totals(df, "k", ["c"], ["g"], n_buckets=8, small_group_rows=50).toPandas()
+    n_small = 100_000
+    tiny = spark.range(n_small * 2).selectExpr("cast(id % 100000 as string) AS g", "cast(id as double) AS k", "1L AS c")
+    c = rng.integers(1, 4, 4000)
+    hot = spark.createDataFrame(pd.DataFrame({"g": "hot", "k": rng.permutation(4000).astype(float), "c": c}))
+    null = spark.createDataFrame([(None, 2.0, 5), (None, 1.0, 7)], "g string, k double, c long")
+    df = tiny.unionByName(hot).unionByName(null).repartition(5)
+    got = running_totals(df, "k", ["c"], ["g"], n_parts=16).toPandas()
+    exp = df.toPandas().sort_values(["g", "k"])
+    exp["cum"] = exp.groupby("g", dropna=False)["c"].cumsum()
+    exp["tot"] = exp.groupby("g", dropna=False)["c"].transform("sum")
     got = got.sort_values(["g", "k"])
-    exp = pdf.sort_values(["g", "k"]).assign(cum=lambda d: d.groupby("g")["c"].cumsum())
+    assert len(got) == len(exp) == n_small * 2 + 4002
     assert (got["cum_c"].to_numpy() == exp["cum"].to_numpy()).all()
-    q = exact_quantiles(df, "k", [0.5], by=["g"], small_group_rows=50).toPandas().set_index("g")
-    assert q.loc[-1, "q0"] == np.percentile(np.arange(2000.0), 50) and q.loc[5, "q0"] == 2.0
+    assert (got["tot_c"].to_numpy() == exp["tot"].to_numpy()).all()
+    q = exact_quantiles(df, "k", [0.5], by=["g"], n_parts=16).where("g = 'hot' OR g = '7'").toPandas().set_index("g")
+    assert q.loc["hot", "q0"] == np.percentile(np.arange(4000.0), 50) and q.loc["7", "q0"] == 50007.0
+
+
+def test_row_position_per_group_splits_equal_rows_exactly(spark):
+    df = spark.range(1000).selectExpr("id % 2 AS g", "id AS r")
+    pos = row_position(df, ["r"], by=["g"], n_parts=7).toPandas()
+    assert (pos["n_rows"] == 500).all()
+    assert sorted(pos.loc[pos["g"] == 1, "position"]) == list(range(500))
 
 
 def test_approx_quantiles_option(spark):
