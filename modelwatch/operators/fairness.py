@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from modelwatch.functions.columns import fairness_features, pick_group_column
 from modelwatch.functions.scalar import round6
 from modelwatch.operators.metrics import raw_metrics
+from modelwatch.operators.prefix import row_position
+from modelwatch.session import materialize
 
 OVERALL = "__overall__"
 POSITIVE_RATE_SCHEMA = "metric string, group string, value double"
@@ -73,19 +75,28 @@ def fairness_slices(table: DataFrame, metrics: Sequence[str] = ("accuracy", "pre
     return long.groupBy(F.col("group").alias("slice")).pivot("metric", metrics).agg(F.first("value"))
 
 
-def split_train_test(df: DataFrame, key_cols: Sequence[str], seed: int = 42, train_share: float = 0.7) -> DataFrame:
-    """Deterministic split column ``_train`` from a hash of the key columns and the seed:
-    no shuffle, and a recomputed task assigns the same rows (unlike ``randomSplit`` on a
-    non-deterministic input order). About 70 / 30 within each label."""
-    h = F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(1000))
-    return df.withColumn("_train", h < int(round(train_share * 1000)))
+def split_train_test(df: DataFrame, label: str = "label", key_cols: Sequence[str] | None = None,
+                     seed: int = 42, train_share: float = 0.7) -> DataFrame:
+    """Stratified split column ``_train``: within each label the first ``train_share`` of
+    the rows (rounded to whole rows), in the order of a hash of the row id and the seed.
+
+    The id is ``key_cols`` where the caller names columns that identify a row (the split
+    then does not depend on the table's layout), else a row number given once and
+    checkpointed, so equal rows are dealt one by one and a recomputed task repeats the split.
+    """
+    rows = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
+    h = F.xxhash64(*(key_cols or ["_rid"]), F.lit(seed))
+    placed = row_position(rows.withColumn("_h", h), ["_h", "_rid"], by=[label])
+    return (placed.withColumn("_train", F.col("position") < F.round(F.col("n_rows") * F.lit(train_share)))
+            .drop("_rid", "_h", "position", "n_rows"))
 
 
 def train_score_audit(df: DataFrame, group: str | None = None, label: str = "label",
                       seed: int = 42, key_cols: Sequence[str] | None = None, max_iter: int = 1000) -> DataFrame:
-    """Scale numeric features by their std (no centring), fit an L2 logistic regression
-    on 70 % (sklearn's C = 1 is regParam = 1 / n_train in Spark's objective), score the
-    rest, and report ``fairness_by_group`` on the scored part. Distributed MLlib fit."""
+    """Scale numeric features by their std over all rows (no centring), fit an L2 logistic
+    regression on 70 % of each label (C = 1 is regParam = 1 / n_train in Spark's objective),
+    score the rest, and report ``fairness_by_group`` on the scored part. Distributed MLlib
+    fit; the input is computed once (see ``split_train_test``)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -97,18 +108,17 @@ def train_score_audit(df: DataFrame, group: str | None = None, label: str = "lab
         return df.sparkSession.createDataFrame([], "group string, n bigint, accuracy double, precision double, "
                                                    "recall double, f1 double, auc double, pos_rate double")
     feats = [c for c in feats if c != gcol]
-    data = df.select(gcol, F.col(label).cast("double").alias("_label"),
+    keys = {f"_key{i}": F.col(c) for i, c in enumerate(key_cols or [])}
+    data = df.select(gcol, F.col(label).cast("double").alias("_label"), *[c.alias(k) for k, c in keys.items()],
                      *[F.col(c).cast("double").alias(c) for c in feats]).na.drop(subset=feats + ["_label"])
-    data = split_train_test(data, feats + [gcol, "_label"], seed)
+    data = split_train_test(data, "_label", list(keys), seed)
+    scaler = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="_raw"),
+                              StandardScaler(inputCol="_raw", outputCol="_x", withMean=False, withStd=True)]).fit(data)
+    data = scaler.transform(data).select(gcol, "_label", "_train", "_x")
     train = data.where("_train")
     n_train = train.count()
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=feats, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_x", withMean=False, withStd=True),
-        LogisticRegression(featuresCol="_x", labelCol="_label", maxIter=max_iter,
-                           regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False),
-    ])
-    model = pipe.fit(train)
+    model = LogisticRegression(featuresCol="_x", labelCol="_label", maxIter=max_iter, regParam=1.0 / max(n_train, 1),
+                               elasticNetParam=0.0, standardization=False).fit(train)
     scored = model.transform(data.where(~F.col("_train")))
     scored = scored.select(gcol, F.col("_label").cast("int").alias("label"),
                            vector_to_array("probability")[1].alias("y_score"))

@@ -502,6 +502,14 @@ def q_pick_group_column(spark, sf):
     return df.agg(F.lit(g).alias("group_column"), F.countDistinct(g).cast("long").alias("n_groups"))
 
 
+@register("train_test_split", f"""WITH f AS ({fx.FAIRNESS_FRAME_SQL}), n AS (SELECT label, count(*) AS n FROM f GROUP BY label)
+SELECT label, CAST(round(n * 0.7) AS BIGINT) AS n_train, CAST(n - round(n * 0.7) AS BIGINT) AS n_test FROM n""")
+def q_train_test_split(spark, sf):
+    split = FA.split_train_test(fx.fairness_frame(spark, sf), "label", seed=42)
+    return split.groupBy("label").agg(F.count_if("_train").cast("long").alias("n_train"),
+                                      F.count_if(~F.col("_train")).cast("long").alias("n_test"))
+
+
 @register("train_score_audit")
 def q_train_score_audit(spark, sf):
     df = fx.fairness_frame(spark, sf).drop("y_score", "segment")

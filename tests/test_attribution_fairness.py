@@ -71,3 +71,16 @@ def test_overall_row_keeps_rows_without_group(spark):
     df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.1), ("b", 1, 0.8), (None, 0, 0.2), (None, 1, 0.7)], "g string, label int, y_score double")
     n = {r["group"]: r["n"] for r in FA.fairness_by_group(df, "g").collect()}
     assert n == {"a": 2, "b": 1, FA.OVERALL: 5}
+
+
+def test_split_is_stratified_on_few_distinct_rows(spark):
+    df = spark.range(1000).selectExpr("1.0D AS x", "CASE WHEN id % 5 < 2 THEN 1 ELSE 0 END AS label")
+    got = {(r["label"], r["_train"]): r["count"] for r in FA.split_train_test(df).groupBy("label", "_train").count().collect()}
+    assert got == {(0, True): 420, (0, False): 180, (1, True): 280, (1, False): 120}
+
+
+def test_split_by_key_does_not_depend_on_the_layout(spark):
+    df = spark.range(500).selectExpr("id", "id % 2 AS label")
+    one = FA.split_train_test(df, key_cols=["id"]).where("_train").select("id").collect()
+    two = FA.split_train_test(df.repartition(7), key_cols=["id"]).where("_train").select("id").collect()
+    assert {r["id"] for r in one} == {r["id"] for r in two} and len(one) == 350
