@@ -74,8 +74,9 @@ def strip_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
         F.col("fits"), F.struct(F.lit(1).alias("k"), F.col("leaf").alias("id"))).otherwise(
         F.struct(F.lit(0).alias("k"), F.col("h").alias("id"))).alias("template"))
     named = save(named, "templates")
-    recurring = (named.groupBy("template").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("n_docs"))
-                 .where(F.col("n_docs") >= min_docs).select("template", "first"))
+    # Written, so that the join below has no aggregate in its stage and AQE can split a hot template.
+    recurring = save(named.groupBy("template").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("n_docs"))
+                     .where(F.col("n_docs") >= min_docs).select("template", "first"), "recurring")
     gone = (named.join(recurring, "template").where(F.col("doc_id") != F.col("first"))
             .groupBy(F.col("doc_id").alias("_d"), F.col("_th").alias("_t")).agg(F.collect_set("line_no").alias("_gone")))
 
