@@ -86,14 +86,26 @@ def median_per_admission(labs: DataFrame, keys: Sequence[str] = (*INDEX_KEYS, "l
 def pivot_labs(med: DataFrame, labels: dict = LAB_LABELS, index: Sequence[str] = INDEX_KEYS) -> DataFrame:
     """Long -> wide: one column per target label (mean in a cell), named by the short name.
     The explicit value list avoids a distinct pass and keeps empty labels as NULL columns."""
-    wide = med.groupBy(*index).pivot("label", list(labels)).agg(F.avg("value"))
+    return rename_labels(pivot_items(med, list(labels), index), labels)
+
+
+def pivot_items(med: DataFrame, items: Sequence[str], index: Sequence[str] = INDEX_KEYS) -> DataFrame:
+    return med.groupBy(*index).pivot("label", list(items)).agg(F.avg("value"))
+
+
+def rename_labels(wide: DataFrame, labels: dict = LAB_LABELS) -> DataFrame:
+    """Item label columns -> short names; other columns stay."""
     return wide.withColumnsRenamed(dict(labels))
 
 
 def join_admit_time(wide: DataFrame, admissions: DataFrame) -> DataFrame:
     """Earliest admittime per hadm_id (a stable choice of 'first'), as ``charttime``."""
-    first = admissions.groupBy("hadm_id").agg(F.min("admittime").alias("charttime"))
-    return wide.join(first, "hadm_id", "left")
+    return wide.join(dedupe_first(admissions), "hadm_id", "left")
+
+
+def dedupe_first(admissions: DataFrame) -> DataFrame:
+    """One row per hadm_id, with its earliest admittime as ``charttime``."""
+    return admissions.groupBy("hadm_id").agg(F.min("admittime").alias("charttime"))
 
 
 def canonical(wide: DataFrame, columns: Sequence[str] = COHORT_COLUMNS) -> DataFrame:

@@ -17,30 +17,52 @@ ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def file_digest(spark: SparkSession, paths: str | Sequence[str], with_hash: bool = True) -> DataFrame:
-    """(name, path, exists, size_bytes, mtime_epoch, mtime_iso, sha256) per file."""
-    df = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    """(name, path, exists, size_bytes, mtime_epoch, mtime_iso, sha256) per file; a path or
+    pattern that matches nothing gives one row with ``exists`` false and NULLs."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    there = [p for p in paths if _matches(spark, p)]
+    absent = spark.createDataFrame([(p.rsplit("/", 1)[-1], p, False) for p in paths if p not in there],
+                                   "name string, path string, exists boolean")
+    if not there:
+        found = spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+    else:
+        found = spark.read.format("binaryFile").load(there)
     cols = [F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.lit(True).alias("exists"),
             F.col("length").alias("size_bytes"),
             F.unix_timestamp("modificationTime").alias("mtime_epoch"),
             F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), ISO_UTC).alias("mtime_iso")]
     if with_hash:
         cols.append(F.sha2(F.col("content"), 256).alias("sha256"))
-    return df.select(*cols)
+    return found.select(*cols).unionByName(absent, allowMissingColumns=True)
+
+
+def _matches(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def content_digest(df: DataFrame, col: str) -> DataFrame:
+    """The other columns, with ``size_bytes`` and ``sha256`` of a text column's UTF-8 (NULL for NULL)."""
+    return df.select(*[c for c in df.columns if c != col], F.octet_length(col).cast("long").alias("size_bytes"),
+                     F.sha2(F.col(col).cast("binary"), 256).alias("sha256"))
 
 
 def checklist_join(expected: DataFrame, files: DataFrame, name_col: str = "name") -> DataFrame:
     """Expected names left-joined to the files found: (name, present, size_bytes, sha256)."""
     keep = [c for c in ("size_bytes", "sha256") if c in files.columns]
-    f = files.select(F.col(name_col).alias("name"), *keep)
+    there = F.col("exists") if "exists" in files.columns else F.lit(True)
+    f = files.select(F.col(name_col).alias("name"), there.alias("_there"), *keep)
     j = expected.select(F.col(name_col).alias("name")).join(f, "name", "left")
-    return j.select("name", F.col(keep[0]).isNotNull().alias("present") if keep else F.lit(False).alias("present"),
-                    *keep)
+    return j.select("name", F.coalesce("_there", F.lit(False)).alias("present"), *keep)
 
 
 def table_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(rows, fingerprint): count and an order-independent sum of 64-bit row hashes
-    (as DECIMAL(38,0), so the sum cannot overflow). Same rows -> same fingerprint,
-    whatever the partitioning or file layout."""
-    cols = list(cols or df.columns)
-    h = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")
+    """(rows, fingerprint): count and an order-independent sum, as text, of the first 60 bits
+    of each row's SHA-256 over its cells as text (joined by the unit separator, NULL as the
+    zero character; DECIMAL(38,0), so the sum cannot overflow). Same rows -> same
+    fingerprint, whatever the partitioning or file layout."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols or df.columns]
+    digest = F.sha2(F.concat_ws("\x1f", *cells).cast("binary"), 256)
+    h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).cast("long").alias("rows"), F.sum(h).cast("string").alias("fingerprint"))

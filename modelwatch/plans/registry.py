@@ -29,6 +29,16 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def both_splits(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """The rows of both splits, with a ``split`` column."""
+    return baseline.withColumn("split", F.lit("baseline")).unionByName(current.withColumn("split", F.lit("current")))
+
+
+def both_sql(baseline: str, current: str) -> str:
+    return (f"SELECT 'baseline' AS split, * FROM ({baseline}) b_ UNION ALL "
+            f"SELECT 'current' AS split, * FROM ({current}) c_")
+
+
 # ------------------------------------------------------------------ 2.4 metrics
 SEG = ["segment"]
 
@@ -188,16 +198,15 @@ def q_common_columns(spark, sf):
     return ST.common_columns_table(b, c)
 
 
-@register("finite_filter", ST.finite_counts_sql(fx.DRIFT_EVENTS_BASE_SQL, ["value", "user_id"]))
+@register("finite_filter", both_sql(*[ST.finite_counts_sql(side, ["value", "user_id"])
+                                      for side in (fx.DRIFT_EVENTS_BASE_SQL, fx.DRIFT_EVENTS_CURR_SQL)]))
 def q_finite_filter(spark, sf):
-    b, _ = fx.drift_pair_events(spark, sf)
-    return ST.finite_counts(b, ["value", "user_id"])
+    return both_splits(*[ST.finite_counts(side, ["value", "user_id"]) for side in fx.drift_pair_events(spark, sf)])
 
 
-@register("infer_roles", ST.roles_sql(_B_SQL, ST.LINEITEM_ROLES))
+@register("infer_roles", both_sql(ST.roles_sql(_B_SQL, ST.LINEITEM_ROLES), ST.roles_sql(_C_SQL, ST.LINEITEM_ROLES)))
 def q_infer_roles(spark, sf):
-    b, _ = _pair_b(spark, sf)
-    return ST.roles_table(b)
+    return both_splits(*[ST.roles_table(side) for side in _pair_b(spark, sf)])
 
 
 # ------------------------------------------------------------------ prep (2.2, 2.4)
@@ -225,66 +234,73 @@ def _prep_pair(spark, sf):
     return fx.drift_pair_lineitem(spark, sf, null_quantity=True)
 
 
+def _prep_frames(spark, sf):
+    return dict(zip(("baseline", "current"), _prep_pair(spark, sf)))
+
+
+def _both_rounded(frames):
+    return both_splits(rounded(frames["baseline"], PREP_NUM), rounded(frames["current"], PREP_NUM))
+
+
 def _impute_q(strategy):
     def q(spark, sf):
-        b, _ = _prep_pair(spark, sf)
-        return rounded(P.impute(b, PREP_NUM, strategy), PREP_NUM)
+        return _both_rounded(P.impute_many(_prep_frames(spark, sf), PREP_NUM, strategy))
     return q
 
 
-def _impute_sql(strategy):
-    return (f"WITH {osql._impute_sql(_PB_SQL, PREP_NUM, PREP_OTHER, strategy, 'b1')} "
+def _impute_sql(src, strategy):
+    return (f"WITH {osql._impute_sql(src, PREP_NUM, PREP_OTHER, strategy, 'b1')} "
             f"SELECT {osql.round_cols(PREP_NUM + PREP_OTHER, set(PREP_NUM)).replace('round(', 'round(CAST(').replace(', 6)', ' AS DOUBLE), 6)')} FROM b1")
 
 
 for _s in ("drop", "zero", "median"):
-    register(f"impute_{_s}", _impute_sql(_s))(_impute_q(_s))
+    register(f"impute_{_s}", both_sql(_impute_sql(_PB_SQL, _s), _impute_sql(_PC_SQL, _s)))(_impute_q(_s))
 
 
 def _clip_q(method):
     def q(spark, sf):
-        b, _ = _prep_pair(spark, sf)
-        return rounded(P.clip(P.impute(b, PREP_NUM, "drop"), PREP_NUM, method), PREP_NUM)
+        frames = P.impute_many(_prep_frames(spark, sf), PREP_NUM, "drop")
+        bounds = P.clip_bounds_many(frames, PREP_NUM, method)
+        return _both_rounded({side: P.apply_clip(df, bounds[side]) for side, df in frames.items()})
     return q
 
 
-def _clip_sql(method):
-    return (f"WITH {osql._impute_sql(_PB_SQL, PREP_NUM, PREP_OTHER, 'drop', 'b1')}, "
+def _clip_sql(src, method):
+    return (f"WITH {osql._impute_sql(src, PREP_NUM, PREP_OTHER, 'drop', 'b1')}, "
             f"{osql._clip_sql('b1', PREP_NUM, PREP_OTHER, method, 'b2')} "
             f"SELECT {osql.round_cols(PREP_NUM + PREP_OTHER, set(PREP_NUM))} FROM b2")
 
 
-register("clip_zscore", _clip_sql("zscore"))(_clip_q("zscore"))
-register("clip_iqr", _clip_sql("iqr"))(_clip_q("iqr"))
+register("clip_zscore", both_sql(_clip_sql(_PB_SQL, "zscore"), _clip_sql(_PC_SQL, "zscore")))(_clip_q("zscore"))
+register("clip_iqr", both_sql(_clip_sql(_PB_SQL, "iqr"), _clip_sql(_PC_SQL, "iqr")))(_clip_q("iqr"))
 
 
-def _scale_q(scaler, side="current", impute="drop", outliers="zscore"):
+def _prepare_q(**options):
     def q(spark, sf):
-        b, c = _prep_pair(spark, sf)
-        cfg = P.PrepConfig(scaler=scaler, impute=impute, outliers=outliers)
-        bp, cp, _, _, _ = P.prepare_pair(b, c, cfg)
-        return rounded(bp if side == "baseline" else cp, PREP_NUM)
+        bp, cp, _, _, _ = P.prepare_pair(*_prep_pair(spark, sf), P.PrepConfig(**options))
+        return _both_rounded({"baseline": bp, "current": cp})
     return q
 
 
-register("scale_standard", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER))(_scale_q("standard"))
-register("scale_minmax", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, scaler="minmax"))(_scale_q("minmax"))
-register("scale_none", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, scaler="none"))(_scale_q("none"))
-register("prepare", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, impute="median", outliers="iqr",
-                                  side="baseline"))(_scale_q("standard", "baseline", "median", "iqr"))
+def _prepare_sql(what="frame", **options):
+    return both_sql(*[osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, side=side, what=what, **options)
+                      for side in ("baseline", "current")])
+
 
+for _s in ("standard", "minmax", "none"):
+    register(f"scale_{_s}", _prepare_sql(scaler=_s))(_prepare_q(scaler=_s))
+register("prepare", _prepare_sql(impute="median", outliers="iqr"))(_prepare_q(impute="median", outliers="iqr"))
 
-@register("column_profile", f"WITH b AS ({_PB_SQL}) {osql.profile_sql('b', PREP_NUM)}")
+
+@register("column_profile", both_sql(*[f"WITH b AS ({src}) {osql.profile_sql('b', PREP_NUM)}" for src in (_PB_SQL, _PC_SQL)]))
 def q_column_profile(spark, sf):
-    b, _ = _prep_pair(spark, sf)
-    return P.column_profile(b, PREP_NUM)
+    return both_splits(*[P.column_profile(side, PREP_NUM) for side in _prep_pair(spark, sf)])
 
 
-@register("column_profile_after", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, what="profile"))
+@register("column_profile_after", _prepare_sql("profile"))
 def q_column_profile_after(spark, sf):
-    b, c = _prep_pair(spark, sf)
-    _, _, _, _, ci = P.prepare_pair(b, c)
-    return ci["post_stats"]()
+    _, _, _, bi, ci = P.prepare_pair(*_prep_pair(spark, sf))
+    return both_splits(bi["post_stats"](), ci["post_stats"]())
 
 
 _SCALER_SQL = (f"WITH {osql._impute_sql(_PB_SQL, PREP_NUM, PREP_OTHER, 'drop', 'b1')}, "
@@ -303,11 +319,9 @@ def q_scaler_params(spark, sf):
     return t.select("feature", "kind", round6("center").alias("center"), round6("scale").alias("scale"))
 
 
-@register("split_columns", ST.split_columns_sql(_PB_SQL, [], PREP_NUM))
+@register("split_columns", both_sql(ST.split_columns_sql(_PB_SQL, [], PREP_NUM), ST.split_columns_sql(_PC_SQL, [], PREP_NUM)))
 def q_split_columns(spark, sf):
-    b, _ = _prep_pair(spark, sf)
-    ids, num = C.split_columns(b)
-    return ST.split_columns_table(b, ids, num)
+    return both_splits(*[ST.split_columns_table(side, *C.split_columns(side)) for side in _prep_pair(spark, sf)])
 
 
 # ------------------------------------------------------------------ cohort (2.1, 2.3, 2.4, 2.5, 2.6)
@@ -434,15 +448,27 @@ def q_pivot_labs(spark, sf):
     return rounded(CO.pivot_labs(CO.median_per_admission(labs), _T), _LABS)
 
 
-register("rename_labels", ORACLE["pivot_labs"])(q_pivot_labs)
+@register("rename_labels", f"WITH {_COHORT_CTES} " + " UNION ALL ".join(
+    f"SELECT subject_id, hadm_id, '{c}' AS lab, round({c}, 6) AS value FROM wide" for c in _LABS))
+def q_rename_labels(spark, sf):
+    """Columns under the item labels, renamed to the short names and listed by name."""
+    labs = CO.join_patients(_labs_in_window(spark, sf), fx.patients(spark, sf))
+    wide = CO.rename_labels(CO.pivot_items(CO.median_per_admission(labs), list(_T)), _T)
+    return rounded(wide.select("subject_id", "hadm_id", *_LABS), _LABS).unpivot(["subject_id", "hadm_id"], _LABS, "lab", "value")
 
 
-@register("join_admit_time", f"WITH {_COHORT_CTES} SELECT hadm_id, charttime FROM fa")
+@register("join_admit_time", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, charttime, "
+                             + ", ".join(f"round({c}, 6) AS {c}" for c in _LABS) + " FROM cw")
 def q_join_admit_time(spark, sf):
-    return fx.admissions(spark, sf).groupBy("hadm_id").agg(F.min("admittime").alias("charttime"))
+    labs = CO.join_patients(_labs_in_window(spark, sf), fx.patients(spark, sf))
+    wide = CO.join_admit_time(CO.pivot_labs(CO.median_per_admission(labs), _T), fx.admissions(spark, sf))
+    return rounded(wide.select("subject_id", "hadm_id", "charttime", *_LABS), _LABS)
 
 
-register("dedupe_first", ORACLE["join_admit_time"])(q_join_admit_time)
+@register("dedupe_first", f"SELECT hadm_id, min(charttime) AS charttime FROM ({fx.LAB_EVENTS_SQL}) e GROUP BY hadm_id")
+def q_dedupe_first(spark, sf):
+    """Earliest of several rows per admission (here: the lab events' times)."""
+    return CO.dedupe_first(fx.lab_events(spark, sf).select("hadm_id", F.col("charttime").alias("admittime")))
 
 
 # ------------------------------------------------------------------ fairness (2.4, 2.9)
@@ -814,15 +840,37 @@ def q_file_digest(spark, sf):
     return EV.file_digest(spark, f"{sf}/*.parquet")
 
 
-@register("table_fingerprint")
+_LI_CELLS = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in ST.LINEITEM_ALL)
+
+
+@register("table_fingerprint", f"SELECT CAST(COUNT(*) AS BIGINT) AS rows, CAST(SUM(CAST('0x' || substr(sha256("
+                               f"concat_ws(chr(31), {_LI_CELLS})), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM lineitem")
 def q_table_fingerprint(spark, sf):
-    return EV.table_fingerprint(fx.table(spark, sf, "lineitem"))
+    return EV.table_fingerprint(fx.table(spark, sf, "lineitem"), ST.LINEITEM_ALL)
+
+
+_DIGEST_SQL = ("SELECT 'doc-' || doc_id AS name, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS sha256 "
+               "FROM documents")
 
 
-@register("checklist_join")
+def _digest(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    return EV.content_digest(docs.select(F.concat(F.lit("doc-"), "doc_id").alias("name"), "text"), "text")
+
+
+@register("content_digest", _DIGEST_SQL)
+def q_content_digest(spark, sf):
+    return _digest(spark, sf)
+
+
+@register("checklist_join", f"WITH e AS (SELECT 'doc-' || doc_id AS name FROM labels UNION ALL SELECT 'item-' || item_id FROM benchmark) "
+                            f"SELECT e.name, coalesce(f.there, false) AS present, f.size_bytes, f.sha256 FROM e "
+                            f"LEFT JOIN (SELECT *, true AS there FROM ({_DIGEST_SQL}) d) f ON e.name = f.name")
 def q_checklist_join(spark, sf):
-    expected = spark.createDataFrame([(f"{t}.parquet",) for t in fx.TABLES] + [("policy_gate_result.json",)], "name string")
-    return EV.checklist_join(expected, EV.file_digest(spark, f"{sf}/*.parquet", with_hash=False))
+    """Expected names: every labelled document and every benchmark item; found: the documents."""
+    expected = fx.table(spark, sf, "labels").select(F.concat(F.lit("doc-"), "doc_id").alias("name")).union(
+        fx.table(spark, sf, "benchmark").select(F.concat(F.lit("item-"), "item_id")))
+    return EV.checklist_join(expected, _digest(spark, sf))
 
 
 # ------------------------------------------------------------------ sources and sinks (2.1)
@@ -909,15 +957,27 @@ def q_sink_run_log(spark, sf):
     return spark.read.parquet(out).select("run_id", "metric", "value")
 
 
-@register("scan_run_log", f"SELECT DISTINCT run_id FROM ({_PERF_RUN_SQL}) p ORDER BY run_id LIMIT 5")
-def q_scan_run_log(spark, sf):
-    """Metrics written in the tracking layout (one text file per metric), scanned back."""
+def _run_log(spark, sf):
+    """Metrics in the tracking layout (one text file per run and metric), scanned back."""
     root = _scratch(spark, "mlruns")
     long = M.metrics_long(_perf_small(spark, sf), run_col="run_id")
-    line = F.concat_ws(" ", F.lit("0"), F.col("value").cast("string"), F.lit("0"))
+    line = F.concat_ws(" ", (F.length("metric") + 1_700_000_000).cast("string"), F.col("value").cast("string"),
+                       F.length("run_id").cast("string"))
     long.select(F.concat(F.lit("0/"), "run_id").alias("exp_run"), "metric", line.alias("value")) \
         .write.partitionBy("exp_run", "metric").text(root)
-    return S.list_runs(S.scan_run_log(spark, root, layout="partitioned"))
+    return S.scan_run_log(spark, root, layout="partitioned")
+
+
+@register("scan_run_log", f"SELECT run_id, metric, CAST(length(metric) + 1700000000 AS BIGINT) AS ts, value, "
+                          f"CAST(length(run_id) AS BIGINT) AS step FROM ({_METRICS_LONG_SQL}) m")
+def q_scan_run_log(spark, sf):
+    return _run_log(spark, sf)
+
+
+@register("list_runs", f"SELECT DISTINCT run_id FROM ({_PERF_RUN_SQL}) p ORDER BY run_id LIMIT 5")
+def q_list_runs(spark, sf):
+    """The run listing: its first five ids."""
+    return S.list_runs(_run_log(spark, sf))
 
 
 @register("table_head", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
@@ -925,8 +985,14 @@ def q_table_head(spark, sf):
     return S.table_head(fx.table(spark, sf, "orders"), 5, order=["o_orderkey"])
 
 
-# ------------------------------------------------------------------ streaming history (2.7): rows-only
-@register("stream_history")
+# ------------------------------------------------------------------ streaming history (2.7)
+_YEARS_SQL = ("SELECT CAST(year(l_shipdate) AS INTEGER) AS yr, CAST(l_returnflag = 'R' AS INTEGER) AS y_true, "
+              "l_extendedprice / 105000.0 AS y_score FROM lineitem")
+
+
+@register("stream_history",
+          f"SELECT yr, n, auroc, ks_stat, CASE WHEN auroc IS NULL OR auroc < 0.7 OR (ks_stat IS NOT NULL AND ks_stat < 0.1) "
+          f"THEN 'FAIL' ELSE 'PASS' END AS status FROM ({osql.metrics_sql(_YEARS_SQL, ['yr'], ['n', 'auroc', 'ks_stat'])}) m")
 def q_stream_history(spark, sf):
     """Predictions land as files (one per ship year); the stream scores and gates each
     micro-batch and appends its record to the history table, which is read back."""
@@ -936,9 +1002,9 @@ def q_stream_history(spark, sf):
     preds = li.select(F.year("l_shipdate").alias("yr"), (F.col("l_returnflag") == "R").cast("int").alias("y_true"),
                       (F.col("l_extendedprice") / 105000.0).alias("y_score"))
     preds.repartition("yr").write.parquet(src)
-    q = monitor_stream(spark, src, "yr int, y_true int, y_score double", hist, files_per_batch=1)
+    q = monitor_stream(spark, src, "yr int, y_true int, y_score double", hist, by=["yr"], files_per_batch=1)
     q.awaitTermination()
-    return spark.read.parquet(hist).select("batch_id", "n", "auroc", "ks_stat", "status")
+    return spark.read.parquet(hist).select("yr", "n", "auroc", "ks_stat", "status")
 
 
 # ------------------------------------------------------------------ remaining inventory names
@@ -951,21 +1017,31 @@ def q_numeric_coerce(spark, sf):
                      numeric_coerce("event_type").alias("event_type_num"))
 
 
-register("round6", ORACLE["performance_metrics_text"])(q_performance_metrics_text)
+@register("round6", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / 7.0, 6) AS price FROM lineitem")
+def q_round6(spark, sf):
+    li = fx.table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", round6(F.col("l_extendedprice") / 7.0).alias("price"))
+
 
 _CO_NUM = ["anchor_age"] + _LABS
 _CO_OTHER = ["subject_id", "hadm_id", "charttime", "gender", "admission_type", "anchor_year_group"]
 _CO_SIDE = ("(WITH " + _COHORT_CTES + " SELECT " + ", ".join(_CO_OTHER + _CO_NUM) + " FROM cohort WHERE split = '{s}')")
 
 
-@register("reorder_columns", osql.prep_sql(_CO_SIDE.format(s="baseline"), _CO_SIDE.format(s="current"),
-                                           _CO_NUM, _CO_OTHER, side="baseline"))
+_CO_ORDER = ["subject_id", "hadm_id", "charttime", *[c for c in CO.COHORT_COLUMNS
+                                                      if c in _CO_NUM + _CO_OTHER and c not in ("subject_id", "hadm_id", "charttime")]]
+
+
+@register("reorder_columns", f"SELECT *, '{','.join(_CO_ORDER)}' AS column_order FROM (" + both_sql(
+    *[osql.prep_sql(_CO_SIDE.format(s="baseline"), _CO_SIDE.format(s="current"), _CO_NUM, _CO_OTHER, side=side)
+      for side in ("baseline", "current")]) + ") x")
 def q_reorder_columns(spark, sf):
-    """Cohort -> prepare (baseline fits the scaler) -> id/time columns first."""
+    """Cohort -> prepare (baseline fits the scaler) -> id/time columns first; ``column_order``
+    lists the columns as they come out."""
     c = _cohort(spark, sf).drop("position")
     b, cur = c.where("split = 'baseline'").drop("split"), c.where("split = 'current'").drop("split")
-    bp, _, _, _, _ = P.prepare_pair(b, cur)
-    return rounded(bp, _CO_NUM)
+    bp, cp, _, _, _ = P.prepare_pair(b, cur)
+    return both_splits(*[rounded(side, _CO_NUM).withColumn("column_order", F.lit(",".join(side.columns))) for side in (bp, cp)])
 
 
 @register("union_chunks", ORACLE["join_item_labels"])

@@ -38,6 +38,24 @@ def test_file_digest_and_checklist(spark, tmp_path):
     assert got == {"x.json": True, "y.json": False}
 
 
+def test_file_digest_lists_absent_files(spark, tmp_path):
+    (tmp_path / "x.json").write_bytes(b"{}")
+    found = EV.file_digest(spark, [str(tmp_path / "x.json"), str(tmp_path / "y.json")])
+    got = {r["name"]: (r["exists"], r["size_bytes"]) for r in found.collect()}
+    assert got == {"x.json": (True, 2), "y.json": (False, None)}
+    exp = spark.createDataFrame([("x.json",), ("y.json",)], "name string")
+    assert {r["name"]: r["present"] for r in EV.checklist_join(exp, found).collect()} == {"x.json": True, "y.json": False}
+    assert EV.file_digest(spark, str(tmp_path / "z.json")).first()["exists"] is False
+
+
+def test_content_digest_of_text(spark):
+    import hashlib
+    df = spark.createDataFrame([("a", "h\u00e9"), ("b", ""), ("c", None)], "name string, text string")
+    got = {r["name"]: (r["size_bytes"], r["sha256"]) for r in EV.content_digest(df, "text").collect()}
+    assert got["a"] == (3, hashlib.sha256("h\u00e9".encode()).hexdigest())
+    assert got["b"] == (0, hashlib.sha256(b"").hexdigest()) and got["c"] == (None, None)
+
+
 def test_scan_predictions_drops_bad_rows(spark, tmp_path):
     p = tmp_path / "preds.csv"
     p.write_text("﻿y_true,y_pred_prob\n1,0.91\n0,0.12\nx,0.5\n1,abc\n1.0,0.3\n0,0.05\n", encoding="utf-8")
