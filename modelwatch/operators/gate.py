@@ -29,6 +29,7 @@ DEFAULT_POLICY = {
 }
 GATE_DEFAULTS = {"min_auroc": 0.70, "min_ks": 0.10}
 PASS_WORDS = ("pass", "passed", "success")
+NO_GATE = "Gate unavailable; failing closed."
 
 OBSERVED_COLUMNS = ["max_psi", "max_ks", "auroc", "auprc", "log_loss", "parity_gap",
                     "shap_artifact_present", "top_features_detected"]
@@ -195,14 +196,19 @@ def gate_status_normalize(df: DataFrame, status: str = "status", alt: str = "gat
 
 
 def live_validation(perf: DataFrame, gate: DataFrame, run_cols: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Final record per run: status, performance {n, accuracy, auroc, ks}, gate {status, reasons}."""
-    g = gate.select(*run_cols, F.col("status").alias("_gs"), F.col("reasons").alias("_gr"))
+    """Final record per run: status, performance {n, accuracy, auroc, ks}, gate {status,
+    policy, reasons}. A run without a gate record fails, with a reason that says so."""
+    policy = F.struct(*[(F.col(c) if c in gate.columns else F.lit(None)).cast("double").alias(c) for c in GATE_DEFAULTS])
+    g = gate.select(*run_cols, F.col("status").alias("_gs"), F.col("reasons").alias("_gr"), policy.alias("_gp"),
+                    F.lit(True).alias("_there"))
     j = perf.join(g, list(run_cols), "left")
     st = F.coalesce(F.col("_gs"), F.lit("FAIL"))
     return j.select(*run_cols, st.alias("status"),
                     F.struct(F.col("n"), F.col("accuracy_at_05"), F.col("auroc"), F.col("ks_stat")).alias("performance"),
                     F.struct(F.when(st == "PASS", "pass").otherwise("fail").alias("status"),
-                             F.coalesce(F.col("_gr"), F.array().cast("array<string>")).alias("reasons")).alias("gate"))
+                             F.col("_gp").alias("policy"),
+                             F.when(F.col("_there").isNull(), F.array(F.lit(NO_GATE)))
+                             .otherwise(F.coalesce(F.col("_gr"), F.array().cast("array<string>"))).alias("reasons")).alias("gate"))
 
 
 def threshold_table(metrics: DataFrame, run_cols: Sequence[str] = ("run_id",), policy: dict | None = None) -> DataFrame:

@@ -58,22 +58,28 @@ def fail_count_recent(history: DataFrame, n: int = FAIL_WINDOW, by: Sequence[str
 
 
 def trust_audit_summary(perf: DataFrame, gate: DataFrame, fails: DataFrame, top: DataFrame,
-                        run_cols: Sequence[str] = ("run_id",)) -> DataFrame:
+                        run_cols: Sequence[str] = ("run_id",), top_k: int = TOP_FEATURES_CAP) -> DataFrame:
     """One record per run: entries evaluated, drift flags (recent FAILs), max KS
-    (0 when absent), policy status (FAIL when absent), top features (at most 25).
+    (0 when absent), policy status (FAIL when absent), the ``top_k`` first features.
 
-    ``top`` is a ranked feature table already cut to k rows (k bounded), shared by runs;
-    ``fails`` has one row (or one per model, summed here)."""
-    feats = top.orderBy(F.desc("mean_abs_impact"), "name").limit(TOP_FEATURES_CAP) \
+    ``top`` is a ranked feature table shared by the runs. ``fails`` holds the run columns
+    (each run gets its own flags, 0 when absent), or else is one history that all runs
+    share, whose FAILs are summed over its models."""
+    feats = top.orderBy(F.desc("mean_abs_impact"), "name").limit(top_k) \
                .agg(F.sort_array(F.collect_list(F.struct(F.negative("mean_abs_impact").alias("k"), "name")))
                     .alias("f")).select(F.transform("f", lambda x: x["name"]).alias("top_features"))
-    n_fail = fails.agg(F.coalesce(F.sum("n_fail"), F.lit(0)).cast("long").alias("drift_flags"))
+    n_fail = F.coalesce(F.sum("n_fail"), F.lit(0)).cast("long").alias("drift_flags")
     g = gate.select(*run_cols, F.col("status").alias("_gs"))
     j = perf.join(g, list(run_cols), "left")
+    if set(run_cols) <= set(fails.columns):
+        j = j.join(fails.groupBy(*run_cols).agg(n_fail), list(run_cols), "left")
+        flags = F.coalesce(F.col("drift_flags"), F.lit(0))
+    else:
+        flags = fails.agg(n_fail).select("drift_flags").scalar()
     return j.select(
         *run_cols,
         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("entries_evaluated"),
-        n_fail.select("drift_flags").scalar().alias("drift_flags"),
+        flags.cast("long").alias("drift_flags"),
         round6(F.coalesce(F.col("ks_stat"), F.lit(0.0))).alias("max_ks"),
         F.upper(F.coalesce(F.col("_gs"), F.lit("FAIL"))).alias("policy_status"),
         feats.select("top_features").scalar().alias("top_features"))

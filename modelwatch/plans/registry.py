@@ -3,7 +3,7 @@
 ``QUERIES[name](spark, sf_dir) -> DataFrame`` runs the operator on stand-in inputs
 formed from the driver's tables (whole tables, no row caps). ``ORACLE[name]`` is the
 same computation in plain SQL for DuckDB. Operators that SQL cannot express (model
-training, file hashing of Spark's own output) have no oracle entry.
+training, hashing of files) have no oracle entry.
 """
 
 from __future__ import annotations
@@ -676,12 +676,12 @@ def q_gate_status_normalize(spark, sf):
 
 @register("live_validation",
           f"SELECT p.run_id, g.status, p.n, p.accuracy_at_05, p.auroc, p.ks_stat, "
-          f"CASE WHEN g.status = 'PASS' THEN 'pass' ELSE 'fail' END AS gate_status, g.reasons AS gate_reasons "
+          f"CASE WHEN g.status = 'PASS' THEN 'pass' ELSE 'fail' END AS gate_status, g.min_auroc, g.min_ks, g.reasons AS gate_reasons "
           f"FROM ({_PERF_RUN_SQL}) p LEFT JOIN ({_BASIC_GATE_SQL}) g ON p.run_id = g.run_id")
 def q_live_validation(spark, sf):
     perf = PL.run_performance(spark, sf)
     lv = G.live_validation(perf, G.gate_basic(perf))
-    return lv.select("run_id", "status", "performance.*", F.col("gate.status").alias("gate_status"),
+    return lv.select("run_id", "status", "performance.*", F.col("gate.status").alias("gate_status"), "gate.policy.*",
                      F.col("gate.reasons").alias("gate_reasons"))
 
 

@@ -92,3 +92,14 @@ def test_small_ks_prints_plain_decimals(spark):
     from modelwatch.operators import gate as G
     r = G.gate_required(spark.sql("SELECT 1 AS run_id, 0.9D AS auroc, 0.00045D AS ks_stat")).first()
     assert r["reasons"] == ["KS 0.00045 < min_ks 0.1"]
+
+
+def test_live_validation_without_gate_record(spark):
+    perf = spark.createDataFrame([("r1", 4, 1.0, 1.0, 1.0), ("r2", 4, 1.0, 1.0, 1.0)],
+                                 "run_id string, n long, accuracy_at_05 double, auroc double, ks_stat double")
+    gate = G.gate_basic(perf.where("run_id = 'r1'"))
+    out = {r["run_id"]: r for r in G.live_validation(perf, gate).collect()}
+    assert out["r1"]["status"] == "PASS" and out["r1"]["gate"]["reasons"] == []
+    assert out["r1"]["gate"]["policy"]["min_auroc"] == 0.7
+    assert out["r2"]["status"] == "FAIL" and out["r2"]["gate"]["status"] == "fail"
+    assert out["r2"]["gate"]["reasons"] == [G.NO_GATE] and out["r2"]["gate"]["policy"] is None

@@ -126,3 +126,6 @@ def test_trust_audit_summary(spark):
     assert out["r1"]["drift_flags"] == 5
     feats = out["r1"]["top_features"]
     assert len(feats) == 25 and feats[:2] == ["f13", "f20"]        # impact 6.0, ties by name
+    own = spark.createDataFrame([("r1", 7)], "run_id string, n_fail long")
+    out = {r["run_id"]: r["drift_flags"] for r in H.trust_audit_summary(perf, gate, own, top).collect()}
+    assert out == {"r1": 7, "r2": 0}
