@@ -2,16 +2,25 @@
 
 A line is read as tokens between ASCII white space; a token with a digit becomes the
 variable field ``<*>``. The tree has a fixed depth: its first level is the token count,
-the next ``depth`` levels are the leading tokens, and what remains is a leaf. In a leaf
-with several different lines, the template keeps at each position the token that most of
-them hold; a line belongs to the template if at least ``similarity`` of its tokens agree
-with it, and the other positions are variable fields. Any other line is a template of its
-own. Templates found in at least ``min_docs`` documents recur: their lines stay in the
-document with the smallest doc_id and are dropped from all others.
+the next ``depth`` levels are the leading tokens, and what remains is a leaf. A leaf with
+several different lines holds as many templates as its lines ask for, found in rounds
+(``leaf_templates``). A round's template keeps at each position the token that most of the
+lines still open hold; a line belongs to it if at least ``similarity`` of its tokens agree
+with it, and the other positions are variable fields. The other lines stay open for the next
+round. If no line fits, the vote mixes several templates: the open lines are parted by the
+most frequent token that each shares with some but not all of them, and every part goes on
+by itself. A line that shares no such token, or is the only one open, is a template of its
+own. The rounds are about as many as the templates of the fullest leaf. Templates found in
+at least ``min_docs`` documents recur: their lines stay in the document with the smallest
+doc_id and are dropped from all others.
 
 Only hashes, ids and line numbers are grouped and joined for all lines; token rows exist
-only for one copy of each different line of a shared leaf. Every grouping is combined
-before its shuffle, so a line found in a third of all documents is one row per task.
+only for one copy of each different line of a shared leaf, after the first round only for
+open lines. Every grouping is combined before its shuffle, so a line found in a third of all
+documents is one row per task.
+
+The SQL twin votes once a leaf: it agrees where no later round finds a recurring template
+(so at sf0.001 and sf0.01).
 
 Results: a null text stays null (0 lines); an empty text has one empty line; empty lines
 always stay; a row without doc_id is passed through unchanged and not counted; repeated
@@ -24,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import save
+from modelwatch.llm.common import drop, save
 
 FIELD = "<*>"
 #: Hash slots of the first look at shared leaves (a broadcast of that many numbers at most).
@@ -40,6 +49,46 @@ def masked_line(line: Column) -> Column:
     return F.when(norm.rlike("[0-9]"), F.regexp_replace(norm, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(norm)
 
 
+def leaf_templates(words: DataFrame, similarity: float) -> DataFrame:
+    """(h, id): the template of every line that fits one of its leaf.
+
+    ``words`` holds (h, leaf, n_tok, pos, tok) for one copy of each different line. Ends when
+    no group of lines has two open ones; no count of rounds cuts it short."""
+    words, rounds, used = words.withColumnRenamed("leaf", "grp"), [], []
+    while True:
+        top = (words.groupBy("grp", "pos", "tok").agg(F.count(F.lit(1)).alias("n"))
+               .groupBy("grp", "pos").agg(F.max(F.struct("n", "tok"))["tok"].alias("common")))
+        judged = (words.join(top, ["grp", "pos"]).groupBy("h", "grp", "n_tok")
+                  .agg(F.sum((F.col("tok") == F.col("common")).cast("long")).alias("same"))
+                  .select("h", "grp", (F.col("same") >= F.lit(similarity) * F.col("n_tok")).alias("fits")))
+        judged = save(judged, "judged")
+        rounds.append(judged._llm_path)
+        groups = (judged.groupBy("grp").agg(F.sum((~F.col("fits")).cast("long")).alias("n"), F.max("fits").alias("some"))
+                  .where("n > 1"))
+        still = judged.where("not fits").join(groups, "grp").select("h", "grp", "n", "some")
+        if not used:  # written, so that the first round's many words are not shuffled if few lines are open
+            still = save(still, "open")
+        rest = save(words.join(still, ["h", "grp"]), "rest")
+        for done in used:
+            drop(done)
+        n_open, n_mixed = rest.agg(F.count(F.lit(1)), F.count_if(~F.col("some"))).first()
+        if not n_open:
+            break
+        # The same lines less those that fit are a new group, so that each group has one template.
+        words, used = rest.where("some").select("h", F.xxhash64("grp").alias("grp"), "n_tok", "pos", "tok"), [rest]
+        if n_mixed:
+            mixed = rest.where("not some")
+            shares = mixed.groupBy("grp", "pos", "tok").agg(F.count(F.lit(1)).alias("c"))
+            part = (mixed.join(shares, ["grp", "pos", "tok"]).where("c > 1 and c < n")
+                    .groupBy("h", "grp").agg(F.max(F.struct("c", "pos", "tok")).alias("by"))
+                    .select("h", "grp", F.xxhash64("grp", "by.pos", "by.tok").alias("part")))
+            words = save(words.unionByName(mixed.join(part, ["h", "grp"]).select(
+                "h", F.col("part").alias("grp"), "n_tok", "pos", "tok")), "words")
+            used.append(words)
+    found = judged.sparkSession.read.schema(judged.schema).parquet(*rounds)
+    return found.where("fits").select("h", F.col("grp").alias("id"))
+
+
 def strip_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 2) -> DataFrame:
     """``docs`` without the lines of recurring templates, plus n_lines and n_dropped."""
     base = docs.drop("n_lines", "n_dropped").withColumn("_th", F.xxhash64("text"))
@@ -58,20 +107,16 @@ def strip_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     slot = F.pmod("leaf", F.lit(SLOTS)).alias("slot")
     slots = F.broadcast(shared.select(slot).distinct())
 
-    # Leaf templates: the most frequent token of every position, counted over different lines.
+    # Leaf templates: votes and fits count different lines, not their copies.
     words = (lines.where(F.col("n_tok") > depth).select("h", "leaf", "n_tok", "masked", slot)
              .join(slots, "slot", "left_semi").drop("slot").join(shared, "leaf", "left_semi")
              .dropDuplicates(["h", "leaf"]).select("h", "leaf", "n_tok", F.posexplode(F.split("masked", " ")).alias("pos", "tok")))
     words = save(words, "words")
-    top = (words.groupBy("leaf", "pos", "tok").agg(F.count(F.lit(1)).alias("n"))
-           .groupBy("leaf", "pos").agg(F.max(F.struct("n", "tok"))["tok"].alias("common")))
-    agree = (words.join(top, ["leaf", "pos"]).groupBy("h", "leaf", "n_tok")
-             .agg(F.sum((F.col("tok") == F.col("common")).cast("long")).alias("same"))
-             .where(F.col("same") >= F.lit(similarity) * F.col("n_tok")).select("h", F.lit(True).alias("fits")))
-
-    # A line's template: its leaf where it fits the leaf's template, else itself.
-    named = rows.join(agree, "h", "left").select("doc_id", "_th", "line_no", F.when(
-        F.col("fits"), F.struct(F.lit(1).alias("k"), F.col("leaf").alias("id"))).otherwise(
+    fits = leaf_templates(words, similarity)
+
+    # A line's template: one of its leaf where it fits one, else itself.
+    named = rows.join(fits, "h", "left").select("doc_id", "_th", "line_no", F.when(
+        F.col("id").isNotNull(), F.struct(F.lit(1).alias("k"), F.col("id"))).otherwise(
         F.struct(F.lit(0).alias("k"), F.col("h").alias("id"))).alias("template"))
     named = save(named, "templates")
     # Written, so that the join below has no aggregate in its stage and AQE can split a hot template.

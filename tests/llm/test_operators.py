@@ -178,6 +178,55 @@ def test_line_templates(spark):
     assert got[1].n_dropped == 0 and got[2].text == "other words" and got[3].text == "third" and got[None].text == "third"
 
 
+def rounds_by_hand(lines, similarity=0.8, depth=3):
+    """Template name of each different line, by the rounds that line_templates describes."""
+    leaves, name = defaultdict(list), {x: x for x in lines}
+    for x in lines:
+        t = tuple(x.split(" "))
+        if len(t) > depth:
+            leaves[(len(t), t[:depth])].append(t)
+    todo = [(f"leaf {k}", 0, v) for k, v in leaves.items() if len(v) > 1]
+    while todo:
+        at, turn, group = todo.pop()
+        vote = [max((n, x) for x, n in Counter(col).items())[1] for col in zip(*group)]
+        fit = {t for t in group if sum(a == b for a, b in zip(t, vote)) >= similarity * len(t)}
+        name |= {" ".join(t): f"{at} round {turn}" for t in fit}
+        rest = [t for t in group if t not in fit]
+        if fit:
+            todo += [(at, turn + 1, rest)] if len(rest) > 1 else []
+            continue
+        n, parts = Counter(x for t in group for x in enumerate(t)), defaultdict(list)
+        for t in group:
+            shared = [(n[x], *x) for x in enumerate(t) if 1 < n[x] < len(group)]
+            if shared:
+                parts[max(shared)[1:]].append(t)
+        todo += [(f"{at} part {k}", turn + 1, v) for k, v in parts.items()]
+    return name
+
+
+def test_line_templates_of_one_leaf(spark):
+    """Several templates in one leaf: two by majority, then ones that no vote fits at once."""
+    kind, rng = "doc_id long, text string", random.Random(9)
+    two = [f"the service host {x} accepted a new login from outside" for x in ("alpha", "beta", "gamma")]
+    two += [f"the service host {x} refused all old keys of guests" for x in ("delta", "omega")]
+    got = line_templates.strip_templates(spark.createDataFrame(list(enumerate(two)), kind)).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1}
+    word = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    lines = set()
+    for size in (6, 10, 15):
+        for _ in range(12):
+            body = rng.choices(word, k=size)
+            at = rng.randrange(size)
+            lines |= {" ".join(["this is it", *body[:at], x, *body[at + 1:]]) for x in rng.choices(word, k=rng.randint(1, 5))}
+        lines |= {" ".join(["this is it", *rng.choices(word[:20], k=size)]) for _ in range(10)}
+    lines = sorted(lines)
+    name, first = rounds_by_hand(lines), {}
+    want = {d: int(first.setdefault(name[x], d) != d) for d, x in enumerate(lines)}
+    assert len({n.split(" part ")[0] for n in name.values() if "part" in n}) == 3 and sum(want.values()) > 40
+    got = line_templates.strip_templates(spark.createDataFrame(list(enumerate(lines)), kind)).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == want
+
+
 def test_line_templates_run_no_python(spark):
     plan = line_templates.strip_templates(docs_of(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
