@@ -1,12 +1,14 @@
 """Line deduplication with a fixed-depth log-template tree, in DataFrame operations only.
 
 A line is read as tokens between ASCII white space; a token with a digit becomes the
-variable field ``<*>``. The tree has a fixed depth: its first level is the token count,
+variable field ``<*>`` if the line has a token without one, too. A line of nothing but fields
+(a number, a date, a table row) has no constant token to name a template; it is compared by
+its own tokens and joins no leaf. The tree has a fixed depth: its first level is the token count,
 the next ``depth`` levels are the leading tokens, and what remains is a leaf. A leaf with
 several different lines holds as many templates as its lines ask for, found in rounds
 (``leaf_templates``). A round's template keeps at each position the token that most of the
 lines still open hold; a line belongs to it if at least ``similarity`` of its tokens agree
-with it, and the other positions are variable fields. The other lines stay open for the next
+with it, one of them not a field, and the other positions are variable fields. The other lines stay open for the next
 round. If no line fits, the vote mixes several templates: the open lines are parted by the
 most frequent token that each shares with some but not all of them, and every part goes on
 by itself. A line that shares no such token, or is the only one open, is a template of its
@@ -19,8 +21,8 @@ only for one copy of each different line of a shared leaf, after the first round
 open lines. Every grouping is combined before its shuffle, so a line found in a third of all
 documents is one row per task.
 
-The SQL twin votes once a leaf: it agrees where no later round finds a recurring template
-(so at sf0.001 and sf0.01).
+The SQL twin votes once a leaf and takes lines of nothing but fields as equal: it agrees where
+no later round finds a recurring template and no such line recurs (so at sf0.001 and sf0.01).
 
 Results: a null text stays null (0 lines); an empty text has one empty line; empty lines
 always stay; a row without doc_id is passed through unchanged and not counted; repeated
@@ -36,17 +38,19 @@ from pyspark.sql import functions as F
 from modelwatch.llm.common import drop, save
 
 FIELD = "<*>"
+#: A token that is no field.
+CONSTANT = r"(?:^| )(?!<\*>(?: |$))[^ 0-9]+(?: |$)"
 #: Hash slots of the first look at shared leaves (a broadcast of that many numbers at most).
 SLOTS = 1 << 20
 
 
 def masked_line(line: Column) -> Column:
-    """Tokens joined by single spaces, those with digits as variable fields."""
+    """Tokens joined by single spaces, those with digits as variable fields beside a constant one."""
     odd = line.contains("  ")
     for c in "\t\r\v\f":
         odd = odd | line.contains(c)
     norm = F.trim(F.when(odd, F.regexp_replace(line, r"[\x09-\x0D\x20]+", " ")).otherwise(line))
-    return F.when(norm.rlike("[0-9]"), F.regexp_replace(norm, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(norm)
+    return F.when(norm.rlike("[0-9]") & norm.rlike(CONSTANT), F.regexp_replace(norm, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(norm)
 
 
 def leaf_templates(words: DataFrame, similarity: float) -> DataFrame:
@@ -59,8 +63,9 @@ def leaf_templates(words: DataFrame, similarity: float) -> DataFrame:
         top = (words.groupBy("grp", "pos", "tok").agg(F.count(F.lit(1)).alias("n"))
                .groupBy("grp", "pos").agg(F.max(F.struct("n", "tok"))["tok"].alias("common")))
         judged = (words.join(top, ["grp", "pos"]).groupBy("h", "grp", "n_tok")
-                  .agg(F.sum((F.col("tok") == F.col("common")).cast("long")).alias("same"))
-                  .select("h", "grp", (F.col("same") >= F.lit(similarity) * F.col("n_tok")).alias("fits")))
+                  .agg(F.sum((F.col("tok") == F.col("common")).cast("long")).alias("same"),
+                       F.max((F.col("tok") == F.col("common")) & (F.col("tok") != FIELD)).alias("constant"))
+                  .select("h", "grp", ((F.col("same") >= F.lit(similarity) * F.col("n_tok")) & F.col("constant")).alias("fits")))
         judged = save(judged, "judged")
         rounds.append(judged._llm_path)
         groups = (judged.groupBy("grp").agg(F.sum((~F.col("fits")).cast("long")).alias("n"), F.max("fits").alias("some"))
@@ -93,14 +98,14 @@ def strip_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     """``docs`` without the lines of recurring templates, plus n_lines and n_dropped."""
     base = docs.drop("n_lines", "n_dropped").withColumn("_th", F.xxhash64("text"))
     lines = (base.where("doc_id is not null").select("doc_id", "_th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-             .withColumn("masked", masked_line(F.col("line"))).where("masked != ''").drop("line"))
+             .where(F.col("line").rlike(r"[^\x09-\x0D\x20]")).withColumn("masked", masked_line(F.col("line"))).drop("line"))
     n_tok = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     lines = lines.withColumn("n_tok", n_tok).withColumn("h", F.xxhash64("masked")).withColumn(
-        "leaf", F.xxhash64("n_tok", F.substring_index("masked", " ", depth)))
+        "leaf", F.when(~F.col("masked").rlike("[0-9]"), F.xxhash64("n_tok", F.substring_index("masked", " ", depth))))
 
     lines = save(lines, "lines")
     rows = lines.select("doc_id", "_th", "line_no", "h", "leaf")
-    kinds = rows.groupBy("leaf", "h").agg(F.min("doc_id").alias("low"))
+    kinds = rows.where("leaf is not null").groupBy("leaf", "h").agg(F.min("doc_id").alias("low"))
     shared = save(kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf"), "leaves")
     # A first look by hash slot, SLOTS rows at the most whatever the corpus, so that few
     # lines of other leaves carry their text through the exact join.

@@ -227,6 +227,14 @@ def test_line_templates_of_one_leaf(spark):
     assert {r.doc_id: r.n_dropped for r in got} == want
 
 
+def test_lines_of_fields_only(spark):
+    """Different numbers, dates and table rows stay; equal ones recur; no template without a constant token."""
+    lines = ["42", "43", "12.5 7.1 9.0", "8.5 7.1 9.0", "1 2 3 4 5", "1 2 3 4 6", "2021-01-02", "42", "12.5\t7.1  9.0", "<*> 42", "<*> 43",
+             "7 8 9 10 some", "7 8 9 10 other", "page 4 of 9", "page 5 of 9", "9 " * 20_000, "8 " * 20_000]
+    got = line_templates.strip_templates(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_dropped} == {7, 8, 14}
+
+
 def test_line_templates_run_no_python(spark):
     plan = line_templates.strip_templates(docs_of(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
