@@ -95,3 +95,15 @@ def _op5_sql() -> str:
 def op5(spark, sf):
     from modelwatch.llm.embedding_dedup import embedding_groups
     return embedding_groups(table(spark, sf, "embeddings"), threshold=0.9)
+
+
+def _op13_sql() -> str:
+    from modelwatch.llm.fill_middle import fill_in_middle_sql
+    return fill_in_middle_sql()
+
+
+@register("op13_fill_in_middle", _op13_sql())
+def op13(spark, sf):
+    from modelwatch.llm.fill_middle import fill_in_middle, restore
+    made = restore(fill_in_middle(table(spark, sf, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
