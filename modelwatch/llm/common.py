@@ -40,6 +40,13 @@ def id_remainder(m: int, col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string expression, as DuckDB SQL."""
+    bit = "list_reduce([u, 1, 1, 1, 1, 1, 1, 1, 1], lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda c: CAST(ord(c) AS BIGINT))), "
+            f"lambda a, b: {bit.replace('u,', 'xor(a, b),')}), 4294967295)")
+
+
 def slot_of(*cols: str) -> Column:
     """A fixed pseudo-random slot 0 .. 2**20 - 1 of a row, for bounded samples."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 20))

@@ -97,6 +97,36 @@ def op5(spark, sf):
     return embedding_groups(table(spark, sf, "embeddings"), threshold=0.9)
 
 
+def _op11_sql() -> str:
+    from modelwatch.llm.merkle import merkle_sql
+    return merkle_sql()
+
+
+@register("op11_merkle_manifest", _op11_sql())
+def op11(spark, sf):
+    from modelwatch.llm.merkle import FIELDS, fold, leaf_digest, merkle_manifest, proof_digest
+    docs = table(spark, sf, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = leaf_digest(*[lower if c == "text" else F.col(c) for c in FIELDS])
+    hit = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    made = merkle_manifest(docs, keep={"claim": F.when(hit, tampered)})
+    folded = made.withColumn("folded_root", fold(F.coalesce("claim", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _op12_sql() -> str:
+    from modelwatch.llm.quality_rules import quality_rules_sql
+    return quality_rules_sql()
+
+
+@register("op12_quality_rules", _op12_sql())
+def op12(spark, sf):
+    from modelwatch.llm.quality_rules import quality_rules
+    out = quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1"))
+    return out.withColumn("score", F.round("score", 6))
+
+
 def _op13_sql() -> str:
     from modelwatch.llm.fill_middle import fill_in_middle_sql
     return fill_in_middle_sql()
