@@ -178,29 +178,32 @@ def test_line_templates(spark):
     assert got[1].n_dropped == 0 and got[2].text == "other words" and got[3].text == "third" and got[None].text == "third"
 
 
-def rounds_by_hand(lines, similarity=0.8, depth=3):
+def rounds_by_hand(lines, docs=None, similarity=0.8, depth=3):
     """Template name of each different line, by the rounds that line_templates describes."""
+    docs = docs or {x: {d} for d, x in enumerate(lines)}
     leaves, name = defaultdict(list), {x: x for x in lines}
     for x in lines:
         t = tuple(x.split(" "))
         if len(t) > depth:
             leaves[(len(t), t[:depth])].append(t)
-    todo = [(f"leaf {k}", 0, v) for k, v in leaves.items() if len(v) > 1]
+    todo = [(f"leaf {k}", v) for k, v in leaves.items()]
     while todo:
-        at, turn, group = todo.pop()
-        vote = [max((n, x) for x, n in Counter(col).items())[1] for col in zip(*group)]
-        fit = {t for t in group if sum(a == b for a, b in zip(t, vote)) >= similarity * len(t)}
-        name |= {" ".join(t): f"{at} round {turn}" for t in fit}
-        rest = [t for t in group if t not in fit]
+        at, group = todo.pop()
+        if len(group) < 2 or len(set().union(*[docs[" ".join(t)] for t in group])) < 2:
+            continue
+        cols = [Counter(col) for col in zip(*group)]
+        vote = [max((n, x) for x, n in c.items())[1] for c in cols]
+        fit = {t for t in group if sum(a == b for a, b in zip(t, vote)) >= similarity * len(t) and any(a == b != "<*>" for a, b in zip(t, vote))}
+        name |= {" ".join(t): at for t in fit}
         if fit:
-            todo += [(at, turn + 1, rest)] if len(rest) > 1 else []
+            todo.append((f"{at} rest", [t for t in group if t not in fit]))
             continue
-        n, parts = Counter(x for t in group for x in enumerate(t)), defaultdict(list)
-        for t in group:
-            shared = [(n[x], *x) for x in enumerate(t) if 1 < n[x] < len(group)]
-            if shared:
-                parts[max(shared)[1:]].append(t)
-        todo += [(f"{at} part {k}", turn + 1, v) for k, v in parts.items()]
+        shared = [sum(n for n in c.values() if 1 < n < len(group)) for c in cols]
+        if max(shared):
+            pos, parts = shared.index(max(shared)), defaultdict(list)
+            for t in group:
+                parts[t[pos] if cols[pos][t[pos]] > 1 else None].append(t)
+            todo += [(f"{at} part {pos} {k}", v) for k, v in parts.items()]
     return name
 
 
@@ -223,6 +226,7 @@ def test_line_templates_of_one_leaf(spark):
     name, first = rounds_by_hand(lines), {}
     want = {d: int(first.setdefault(name[x], d) != d) for d, x in enumerate(lines)}
     assert len({n.split(" part ")[0] for n in name.values() if "part" in n}) == 3 and sum(want.values()) > 40
+    assert any("rest" in n for n in name.values())
     got = line_templates.strip_templates(spark.createDataFrame(list(enumerate(lines)), kind)).collect()
     assert {r.doc_id: r.n_dropped for r in got} == want
 
@@ -235,6 +239,38 @@ def test_lines_of_fields_only(spark):
     assert {r.doc_id for r in got if r.n_dropped} == {7, 8, 14}
 
 
+LINES = ["42", "43", "12.5 7.1 9.0", "8.5 7.1 9.0", "the cat sat on the mat now", "the cat sat on a mat now", "the cat sat by a rug now",
+         "the dog 12 ran on a rug then", "the dog 13 ran on a rug then", "<*> <*> <*> <*> word 1 2", "<*> <*> <*> <*> other 1 2", " \t", "",
+         "a\x0bb", "x y z é 漢字 ok", "x y z é 漢 ok"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_templates_match_sql_on_mixed_lines(spark, seed):
+    """Leaves with several rounds, lines of fields, groups of one document, ties, against the SQL."""
+    rng = random.Random(seed)
+    rows = []
+    for d in range(60):
+        body = [rng.choice(LINES) for _ in range(rng.randrange(5))]
+        for _ in range(rng.randrange(6)):
+            lead, rest = rng.choice(["we go home", "they stay put"]), [rng.choice("pqrs") + rng.choice("xy") for _ in range(6)]
+            body.append(" ".join([lead, *rest]))
+        rows.append((d, "\n".join(body)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = line_templates.strip_templates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "text").collect()))
+    assert got == Counter(con.sql(line_templates.strip_templates_sql()).fetchall())
+
+
+def test_line_templates_keep_odd_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d\nown", 7, "p", 1, 2, 3, 4), (2, "a b c d\nmine", 8, "q", 5, 6, 7, 8)],
+                               "doc_id long, text string, n_lines int, `_th` string, gone int, row int, th int, `a.b` int")
+    out = line_templates.strip_templates(df)
+    assert out.columns == ["doc_id", "text", "_th", "gone", "row", "th", "a.b", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a b c d\nown", "p", 1, 2, 3, 4, 2, 0), (2, "mine", "q", 5, 6, 7, 8, 2, 1)]
+
+
 def test_line_templates_run_no_python(spark):
     plan = line_templates.strip_templates(docs_of(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
