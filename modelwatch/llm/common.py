@@ -47,9 +47,13 @@ def crc32_sql(text: str) -> str:
             f"lambda a, b: {bit.replace('u,', 'xor(a, b),')}), 4294967295)")
 
 
+#: Slots of ``slot_of``: so many that a share of rows has a cut above 0 at any size.
+SLOTS = 1 << 62
+
+
 def slot_of(*cols: str) -> Column:
-    """A fixed pseudo-random slot 0 .. 2**20 - 1 of a row, for bounded samples."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 20))
+    """A fixed pseudo-random slot 0 .. SLOTS - 1 of a row, for bounded samples."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 2)
 
 
 def bounded(df: DataFrame, key: str, most: int, total: int | None = None) -> DataFrame:
@@ -57,7 +61,7 @@ def bounded(df: DataFrame, key: str, most: int, total: int | None = None) -> Dat
     total = df.count() if total is None else total
     if total <= most:
         return df
-    return df.where(slot_of(key) < int(most / total * (1 << 20)))
+    return df.where(slot_of(key) < int(most / total * SLOTS))
 
 
 def chunks(frames: Iterator[pd.DataFrame], chars: int, col: str = "text") -> Iterator[pd.DataFrame]:
@@ -79,15 +83,14 @@ def per_text(docs: DataFrame, keep: list, make: Callable, schema: str, chars: in
 
     ``make()`` runs once per task and returns a function from a list of texts (None for
     null) to a dict of equally long columns named as in ``schema``. Only the text goes
-    through Python, about ``chars`` characters at a time.
+    through Python, about ``chars`` characters at a time; what they give is handed on before
+    the next are read.
     """
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         work = make()
-        for series in batches:
-            parts = [pd.DataFrame(work([t if isinstance(t, str) else None for t in p["text"]]))
-                     for p in chunks(iter([pd.DataFrame({"text": series})]), chars)]
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(work([]))
+        for p in chunks((pd.DataFrame({"text": series}) for series in batches), chars):
+            yield pd.DataFrame(work([t if isinstance(t, str) else None for t in p["text"]]))
 
     out = docs.select(*keep, run(F.col("text").cast("string")).alias("_made"))
     return out.select(*[c for c in out.columns if c != "_made"], "_made.*")

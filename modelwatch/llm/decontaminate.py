@@ -14,9 +14,16 @@ A window without any shingle of any item has similarity 0 to all of them, so onl
 that hold at least one are fingerprinted; no match is lost by that. Items shorter than
 five words are compared as one whole shingle.
 
-The items go through in blocks of ``block_items``, so what is broadcast is bounded however
-large the benchmark is. Null texts and texts without words match nothing; repeated rows
-keep their rows; an empty benchmark or table gives no matches; other columns are ignored.
+The items go through in blocks of ``block_items``, one Spark job a block: its index is built,
+broadcast, and let go before the next block is read, so neither the driver nor a worker ever
+holds more than one, however large the benchmark is. What a block finds (few rows: a hash of
+the text and the items in it) is written to the shared folder; at the end the findings join
+the documents by that hash. A benchmark of one block needs no such table.
+
+Null texts and texts without words match nothing; a document that holds an item without an id
+is contaminated, without that item in its ``item_ids``; repeated items are one; repeated rows
+keep their rows; texts of any length are read as a whole; an empty benchmark or table gives
+no matches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import per_text
+from modelwatch.llm.common import drop, per_text, save
 
 WORD = re.compile(r"\w+").findall
 BLOCK_ITEMS = 2048
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 1_000_000
+CACHE = 200_000
 
 
 def word_hashes(words: list[str], seen: dict[str, int]) -> np.ndarray:
@@ -171,29 +178,48 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
           radius: int = 15, block_items: int = BLOCK_ITEMS, keep: list[str] | None = None) -> DataFrame:
     """Every document row (``keep`` columns, default doc_id) with contaminated (boolean),
     item_ids (sorted) and similarity (of the best match; 0 without one)."""
-    spark = docs.sparkSession
     keep = list(keep or ["doc_id"])
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    items = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string"))
-    # Read block by block; only one block's texts and index are on the driver at a time.
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    made = f"ids array<{kind}>, best double"
+    rows = docs.select(F.struct(*keep).alias("_row"), F.col("text").cast("string").alias("text"))
     n_blocks = max(1, -(-items.count() // block_items))
-    out, made = docs.select(F.struct(*keep).alias("_row"), "text"), []
-    for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect() if n_blocks > 1 else items.collect()
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in rows], shingle, radius, threshold))
-        out = per_text(out, [c for c in out.columns], _matcher(index, b), f"_ids{b} array<{kind}>, _best{b} double", 8_000_000)
-        made.append(b)
-    ids = F.array_sort(F.concat(*[f"_ids{b}" for b in made]))
-    best = F.greatest(*[f"_best{b}" for b in made]) if len(made) > 1 else F.col("_best0")
-    return out.select("_row.*", (F.size(ids) > 0).alias("contaminated"), ids.alias("item_ids"), best.alias("similarity"))
-
-
-def _matcher(index, b: int):
+    if n_blocks == 1:
+        out = per_text(rows, ["_row"], _matcher(_index(items, shingle, radius, threshold)), made, 8_000_000)
+    else:
+        texts = rows.select(F.xxhash64("text").alias("_h"), "text")
+        found = [_found(texts, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b), made, shingle, radius, threshold)
+                 for b in range(n_blocks)]
+        every = found[0].sparkSession.read.schema(found[0].schema).parquet(*[f._llm_path for f in found])
+        every = save(every.groupBy("_h").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.max("best").alias("best")), "leaks")
+        for f in found:
+            drop(f)
+        out = rows.select("_row", F.xxhash64("text").alias("_h")).join(every, "_h", "left")
+    ids = F.coalesce("ids", F.array().cast(f"array<{kind}>"))
+    return out.select("_row.*", (F.size(ids) > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.array_compact(ids))).alias("item_ids"),
+                      F.coalesce("best", F.lit(0.0)).alias("similarity"))
+
+
+def _index(items: DataFrame, shingle: int, radius: int, threshold: float):
+    """Broadcast index of one block of items."""
+    return items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()], shingle, radius, threshold))
+
+
+def _found(texts: DataFrame, items: DataFrame, made: str, shingle: int, radius: int, threshold: float) -> DataFrame:
+    """(_h, ids, best) of the different texts that hold an item of the block, written."""
+    index = _index(items, shingle, radius, threshold)
+    hits = per_text(texts, ["_h"], _matcher(index), made, 8_000_000).where("size(ids) > 0")
+    out = save(hits.dropDuplicates(["_h"]), "found")
+    index.unpersist()
+    return out
+
+
+def _matcher(index):
     def make():
         seen: dict[str, int] = {}
 
         def work(texts):
             found = [index.value.match(word_hashes(WORD(t.lower()), seen)) if t and index.value.known else {} for t in texts]
-            return {f"_ids{b}": [list(m) for m in found], f"_best{b}": [float(max(m.values(), default=0.0)) for m in found]}
+            return {"ids": [list(m) for m in found], "best": [float(max(m.values(), default=0.0)) for m in found]}
         return work
     return make

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import chunks, id_remainder, per_text, save, slot_of
+from modelwatch.llm.common import SLOTS, chunks, id_remainder, per_text, save, slot_of
 
 #: Slots of the filter and hashes per n-gram; letters per n-gram.
 SLOT_BITS, HASHES, N = 20, 2, 3
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, typical: float = 0.5, least:
         return Model([], None, np.zeros((1 << SLOT_BITS, width), dtype=np.uint64))
     cut = F.lit(0)
     for lang, n in sizes.items():
-        cut = F.when(F.col("lang") == lang, int(min(1.0, fit_docs / n) * (1 << 20))).otherwise(cut)
+        cut = F.when(F.col("lang") == lang, int(min(1.0, fit_docs / n) * SLOTS)).otherwise(cut)
     sample = docs.where(slot_of("doc_id") < cut).select("text", "lang")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -30,10 +30,11 @@ from modelwatch.llm.common import per_text
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-#: Fixed odd multiplier of the rolling hash; longest word of the batched path; cached words.
-BASE, LONG, CACHE = np.uint64(0x9E3779B97F4A7C15), 48, 600_000
-#: Slots for remembered pairs; characters encoded at a time.
-SLOT_BITS, CHARS = 20, 4_000_000
+#: Fixed odd multiplier of the rolling hash; longest word of the batched path; words that a
+#: worker remembers from one chunk to the next.
+BASE, LONG, CACHE = np.uint64(0x9E3779B97F4A7C15), 48, 150_000
+#: Slots for remembered pairs (the only place they are kept); characters encoded at a time.
+SLOT_BITS, CHARS = 20, 2_000_000
 SLOTS = 1 << SLOT_BITS
 #: The codec of this Python worker, by the id of its model; tasks of one worker share it.
 _OWN: dict[str, "Codec"] = {}
@@ -75,7 +76,6 @@ class Codec:
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.slot_key = np.full(SLOTS, -1, dtype=np.int64)   # one remembered pair per slot
         self.slot_ok = np.zeros(SLOTS, dtype=bool)
-        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
 
     def _key(self, s: str) -> int:
@@ -97,21 +97,22 @@ class Codec:
                 return sym
             sym[at:at + 2] = [sym[at] + sym[at + 1]]
 
+    def apart(self, a: int, b: int) -> bool:
+        """Whether the merges leave two pieces apart."""
+        x, y = self.name[a], self.name[b]
+        return self.merge(x + y) == [x, y]
+
     def allowed(self, a: int, b: int) -> bool:
-        ok = self.pairs.get(k := (a << 32) | b)
-        if ok is None:
-            x, y = self.name[a], self.name[b]
-            ok = self.pairs[k] = self.merge(x + y) == [x, y]
-        return ok
+        return bool(self.allowed_all(np.array([(a << 32) | b]))[0])
 
     def allowed_all(self, key: np.ndarray) -> np.ndarray:
-        """``allowed`` for packed pairs; answers come from the slots, misses are worked out once."""
+        """``apart`` for packed pairs; answers come from the slots, misses are worked out."""
         slot = ((key.astype(np.uint64) * BASE) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         out = self.slot_ok[slot]
         miss = np.flatnonzero(self.slot_key[slot] != key)
         if len(miss):
             uniq, inv = np.unique(key[miss], return_inverse=True)
-            ok = np.array([self.allowed(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in uniq], dtype=bool)
+            ok = np.array([self.apart(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in uniq], dtype=bool)
             out[miss] = ok[inv]
             first = np.zeros(len(uniq), dtype=np.int64)
             first[inv] = slot[miss]
@@ -197,8 +198,6 @@ class Codec:
         return self._ids(word, steps[::-1])
 
     def learn(self, words: set[str]) -> None:
-        if len(self.pairs) > 4 * CACHE:
-            self.pairs.clear()
         groups: dict[int, list[str]] = {}
         for w in words:
             if len(w) > LONG or w.startswith(MARK * 2):

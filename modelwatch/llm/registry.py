@@ -34,7 +34,7 @@ def op2(spark, sf):
 def op3(spark, sf):
     import public_tokenizers
     from modelwatch.llm.piece_codec import piece_codes
-    return piece_codes(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return piece_codes(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @register("op8_token_counts")
@@ -77,7 +77,7 @@ def op4(spark, sf):
 def op6(spark, sf):
     from modelwatch.llm.toxicity import toxicity
     out = toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    return out.withColumn("n_offending", F.size("offending").cast("long")).drop("offending")
+    return out.withColumn("n_offending", F.size("offending").cast("long"))
 
 
 @register("op7_lm_scoring")

@@ -57,10 +57,10 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): ``fp`` is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): ``fp`` is the fingerprint as a signed long."""
     def make():
         return lambda texts: {"fp": np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)}
-    return per_text(docs, [F.col("doc_id").cast("long").alias("doc_id")], make, "fp long")
+    return per_text(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")], make, "fp long")
 
 
 class Tree:
@@ -199,7 +199,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, sample: i
                    shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest
     doc_id reachable over links of at most ``radius`` differing bits), n_copies (rows with
-    the same fingerprint)."""
+    the same fingerprint), text_hash (tells texts under one doc_id apart)."""
     own = save(fingerprints(docs, shingle), "fp")
     classes = save(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n_copies")), "classes")
     roots = components(link_fingerprints(classes, radius, sample, shard_rows))
@@ -211,4 +211,4 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, sample: i
     named = save(named, "named")
     drop(classes)
     return own.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", "text_hash")

@@ -324,6 +324,19 @@ def test_odd_rows(spark, rows):
     if rows:
         assert {r.component_id for r in fp if r.doc_id in (1, 2, 6)} == {1}
         assert [r.item_ids for r in DC.leaks(docs, items).where("doc_id = 5").collect()] == [[3], [3]]
+        for block_items in (1, 100):      # an item without an id is found, but has no id to name
+            bad = DC.leaks(docs, items.where("item_id is null or item_id <> 3"), block_items=block_items).where("contaminated").collect()
+            assert [(r.doc_id, r.item_ids, r.similarity) for r in bad] == [(5, [], 1.0)] * 2
+
+
+def test_bounded_samples_at_any_size(spark):
+    from modelwatch.llm import common
+    df = spark.range(100_000)
+    assert 800 < common.bounded(df, "id", 1000).count() < 1200
+    assert common.bounded(df, "id", 1000, total=10).count() == 100_000
+    for most, total in ((20_000, 10 ** 15), (65_536, 10 ** 16)):       # far beyond what 20 bits of a slot can tell apart
+        assert abs(int(most / total * common.SLOTS) / common.SLOTS * total - most) < 1e-3 * most
+    assert df.where(common.slot_of("id") < 0).count() == 0 and df.where(common.slot_of("id") >= common.SLOTS).count() == 0
 
 
 def test_odd_embeddings(spark):
