@@ -36,11 +36,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps the document with the smallest doc_id of each group linked by SimHash
     (3-word shingles, 2 bits)."""
     groups = simhash_dedup.simhash_groups(docs, shingle=3, radius=2)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    # One text stands for its group: texts under one id can be in different groups.
+    keep = (groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
+            .withColumnRenamed("component_id", "doc_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    named = rows.where("doc_id is not null").join(keep, ["doc_id", "text_hash"], "left_semi")
+    one = Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64("row"))
+    named = named.withColumn("n", F.row_number().over(one)).where("n = 1")
+    return named.select("row.*").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
