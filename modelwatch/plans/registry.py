@@ -294,7 +294,7 @@ register("prepare", _prepare_sql(impute="median", outliers="iqr"))(_prepare_q(im
 
 @register("column_profile", both_sql(*[f"WITH b AS ({src}) {osql.profile_sql('b', PREP_NUM)}" for src in (_PB_SQL, _PC_SQL)]))
 def q_column_profile(spark, sf):
-    return both_splits(*[P.column_profile(side, PREP_NUM) for side in _prep_pair(spark, sf)])
+    return P.column_profile_many(_prep_frames(spark, sf), PREP_NUM).withColumnRenamed("side", "split")
 
 
 @register("column_profile_after", _prepare_sql("profile"))
@@ -569,9 +569,8 @@ def q_top_features_named(spark, sf):
 
 
 def _scratch(spark, name: str) -> str:
-    import uuid
-    from modelwatch.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/modelwatch-scratch/{name}-{uuid.uuid4().hex}"
+    from modelwatch.session import scratch_path
+    return scratch_path(spark, name)
 
 
 @register("normalize_features", f"SELECT name, mean_abs_impact FROM ({_TOP_SQL}) t")

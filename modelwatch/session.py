@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every modelwatch job relies on. AQE re-plans joins from runtime sizes (a
 # size-checked broadcast with sort-merge as the fallback) and splits skewed partitions.
@@ -50,7 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; we only set our own when it is
-    unset (local tests), and never use a machine-local folder on a cluster.
+    unset (local tests), and never use a machine-local folder on a cluster. The setting
+    can't be changed in a running session, so our own is kept by the context alone.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -58,12 +60,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="modelwatch-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/modelwatch-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def write_scratch(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back: later jobs read
+    files that every executor reaches. ``drop_scratch`` deletes it when nothing reads it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop_scratch(df: DataFrame) -> None:
+    path, spark = getattr(df, "_scratch", None), df.sparkSession
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

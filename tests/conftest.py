@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,10 +12,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from modelwatch.session import get_session
-    s = get_session(master="local[4]", shuffle_partitions=8)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="mw-test-ckpt-"))
-    yield s
+    yield get_session(master="local[4]", shuffle_partitions=8)
 
 
 def rows(df, *cols):
