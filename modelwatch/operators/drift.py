@@ -125,15 +125,21 @@ def psi_table(counts: DataFrame, stats: DataFrame, bins: int = PSI_BINS) -> Data
 
 def drift_by_feature(baseline: DataFrame, current: DataFrame, ignore_cols=(),
                      cols: Sequence[str] | None = None, gate_variant: bool = False,
-                     n_parts: int | None = None, rounded: bool = True) -> DataFrame:
-    """(feature, psi, ks, drift_flag) for every comparable column with data on both sides."""
+                     n_parts: int | None = None, rounded: bool = True, bins: int = PSI_BINS,
+                     approx: bool = False) -> DataFrame:
+    """(feature, psi, ks, drift_flag) for every comparable column with data on both sides.
+
+    ``approx`` takes both from quantile sketches (``sketch_drift``, which also tells how far
+    off they can be): no row per value is shuffled."""
     cols = list(cols) if cols is not None else drift_columns(baseline, current, ignore_cols, gate_variant)
     spark = baseline.sparkSession
     if not cols:
         return spark.createDataFrame([], "feature string, psi double, ks double, drift_flag boolean")
-    counts, stats = feature_stats(value_counts(baseline, current, cols), n_parts)
-    p = psi_table(counts, stats)
-    j = stats.select("feature", "ks").join(p, "feature")
+    if approx:
+        j = _sketched(baseline, current, cols, bins)
+    else:
+        counts, stats = feature_stats(value_counts(baseline, current, cols), n_parts)
+        j = stats.select("feature", "ks").join(psi_table(counts, stats, bins), "feature")
     flag = (F.col("psi") >= DRIFT_FLAG_LEVEL) | (F.col("ks") >= DRIFT_FLAG_LEVEL)
     out = j.select("feature", "psi", "ks", flag.alias("drift_flag"))
     if rounded:
@@ -141,12 +147,27 @@ def drift_by_feature(baseline: DataFrame, current: DataFrame, ignore_cols=(),
     return out
 
 
-def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:
-    counts, stats = feature_stats(value_counts(baseline, current, cols))
-    return psi_table(counts, stats).select("feature", round6("psi").alias("psi"))
+def _sketched(baseline: DataFrame, current: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
+    from modelwatch.operators.sketch_drift import sketched_drift
+    return sketched_drift(baseline, current, cols, bins)
+
+
+def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str], bins: int = PSI_BINS, approx: bool = False) -> DataFrame:
+    """(feature, psi) over ``bins`` bins; ``approx``: from quantile sketches."""
+    if bins < 1:
+        raise ValueError("bins must be 1 or more")
+    if approx:
+        table = _sketched(baseline, current, cols, bins)
+    else:
+        counts, stats = feature_stats(value_counts(baseline, current, cols))
+        table = psi_table(counts, stats, bins)
+    return table.select("feature", round6("psi").alias("psi"))
 
 
-def ks_two_sample(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:
+def ks_two_sample(baseline: DataFrame, current: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
+    """(feature, ks); ``approx``: from quantile sketches."""
+    if approx:
+        return _sketched(baseline, current, cols, PSI_BINS).select("feature", round6("ks").alias("ks"))
     _, stats = feature_stats(value_counts(baseline, current, cols))
     return stats.select("feature", round6("ks").alias("ks"))
 

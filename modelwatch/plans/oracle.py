@@ -120,9 +120,8 @@ def _unpivot(src: str, cols, side: str, kind: str = "DOUBLE", name: str = "value
         for c in cols)
 
 
-def drift_core_sql(base: str, curr: str, cols) -> str:
+def drift_core_sql(base: str, curr: str, cols, bins: int = 10) -> str:
     """CTEs: lf (finite long rows), ks, pc (baseline p1/p99), hist, psi."""
-    bins = 10
     edge_terms = " + ".join(
         f"CASE WHEN value >= p1 + CAST({i} AS DOUBLE) * step THEN 1 ELSE 0 END" for i in range(1, bins))
     hist_cols = ", ".join(
@@ -157,7 +156,7 @@ pq AS (SELECT feature, n,
        FROM bs GROUP BY feature, n),
 pc AS (SELECT feature, n AS n_base, {_lerp('lo1', 'hi1', 't1')} AS p1, {_lerp('lo99', 'hi99', 't99')} AS p99
        FROM pq WHERE feature IN (SELECT feature FROM ks)),
-ed AS (SELECT *, (p99 - p1) / CAST(10 AS DOUBLE) AS step FROM pc),
+ed AS (SELECT *, (p99 - p1) / CAST({bins} AS DOUBLE) AS step FROM pc),
 bn AS (SELECT lf.feature, lf.side, 1 + {edge_terms} AS bin
        FROM lf JOIN ed ON lf.feature = ed.feature WHERE value >= p1 AND value <= p99),
 hist AS (SELECT feature, {hist_cols} FROM bn GROUP BY feature),
@@ -165,8 +164,13 @@ ht AS (SELECT *, {tb} AS tb, {tc} AS tc FROM hist),
 psi AS (SELECT feature, {psi_terms} AS psi FROM ht)"""
 
 
-def drift_sql(base: str, curr: str, cols, what: str = "full") -> str:
-    core = drift_core_sql(base, curr, cols)
+def drift_sql(base: str, curr: str, cols, what: str = "full", bins: int = 10) -> str:
+    core = drift_core_sql(base, curr, cols, bins)
+    if what == "sketched":
+        flag = "psi >= 0.1 OR ks >= 0.1"
+        return (f"WITH {core} SELECT feature, (SELECT count(*) FROM lf WHERE lf.feature = psi.feature AND side = 'b') AS n_base, "
+                f"(SELECT count(*) FROM lf WHERE lf.feature = psi.feature AND side = 'c') AS n_curr, "
+                f"true AS psi_within, true AS ks_within, {flag} AS drift_flag FROM psi JOIN ks USING (feature)")
     if what == "psi":
         return f"WITH {core} SELECT feature, round(psi, 6) AS psi FROM psi"
     if what == "ks":

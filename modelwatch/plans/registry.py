@@ -11,6 +11,7 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from modelwatch.plans import fixtures as fx
 from modelwatch.plans import oracle as osql
@@ -29,6 +30,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _scratch(spark, name: str) -> str:
+    from modelwatch.session import scratch_path
+    return scratch_path(spark, name)
+
+
 def both_splits(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """The rows of both splits, with a ``split`` column."""
     return baseline.withColumn("split", F.lit("baseline")).unionByName(current.withColumn("split", F.lit("current")))
@@ -122,6 +128,7 @@ def q_distinct_scores(spark, sf):
 
 # ------------------------------------------------------------------ drift (2.4, 2.2)
 from modelwatch.operators import drift as D  # noqa: E402
+from modelwatch.operators import sketch_drift as SD  # noqa: E402
 from modelwatch.functions import columns as C  # noqa: E402
 from modelwatch.operators import schema_tables as ST  # noqa: E402
 
@@ -157,6 +164,39 @@ def q_psi(spark, sf):
     return D.psi(b, c, fx.DRIFT_EVENTS_COLS)
 
 
+@register("psi_bins", osql.drift_sql(_B_SQL, _C_SHIFT_SQL, fx.DRIFT_LINEITEM_COLS, "psi", bins=25))
+def q_psi_bins(spark, sf):
+    b, c = fx.drift_pair_lineitem(spark, sf, shift_quantity=1.2)
+    return D.psi(b, c, fx.DRIFT_LINEITEM_COLS, bins=25)
+
+
+def _within(sketched: DataFrame, exact: DataFrame) -> DataFrame:
+    """Sketched drift beside the exact values: whether they lie in the limits."""
+    e = exact.select("feature", F.col("psi").alias("_psi"), F.col("ks").alias("_ks"), F.col("drift_flag").alias("_flag"))
+    slack = 1e-9
+    return sketched.join(e, "feature").select(
+        "feature", "n_base", "n_curr", ((F.col("_psi") >= F.col("psi_low") - slack) & (F.col("_psi") <= F.col("psi_high") + slack)).alias("psi_within"),
+        ((F.col("_ks") >= F.col("ks_low") - slack) & (F.col("_ks") <= F.col("ks_high") + slack)).alias("ks_within"),
+        F.when(F.col("decided"), F.col("drift_flag")).otherwise(F.col("_flag")).alias("drift_flag"))
+
+
+@register("drift_sketched", osql.drift_sql(_B_SQL, _C_SHIFT_SQL, fx.DRIFT_LINEITEM_COLS, "sketched"))
+def q_drift_sketched(spark, sf):
+    b, c = fx.drift_pair_lineitem(spark, sf, shift_quantity=1.2)
+    return _within(SD.sketched_drift(b, c, fx.DRIFT_LINEITEM_COLS),
+                   D.drift_by_feature(b, c, cols=fx.DRIFT_LINEITEM_COLS, rounded=False))
+
+
+@register("drift_windows", osql.drift_sql(fx.DRIFT_EVENTS_BASE_SQL, fx.DRIFT_EVENTS_CURR_SQL, fx.DRIFT_EVENTS_COLS, "sketched"))
+def q_drift_windows(spark, sf):
+    """A sketch a day, stored; two windows of days merged and compared."""
+    events = fx.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    path = SD.sink_sketches(SD.column_sketches(events, fx.DRIFT_EVENTS_COLS, by=["day"]), _scratch(spark, "sketches"), ["day"])
+    stored, split = spark.read.parquet(path), F.col("day") < F.lit(fx.EVENTS_SPLIT_TS).cast("date")
+    merged = SD.drift_of_sketches(SD.merge_sketches(stored.where(split)), SD.merge_sketches(stored.where(~split)))
+    return _within(merged, D.drift_by_feature(*fx.drift_pair_events(spark, sf), cols=fx.DRIFT_EVENTS_COLS, rounded=False))
+
+
 @register("ks_two_sample", osql.drift_sql(_B_SQL, _C_SQL, fx.DRIFT_LINEITEM_COLS, "ks"))
 def q_ks_two_sample(spark, sf):
     b, c = _pair_b(spark, sf)
@@ -210,8 +250,6 @@ def q_infer_roles(spark, sf):
 
 
 # ------------------------------------------------------------------ prep (2.2, 2.4)
-from pyspark.sql import functions as F  # noqa: E402
-
 from modelwatch.functions.scalar import round6  # noqa: E402
 from modelwatch.operators import prep as P  # noqa: E402
 from modelwatch.operators import cohort as CO  # noqa: E402
@@ -568,11 +606,6 @@ def q_top_features_named(spark, sf):
     return A.top_features_named(A.mean_abs_impact(fx.contributions(spark, sf)))
 
 
-def _scratch(spark, name: str) -> str:
-    from modelwatch.session import scratch_path
-    return scratch_path(spark, name)
-
-
 @register("normalize_features", f"SELECT name, mean_abs_impact FROM ({_TOP_SQL}) t")
 def q_normalize_features(spark, sf):
     path = _scratch(spark, "top_features")
