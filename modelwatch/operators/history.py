@@ -1,19 +1,23 @@
 """Run history and audit summaries.
 
-History is an append-only table (one record per run). "Last n" views use
-``row_number() <= n`` per model; Spark plans it with a partial ``WindowGroupLimit``
-before the shuffle, so each task forwards at most n rows per model whatever the size
-of a model's history.
+The history table holds the newest ``HISTORY_KEEP`` records of every model, one per record
+key. ``append_history`` merges records into it and can be called again with the same ones,
+from a retried batch or a replayed stream, without a change. "Last n" views and the merge use
+``row_number() <= n`` per model; Spark plans it with a partial ``WindowGroupLimit`` before
+the shuffle, so each task forwards at most n rows per model whatever the size of a model's
+history. So the table is all the state there is: it is bounded, lies in shared storage, and
+no task holds a model's rows beyond the n.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modelwatch.functions.scalar import round6
+from modelwatch.session import drop_scratch, write_scratch
 
 HISTORY_KEEP = 200       # records kept per model (the reference's cap)
 HISTORY_SHOW = 50        # newest records shown
@@ -32,12 +36,42 @@ def history_record(runs: DataFrame, run_cols: Sequence[str] = ("run_id",)) -> Da
                        F.coalesce(F.col("reasons"), F.array().cast("array<string>")).alias("reasons"))
 
 
-def append_history(records: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Append records to the history table (Parquet); usable from ``foreachBatch``."""
-    w = records.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def append_history(records: DataFrame, path: str, by: Sequence[str] = ("model",), ts: str = "ts",
+                   key: Sequence[str] = ("run_id",), keep: int = HISTORY_KEEP, buckets: int = 64) -> None:
+    """Merge records into the history table at ``path`` (Parquet); usable from ``foreachBatch``.
+
+    The table keeps the newest ``keep`` records per ``by`` in the order of ``ts`` and ``key``.
+    Records with the ``by`` and ``key`` of another are the same record: the one with the
+    larger ``ts`` stays (then the one already stored). The table is partitioned by a hash of
+    ``by`` into ``buckets`` folders; only those that the records touch are written again, each
+    replaced as a whole, so a call that died half way is made good by the next with the same
+    records. One writer at a time. Columns that a side lacks are NULL."""
+    spark, by, key = records.sparkSession, list(by), list(key)
+    new = records.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    if _is_table(spark, path):
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]        # ``buckets`` at the most
+        stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+        both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    else:
+        both = new.withColumn("_new", F.lit(1))
+    newest = Window.partitionBy(*by).orderBy(F.desc(ts), *[F.desc(k) for k in key])
+    one = Window.partitionBy(*by, *key).orderBy(F.desc(ts), "_new")
+    # Copies of a record go first, within each side's newest; ties beyond ``keep`` can't push a record out.
+    kept = both.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").withColumn(
+        "_rank", F.row_number().over(newest)).where(F.col("_rank") <= keep).drop("_copy", "_rank", "_new")
+    merged = write_scratch(kept, "history")
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    drop_scratch(merged)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The stored records."""
+    return spark.read.parquet(path).drop("bucket")
+
+
+def _is_table(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def history_last_n(history: DataFrame, n: int = HISTORY_KEEP, by: Sequence[str] = ("model",),

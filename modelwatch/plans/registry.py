@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modelwatch.plans import fixtures as fx
+from modelwatch.session import write_scratch
 from modelwatch.plans import oracle as osql
 from modelwatch.operators import metrics as M
 
@@ -835,13 +836,15 @@ def q_fail_count_recent(spark, sf):
 
 @register("append_history", _HIST_LAST_SQL.format(src=fx.HISTORY_SQL, n=H.HISTORY_KEEP))
 def q_append_history(spark, sf):
-    """Two appends (before / from the 16th) to a history table, read back, newest 200."""
+    """Two appends (from the 16th, then all: the first ones arrive again) to a history table;
+    the table as it is stored, with each record's place."""
     path = _scratch(spark, "history")
     recs = _hist(spark, sf)
-    cut = F.col("ts") < F.lit(fx.EVENTS_SPLIT_TS).cast("timestamp_ntz")
-    H.append_history(recs.where(cut), path)
-    H.append_history(recs.where(~cut), path)
-    return H.history_last_n(spark.read.parquet(path), H.HISTORY_KEEP, tiebreak="event_id")
+    cut = F.col("ts") >= F.lit(fx.EVENTS_SPLIT_TS).cast("timestamp_ntz")
+    H.append_history(recs.where(cut), path, key=["event_id"])
+    H.append_history(recs, path, key=["event_id"])
+    newest = Window.partitionBy("model").orderBy(F.desc("ts"), F.desc("event_id"))
+    return H.read_history(spark, path).withColumn("recency", F.row_number().over(newest))
 
 
 _GATE_RUN_SQL = f"SELECT DISTINCT run_id, status FROM ({_CHECKS_SQL}) c"
@@ -867,9 +870,43 @@ from modelwatch.operators import evidence as EV  # noqa: E402
 from modelwatch.sources import files as S  # noqa: E402
 
 
-@register("file_digest")
+_FILES_SQL = ("SELECT source, doc_id // 500 AS part, encode(string_agg(text || chr(10), '' ORDER BY doc_id)) AS content "
+              "FROM documents GROUP BY ALL")
+
+
+def _text_files(spark, sf) -> str:
+    """The documents' texts as files, one per source and 500 ids; the folder."""
+    root = _scratch(spark, "texts")
+    docs = fx.table(spark, sf, "documents").select("source", F.expr("doc_id div 500").alias("part"), "doc_id", "text")
+    (docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").drop("doc_id")
+     .write.partitionBy("source", "part").text(root))
+    return root
+
+
+def _file_place(path) -> list:
+    return [F.regexp_extract(path, "source=([^/]*)", 1).alias("source"), F.regexp_extract(path, "part=([^/]*)", 1).cast("long").alias("part")]
+
+
+@register("file_digest", f"SELECT source, part, CAST(octet_length(content) AS BIGINT) AS size_bytes, sha256(content) AS sha256 FROM ({_FILES_SQL}) f")
 def q_file_digest(spark, sf):
-    return EV.file_digest(spark, f"{sf}/*.parquet")
+    """Size and SHA-256 of every file written, read by byte ranges."""
+    found = EV.file_digest(spark, [_text_files(spark, sf)])
+    return found.where("name not like '.%' and name not like '\\_%'").select(*_file_place(F.col("path")), "size_bytes", "sha256")
+
+
+@register("tree_digest", f"""
+WITH RECURSIVE f AS ({_FILES_SQL}), t AS (
+  SELECT source, part, 0 AS lvl, i, CAST(ceil(octet_length(content) / 4096.0) AS BIGINT) AS n, sha256(unhex(substr(hex(content), 8192 * i + 1, 8192))) AS d
+  FROM (SELECT *, unnest(range(0, CAST(ceil(octet_length(content) / 4096.0) AS BIGINT))) AS i FROM f) b
+  UNION ALL
+  SELECT source, part, lvl + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(d, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY source, part, lvl, i // 8)
+SELECT source, part, CAST(octet_length(content) AS BIGINT) AS size_bytes, CAST(ceil(octet_length(content) / 4096.0) AS BIGINT) AS n_blocks, d AS tree_sha256
+FROM t JOIN f USING (source, part) WHERE t.n = 1""")
+def q_tree_digest(spark, sf):
+    """Hash trees over blocks of 4,096 bytes, eight digests a node."""
+    found = EV.tree_digest(spark, [_text_files(spark, sf)], block_bytes=4096, fan=8, partition_bytes=1 << 20)
+    own = F.element_at(F.split("path", "/"), -1)
+    return found.where(~own.like(".%") & ~own.startswith("_")).select(*_file_place(F.col("path")), "size_bytes", "n_blocks", "tree_sha256")
 
 
 _LI_CELLS = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in ST.LINEITEM_ALL)
@@ -881,6 +918,30 @@ def q_table_fingerprint(spark, sf):
     return EV.table_fingerprint(fx.table(spark, sf, "lineitem"), ST.LINEITEM_ALL)
 
 
+_YEAR_PRINT_SQL = (f"SELECT year(l_shipdate) AS yr, CAST(COUNT(*) AS BIGINT) AS rows, CAST(SUM(CAST('0x' || substr(sha256("
+                   f"concat_ws(chr(31), {_LI_CELLS})), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM lineitem "
+                   f"WHERE year(l_shipdate) <> 1995 GROUP BY ALL")
+
+
+@register("file_state", f"SELECT CASE WHEN yr = 1997 THEN 'added' WHEN yr = 1996 THEN 'changed' END AS change, yr, rows, fingerprint "
+                        f"FROM ({_YEAR_PRINT_SQL}) y UNION ALL SELECT 'removed', 1995, 0, NULL")
+def q_file_state(spark, sf):
+    """A table of one folder a ship year gets a folder more, one written anew with other rows
+    and one less; its state is brought up to date and compared with the one before."""
+    li, path = fx.table(spark, sf, "lineitem").select(*ST.LINEITEM_ALL, F.year("l_shipdate").alias("yr")), _scratch(spark, "lineitem")
+    first = li.where("yr <> 1997 and not (yr = 1996 and l_linenumber > 1)")
+    first.repartition("yr").write.partitionBy("yr").parquet(path)
+    before = write_scratch(EV.file_state(spark, path, cols=ST.LINEITEM_ALL), "state")
+    (li.where("yr in (1996, 1997)").repartition("yr").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("yr").parquet(path))
+    EV.remove(spark, f"{path}/yr=1995")
+    after = EV.file_state(spark, path, known=before, cols=ST.LINEITEM_ALL)
+    yr = F.regexp_extract("file", "yr=([0-9]*)", 1).cast("long").alias("yr")
+    moved = EV.compare_states(before, after).select(yr, "change").groupBy("yr").agg(
+        F.when(F.count_distinct("change") == 2, "changed").otherwise(F.max("change")).alias("change"))     # a folder written anew has a new file name
+    return EV.state_of(after, yr).join(moved, "yr", "full").select("change", "yr", F.coalesce("rows", F.lit(0)).alias("rows"), "fingerprint")
+
+
 _DIGEST_SQL = ("SELECT 'doc-' || doc_id AS name, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS sha256 "
                "FROM documents")
 
