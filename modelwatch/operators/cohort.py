@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.scalar import in_open_range
+from modelwatch.operators.counts import StepCounts, null_key
 from modelwatch.operators.prefix import exact_quantiles, row_position
 
 # Fixed values of the reference: target lab labels and their short column names.
@@ -62,17 +63,34 @@ def scan_events_filtered(events: DataFrame, targets: DataFrame) -> DataFrame:
     return ev.where(in_open_range("valuenum"))
 
 
-def join_first_window(labs: DataFrame, admissions: DataFrame, window: str = DEFAULT_WINDOW) -> DataFrame:
-    """Inner join on (subject_id, hadm_id), admittime <= charttime <= admittime + window."""
+def join_events_admissions(labs: DataFrame, admissions: DataFrame, counts: StepCounts | None = None) -> DataFrame:
+    """Inner join on (subject_id, hadm_id). Rows with a NULL key join nothing; ``counts`` takes
+    their number on both sides and the rows joined, in the same pass."""
     adm = admissions.select("subject_id", "hadm_id", "admittime", "admission_type")
-    j = labs.join(adm, ["subject_id", "hadm_id"], "inner")
+    if counts:
+        missing = null_key("subject_id", "hadm_id")
+        labs, adm = counts.on(labs, "events", null_keys=missing), counts.on(adm, "admissions", null_keys=missing)
+    out = labs.join(adm, ["subject_id", "hadm_id"], "inner")
+    return counts.on(out, "events_with_admission") if counts else out
+
+
+def join_first_window(labs: DataFrame, admissions: DataFrame, window: str = DEFAULT_WINDOW,
+                      counts: StepCounts | None = None) -> DataFrame:
+    """``join_events_admissions`` with admittime <= charttime <= admittime + window."""
+    out = join_events_admissions(labs, admissions, counts)
     lim = F.col("admittime") + F.expr(f"INTERVAL {window}")
-    return j.where((F.col("charttime") >= F.col("admittime")) & (F.col("charttime") <= lim))
+    out = out.where((F.col("charttime") >= F.col("admittime")) & (F.col("charttime") <= lim))
+    return counts.on(out, "events_in_window") if counts else out
 
 
-def join_patients(labs: DataFrame, patients: DataFrame) -> DataFrame:
+def join_patients(labs: DataFrame, patients: DataFrame, counts: StepCounts | None = None) -> DataFrame:
+    """Left join on subject_id. ``counts``: rows without a subject, and without a patient."""
     pat = patients.select("subject_id", "gender", "anchor_age", "anchor_year_group")
-    return labs.join(pat, "subject_id", "left")
+    if not counts:
+        return labs.join(pat, "subject_id", "left")
+    out = labs.join(pat.withColumn("_there", F.lit(True)), "subject_id", "left")
+    out = counts.on(out, "events_with_patient", null_keys=null_key("subject_id"), no_patient=F.col("_there").isNull())
+    return out.drop("_there")
 
 
 def median_per_admission(labs: DataFrame, keys: Sequence[str] = (*INDEX_KEYS, "label")) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modelwatch.plans import fixtures as fx
-from modelwatch.session import write_scratch
+from modelwatch.operators.counts import StepCounts
+from modelwatch.session import drop_scratch, write_scratch
 from modelwatch.plans import oracle as osql
 from modelwatch.operators import metrics as M
 
@@ -458,8 +459,40 @@ def q_range_filter(spark, sf):
 def q_join_events_admissions(spark, sf):
     targets = CO.item_lookup(fx.lab_items(spark, sf), list(_T))
     labs = CO.scan_events_filtered(fx.lab_events(spark, sf), targets)
-    adm = fx.admissions(spark, sf).select("subject_id", "hadm_id", "admittime")
-    return labs.join(adm, ["subject_id", "hadm_id"]).select("subject_id", "hadm_id", "charttime", "itemid", "admittime")
+    return CO.join_events_admissions(labs, fx.admissions(spark, sf)).select("subject_id", "hadm_id", "charttime", "itemid", "admittime")
+
+
+_GAPS_SQL = ("gaps AS (SELECT CASE WHEN o_custkey % 13 <> 0 THEN o_custkey END AS subject_id, CASE WHEN l_orderkey % 7 <> 0 THEN l_orderkey END AS hadm_id, "
+             "l_shipdate AS charttime FROM lineitem JOIN orders ON l_orderkey = o_orderkey), "
+             "adm AS (SELECT o_custkey AS subject_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END AS hadm_id, o_orderdate AS admittime FROM orders), "
+             "pat AS (SELECT c_custkey AS subject_id FROM customer WHERE c_custkey % 5 <> 0), "
+             "j AS (SELECT * FROM gaps JOIN adm USING (subject_id, hadm_id)), "
+             "w AS (SELECT * FROM j WHERE charttime >= admittime AND charttime <= admittime + INTERVAL 90 DAY)")
+
+
+@register("join_counts", f"WITH {_GAPS_SQL} SELECT 'events' AS step, 'rows' AS count, CAST(count(*) AS BIGINT) AS value FROM gaps "
+          "UNION ALL SELECT 'events', 'null_keys', count(*) FILTER (WHERE subject_id IS NULL OR hadm_id IS NULL) FROM gaps "
+          "UNION ALL SELECT 'admissions', 'rows', count(*) FROM adm UNION ALL SELECT 'admissions', 'null_keys', count(*) FILTER (WHERE hadm_id IS NULL) FROM adm "
+          "UNION ALL SELECT 'events_with_admission', 'rows', count(*) FROM j UNION ALL SELECT 'events_in_window', 'rows', count(*) FROM w "
+          "UNION ALL SELECT 'events_with_patient', 'rows', count(*) FROM w UNION ALL SELECT 'events_with_patient', 'null_keys', count(*) FILTER (WHERE subject_id IS NULL) FROM w "
+          "UNION ALL SELECT 'events_with_patient', 'no_patient', count(*) FILTER (WHERE subject_id NOT IN (SELECT subject_id FROM pat)) FROM w "
+          "UNION ALL SELECT 'predictions', 'rows', count(*) FROM lineitem "
+          "UNION ALL SELECT 'predictions', 'bad_label', count(*) FILTER (WHERE l_linenumber = 3) FROM lineitem "
+          "UNION ALL SELECT 'predictions', 'bad_score', count(*) FILTER (WHERE l_linenumber IN (3, 5)) FROM lineitem")
+def q_join_counts(spark, sf):
+    """Rows without keys, partners or valid values, counted by the joins and the scan themselves."""
+    gap = (lambda c, m: F.when(F.col(c) % m != 0, F.col(c)).alias(c))
+    labs = fx.lab_events(spark, sf).select(gap("subject_id", 13), gap("hadm_id", 7), "charttime", "itemid")
+    adm = fx.admissions(spark, sf).withColumn("hadm_id", gap("hadm_id", 11))
+    counts = StepCounts()
+    j = CO.join_patients(CO.join_first_window(labs, adm, "90 days", counts), fx.patients(spark, sf).where("subject_id % 5 <> 0"), counts)
+    drop_scratch(write_scratch(j, "events"))
+    path, n = _scratch(spark, "predictions"), F.col("l_linenumber")
+    fx.table(spark, sf, "lineitem").select(
+        F.when(n == 3, "n/a").otherwise("1").alias("y_true"), F.when(n.isin(3, 5), "high").otherwise("0.5").alias("y_pred_prob")).write.option("header", True).csv(path)
+    drop_scratch(write_scratch(S.scan_predictions(spark, path, counts=counts), "scored"))
+    EV.remove(spark, path)
+    return counts.table(spark)
 
 
 @register("join_first_24h", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, charttime, itemid, label, admittime FROM j")

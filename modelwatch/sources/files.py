@@ -58,12 +58,15 @@ def strip_bom(df: DataFrame) -> DataFrame:
 
 
 def scan_predictions(spark: SparkSession, path: str, y: str = "y_true", s: str = "y_pred_prob",
-                     keep_rejects: bool = False) -> DataFrame:
+                     keep_rejects: bool = False, counts=None) -> DataFrame:
     """(y_true INT, y_score DOUBLE) from a prediction CSV; BOM stripped from the header;
     a row with an unparsable label or score is dropped whole (``keep_rejects`` keeps
-    them with NULLs so they can be counted)."""
+    them with NULLs so they can be counted; ``counts``, a ``StepCounts``, counts them in the
+    same scan)."""
     raw = strip_bom(spark.read.option("header", True).option("inferSchema", False).csv(path))
     out = raw.select(F.col(y).try_cast("int").alias("y_true"), F.col(s).try_cast("double").alias("y_score"))
+    if counts:
+        out = counts.on(out, "predictions", bad_label=F.col("y_true").isNull(), bad_score=F.col("y_score").isNull())
     if keep_rejects:
         return out
     return out.where(F.col("y_true").isNotNull() & F.col("y_score").isNotNull())
