@@ -148,6 +148,14 @@ def state_of(state: DataFrame, *by: Column) -> DataFrame:
                                   F.sum(F.col("fingerprint").cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small text file (a policy, say) through Hadoop's file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder through Hadoop's file systems."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

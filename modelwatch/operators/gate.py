@@ -187,6 +187,44 @@ def audit_result(violations: DataFrame, strict: bool = False, run_cols: Sequence
     return violations.select(*run_cols, res.alias("result"), F.size(v).alias("n_violations"), "violations")
 
 
+def run_artifacts(roster: DataFrame, tables: dict[str, DataFrame], run_cols: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Full outer join of the expected runs with the records found: run columns, ``expected``,
+    and one boolean per artifact of ``tables``.
+
+    A union of run keys and one grouped aggregate, combined before its shuffle, in place of a
+    chain of joins: a run with many records is one row per task. Rows without a run are one run."""
+    marks = ["expected", *tables]
+    both = None
+    for mark, df in {"expected": roster, **tables}.items():
+        part = df.select(*run_cols, F.lit(mark).alias("_mark"))
+        both = part if both is None else both.unionByName(part)
+    return both.groupBy(*run_cols).agg(*[F.max(F.col("_mark") == m).alias(m) for m in marks])
+
+
+def audit_roster(roster: DataFrame, tables: dict[str, DataFrame], violations: DataFrame, live: str = "live",
+                 strict: bool = False, run_cols: Sequence[str] = ("run_id",)) -> DataFrame:
+    """The audit of every run that is expected or found: run columns, expected, found, result,
+    n_violations, violations, missing (artifacts of an expected run that aren't there), and the
+    risk of what is missing (+1 an artifact, +2 a run without its record).
+
+    ``live`` names the table of ``tables`` whose record the audit needs: without it a run is
+    SKIPPED. A run that nobody expected is audited like any other."""
+    names = list(tables)
+    runs = run_artifacts(roster, tables, run_cols)
+    keyed = [F.col(f"a.{c}").eqNullSafe(F.col(f"v.{c}")) for c in run_cols]
+    on = keyed[0]
+    for k in keyed[1:]:
+        on = on & k
+    j = runs.alias("a").join(violations.select(*run_cols, "violations").alias("v"), on, "left")
+    own = F.when(F.col(f"`{live}`"), F.coalesce("violations", F.array().cast("array<string>")))
+    missing = F.array_compact(F.array(*[F.when(~F.col(f"`{n}`"), F.lit(n)) for n in names]))
+    result = F.when(own.isNull(), "SKIPPED").when(F.size(own) == 0, "PASS").otherwise("FAIL" if strict else "SOFT-FAIL")
+    risk = F.size(missing) + F.when(~F.col(f"`{live}`"), 1).otherwise(0)
+    return j.select(*[F.col(f"a.{c}").alias(c) for c in run_cols], "expected", F.col(f"`{live}`").alias("found"), result.alias("result"),
+                    F.when(own.isNull(), 0).otherwise(F.size(own)).alias("n_violations"), own.alias("violations"), missing.alias("missing"),
+                    risk.alias("risk_score"), F.when(risk <= 1, "LOW").when(risk == 2, "MEDIUM").otherwise("HIGH").alias("risk_level"))
+
+
 def gate_status_normalize(df: DataFrame, status: str = "status", alt: str = "gate_status") -> Column:
     """pass / passed / success -> 'pass'; anything else or absent -> 'fail' (fail closed)."""
     s = F.col(status) if status in df.columns else F.lit(None).cast("string")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modelwatch.plans import fixtures as fx
+from modelwatch.operators import registry_versions as RV
 from modelwatch.operators.counts import StepCounts
 from modelwatch.session import drop_scratch, write_scratch
 from modelwatch.plans import oracle as osql
@@ -796,6 +797,81 @@ def q_audit_result(spark, sf):
     return G.audit_result(G.audit_violations(_audit_obs(spark, sf)))
 
 
+_YEAR_PERF_SQL = osql.metrics_sql("SELECT CAST(year(l_shipdate) AS INTEGER) AS yr, CAST(l_returnflag = 'R' AS INTEGER) AS y_true, "
+                                  "l_extendedprice / 105000.0 AS y_score FROM lineitem", ["yr"], ["n", "auroc", "auprc", "ks_stat"])
+
+
+def _year_performance(spark, sf):
+    """Metrics of a run per ship year."""
+    preds = fx.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("yr"), (F.col("l_returnflag") == "R").cast("int").alias("y_true"),
+                                                   (F.col("l_extendedprice") / 105000.0).alias("y_score"))
+    return M.performance_metrics(preds, by=["yr"]).select("yr", "n", "auroc", "auprc", "ks_stat")
+
+
+@register("audit_roster", f"""
+WITH perf AS ({_YEAR_PERF_SQL}), live AS (SELECT * FROM perf WHERE yr % 4 <> 3), gate AS (SELECT yr FROM perf WHERE yr % 3 <> 0),
+roster AS (SELECT DISTINCT year(o_orderdate) AS yr FROM orders WHERE year(o_orderdate) <> 1994 UNION SELECT 2001),
+runs AS (SELECT yr FROM roster UNION SELECT yr FROM live UNION SELECT yr FROM gate),
+a AS (SELECT yr, yr IN (SELECT yr FROM roster) AS expected, yr IN (SELECT yr FROM live) AS live, yr IN (SELECT yr FROM gate) AS gate FROM runs),
+v AS (SELECT yr, list_filter([CASE WHEN auroc < 0.75 THEN printf('AUROC %.3f < min_auroc %.3f', auroc, 0.75) END,
+                              CASE WHEN auprc < 0.2 THEN printf('AUPRC %.3f < min_auprc %.3f', auprc, 0.2) END], lambda x: x IS NOT NULL) AS violations FROM live),
+r AS (SELECT a.yr, expected, live, gate, violations, CAST(NOT live AS INTEGER) * 2 + CAST(NOT gate AS INTEGER) AS risk FROM a LEFT JOIN v ON a.yr = v.yr)
+SELECT CAST(yr AS INTEGER) AS yr, expected, live AS found, CASE WHEN NOT live THEN 'SKIPPED' WHEN len(violations) = 0 THEN 'PASS' ELSE 'SOFT-FAIL' END AS result,
+       CAST(coalesce(len(violations), 0) AS INTEGER) AS n_violations, violations, list_filter([CASE WHEN NOT live THEN 'live' END, CASE WHEN NOT gate THEN 'gate' END],
+       lambda x: x IS NOT NULL) AS missing, CAST(risk AS INTEGER) AS risk_score, CASE WHEN risk <= 1 THEN 'LOW' WHEN risk = 2 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level FROM r""")
+def q_audit_roster(spark, sf):
+    """Expected: the order years but one, and one to come. Found: the ship years; some lack
+    their live record, some the gate's."""
+    perf = write_scratch(_year_performance(spark, sf), "runs")
+    years = fx.table(spark, sf, "orders").select(F.year("o_orderdate").alias("yr")).where("yr <> 1994").distinct()
+    roster = years.union(spark.range(2001, 2002).select(F.col("id").cast("int")))
+    live = perf.where("yr % 4 <> 3")
+    violations = G.audit_violations(live, {"performance": G.DEFAULT_POLICY["performance"]}, run_cols=["yr"])
+    return G.audit_roster(roster, {"live": live, "gate": perf.where("yr % 3 <> 0")}, violations, run_cols=["yr"])
+
+
+_REGISTRY = {"registry_version": 1, "policies": [
+    {"id": "default", "file": "policy-2.json", "version": "1.1.0", "owner": "monitoring", "last_review": "1996-03-01", "notes": "in force", "schema_version": 1, "active": True},
+    {"id": "other", "file": "policy-2.json", "version": "0.1.0", "last_review": "1990-01-01", "active": False}],
+    "history": [{"id": "default", "version": "1.0.0", "file": "policy-1.json", "owner": "monitoring", "last_review": "1994-07-15"},
+                {"id": "default", "version": "0.9.0", "last_review": "1993-01-01", "notes": "no thresholds kept"}]}
+_MONTHS_SQL = "SELECT strftime(ts, '%Y-%m') AS run_id, CAST(date_trunc('month', ts) AS TIMESTAMP) AS ts FROM (SELECT DISTINCT date_trunc('month', l_shipdate) AS ts FROM lineitem) m"
+_MONTH_PERF_SQL = osql.metrics_sql("SELECT strftime(l_shipdate, '%Y-%m') AS run_id, CAST(l_returnflag = 'R' AS INTEGER) AS y_true, "
+                                   "l_extendedprice / 105000.0 AS y_score FROM lineitem", ["run_id"], ["auroc", "auprc"])
+
+
+def _versions_sql() -> str:
+    checks = []
+    for file, policy in (("policy-1.json", {"performance": {"min_auroc": 0.49, "min_auprc": 0.1}}), ("policy-2.json", G.DEFAULT_POLICY)):
+        checks += [f"('{file}', '{c}', '{m}', '{op}', {t}::DOUBLE)" for c, m, op, t in G.check_specs(policy)]
+    return f"""
+WITH v(version, owner, file, lo, hi) AS (VALUES ('0.9.0', NULL, NULL, DATE '0001-01-01', DATE '1994-07-15'),
+  ('1.0.0', 'monitoring', 'policy-1.json', DATE '1994-07-15', DATE '1996-03-01'), ('1.1.0', 'monitoring', 'policy-2.json', DATE '1996-03-01', DATE '9999-01-01')),
+c(file, "check", metric, op, threshold) AS (VALUES {', '.join(checks)}),
+o AS (SELECT m.run_id, m.ts, p.auroc, p.auprc FROM ({_MONTHS_SQL}) m JOIN ({_MONTH_PERF_SQL}) p ON m.run_id = p.run_id),
+j AS (SELECT run_id, version, owner, "check", op, threshold, CASE metric WHEN 'auroc' THEN auroc WHEN 'auprc' THEN auprc
+      WHEN 'shap_artifact_present' THEN 0.0 END AS value FROM o JOIN v ON CAST(ts AS DATE) >= lo AND CAST(ts AS DATE) < hi LEFT JOIN c ON v.file = c.file)
+SELECT run_id, 'default' AS policy_id, version, owner, "check", value, op, threshold,
+       CASE WHEN value IS NULL OR threshold IS NULL THEN 'SKIP' WHEN (CASE op WHEN '<' THEN value < threshold WHEN '<=' THEN value <= threshold
+            WHEN '>=' THEN value >= threshold ELSE value = threshold END) THEN 'PASS' ELSE 'FAIL' END AS result FROM j"""
+
+
+@register("policy_versions", _versions_sql())
+def q_policy_versions(spark, sf):
+    """A run per ship month, judged by the registry's version in force in that month."""
+    import json
+    path = _scratch(spark, "policies")
+    for name, doc in (("registry", _REGISTRY), ("policy-1", {"performance": {"min_auroc": 0.49, "min_auprc": 0.1}}), ("policy-2", G.DEFAULT_POLICY)):
+        EV.put_text(spark, f"{path}/{name}.json", json.dumps(doc))
+    li = fx.table(spark, sf, "lineitem")
+    month = F.date_format("l_shipdate", "yyyy-MM").alias("run_id")
+    perf = M.performance_metrics(li.select(month, (F.col("l_returnflag") == "R").cast("int").alias("y_true"), (F.col("l_extendedprice") / 105000.0).alias("y_score")),
+                                 by=["run_id"]).select("run_id", "auroc", "auprc")
+    runs = perf.withColumn("ts", F.to_timestamp(F.concat("run_id", F.lit("-01")))).withColumn("policy_id", F.lit("default"))
+    versions = RV.policy_versions(RV.registry_entries(spark, f"{path}/registry.json"))
+    return RV.judge_runs(runs, versions, RV.policy_checks(spark, f"{path}/policy-*.json"))
+
+
 @register("threshold_table",
           f"SELECT run_id, metric, actual, threshold, status FROM ("
           f"SELECT run_id, 'AUROC' AS metric, auroc AS actual, CAST(0.7 AS DOUBLE) AS threshold, "
