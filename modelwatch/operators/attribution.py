@@ -5,14 +5,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelwatch.functions.scalar import round6
 
 DEFAULT_TOPK = 25
-ENTRY_SCHEMA = ("struct<name:string, feature:string, column:string, mean_abs_impact:string, "
-                "importance:string, mean_abs:string>")
 
 
 def mean_abs_impact(df: DataFrame, col: str = "contrib", names: Sequence[str] | None = None) -> DataFrame:
@@ -46,14 +44,26 @@ def top_features_named(impacts: DataFrame, topk: int = DEFAULT_TOPK) -> DataFram
 
 
 def _entries(raw: DataFrame) -> DataFrame:
-    """One row per entry of {"features": [...]}, {"top_features": [...]} or a bare list."""
-    # Elements are read as text first and parsed alone, so one bad element costs only itself.
-    obj = F.from_json("value", "struct<features:array<string>, top_features:array<string>>")
-    arr = F.from_json("value", "array<string>")
-    feats = F.when(F.size(obj["features"]) > 0, obj["features"]).otherwise(obj["top_features"])
-    lst = F.coalesce(feats, arr, F.array().cast("array<string>"))
-    return raw.select(F.col("path"), F.explode(lst).alias("_text")).where(F.ltrim("_text").startswith("{")) \
-              .select("path", F.from_json("_text", ENTRY_SCHEMA).alias("e")).where(F.col("e").isNotNull())
+    """(path, e): one row per object of {"features": [...]}, {"top_features": [...]} or a bare list.
+
+    The text is parsed once into a VARIANT; whatever its shape, lists and fields are read from
+    that. An empty or missing ``features`` gives way to ``top_features``; entries that are no
+    objects (names, numbers, lists) are left out, and a broken file has none."""
+    doc = raw.select("path", F.try_parse_json("value").alias("doc"))
+    lists = doc.select("path", *[F.try_variant_get("doc", at, "array<variant>").alias(name)
+                                 for name, at in (("features", "$.features"), ("top", "$.top_features"), ("bare", "$"))])
+    of = F.when(F.size("features") > 0, F.col("features")).otherwise(F.coalesce("top", "bare"))
+    return lists.select("path", F.explode(of).alias("e")).where(F.schema_of_variant("e").startswith("OBJECT"))
+
+
+def _first_of(keys: Sequence[str], kind: str) -> Column:
+    """The first of the keys that an entry holds, as ``kind``. A key that is there with a JSON
+    null is an answer: the entry has no such value."""
+    out = F.lit(None).cast(kind)
+    for k in reversed(list(keys)):
+        own = F.try_variant_get("e", f"$.{k}", "variant")
+        out = F.when(own.isNotNull(), F.try_variant_get("e", f"$.{k}", kind)).otherwise(out)
+    return out
 
 
 def read_json_files(spark: SparkSession, path: str) -> DataFrame:
@@ -61,26 +71,25 @@ def read_json_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def _normalized(spark: SparkSession, path: str, names: Sequence[str], impacts: Sequence[str]) -> DataFrame:
+    e = _entries(read_json_files(spark, path))
+    return e.select("path", _first_of(names, "string").alias("name"), _first_of(impacts, "double").alias("mean_abs_impact")) \
+            .where(F.col("name").isNotNull() & F.col("mean_abs_impact").isNotNull())
+
+
 def normalize_features(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, mean_abs_impact) per entry. Keys ``name``/``feature`` and
     ``mean_abs_impact``/``importance``; entries with no name or a non-numeric impact are
-    dropped. Rank with ``top_features`` / ``orderBy`` when an order is needed."""
-    e = _entries(read_json_files(spark, path))
-    name = F.coalesce(F.col("e.name"), F.col("e.feature"))
-    imp = F.coalesce(F.col("e.mean_abs_impact"), F.col("e.importance")).try_cast("double")
-    return e.select("path", name.alias("name"), imp.alias("mean_abs_impact")) \
-            .where(F.col("name").isNotNull() & F.col("mean_abs_impact").isNotNull())
+    dropped, names that are numbers become text. Rank with ``top_features`` / ``orderBy``
+    when an order is needed."""
+    return _normalized(spark, path, ("name", "feature"), ("mean_abs_impact", "importance"))
 
 
 def normalize_features_alt(spark: SparkSession, path: str) -> DataFrame:
     """Like ``normalize_features``, also accepting keys ``column`` and ``mean_abs``;
     nameless entries are dropped (they would otherwise become the text 'None'). The
     reference's order (impact descending, then name) is ``top_features_named``."""
-    e = _entries(read_json_files(spark, path))
-    name = F.coalesce(F.col("e.name"), F.col("e.feature"), F.col("e.column"))
-    imp = F.coalesce(F.col("e.mean_abs_impact"), F.col("e.mean_abs"), F.col("e.importance")).try_cast("double")
-    return e.select("path", name.alias("name"), imp.alias("mean_abs_impact")) \
-            .where(F.col("name").isNotNull() & F.col("mean_abs_impact").isNotNull())
+    return _normalized(spark, path, ("name", "feature", "column"), ("mean_abs_impact", "mean_abs", "importance"))
 
 
 def write_top_features(top: DataFrame, path: str) -> None:

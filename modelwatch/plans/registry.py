@@ -1154,11 +1154,41 @@ def q_sink_prep_manifest(spark, sf):
 
 @register("sink_run_log", _METRICS_LONG_SQL)
 def q_sink_run_log(spark, sf):
+    """Some metrics first, then all, twice: a run that is logged again replaces itself."""
     root = _scratch(spark, "runlog")
-    out = S.sink_run_log(M.metrics_long(_perf_small(spark, sf), run_col="run_id"), root, "metrics")
+    long = write_scratch(M.metrics_long(_perf_small(spark, sf), run_col="run_id"), "metrics")
+    S.sink_run_log(long.where("metric = 'auroc'").withColumn("value", F.lit(-1.0)), root, "metrics")
+    for _ in range(2):
+        out = S.sink_run_log(long, root, "metrics")
     return spark.read.parquet(out).select("run_id", "metric", "value")
 
 
+_PARTS_SQL = ("SELECT 'run-' || s_nationkey AS run_id, 'metrics' AS kind, 'price-' || l_linenumber AS name, CAST(1700000000 + l_linenumber AS BIGINT) AS ts, "
+              "max(l_extendedprice) AS value, CAST(NULL AS VARCHAR) AS text, CAST(year(l_shipdate) AS BIGINT) AS step "
+              "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL "
+              "UNION ALL SELECT 'run-' || s_nationkey, kind, 'supplier', NULL, NULL, max(s_name), NULL FROM supplier, (VALUES ('params'), ('tags')) k(kind) GROUP BY ALL")
+
+
+@register("stream_run_log", _PARTS_SQL)
+def q_stream_run_log(spark, sf):
+    """Runs (one a supplier nation) with metrics, params and tags as files; the table is brought up to
+    date three times: from some runs, from all, and after a run was recorded twice."""
+    root, table, check = (_scratch(spark, n) for n in ("runs", "run-table", "run-check"))
+    li, su = fx.table(spark, sf, "lineitem"), fx.table(spark, sf, "supplier")
+    metrics = li.join(su, li["l_suppkey"] == su["s_suppkey"]).groupBy(F.concat(F.lit("run-"), "s_nationkey").alias("run_id"), F.concat(F.lit("price-"), "l_linenumber").alias("name"), "l_linenumber",
+                         F.year("l_shipdate").alias("step")).agg(F.max("l_extendedprice").alias("v"))
+    lines = metrics.groupBy("run_id", "name").agg(F.array_join(F.array_sort(F.collect_list(     # a line a year
+        F.concat_ws(" ", (F.lit(1_700_000_000) + F.col("l_linenumber")).cast("string"), F.col("v").cast("string"), F.col("step").cast("string")))), "\n").alias("text"))
+    texts = su.groupBy(F.concat(F.lit("run-"), "s_nationkey").alias("run_id"), F.lit("supplier").alias("name")).agg(F.max("s_name").alias("text"))
+    files = write_scratch(lines.select("run_id", F.lit("metrics").alias("kind"), "name", "text").unionByName(
+        texts.select("run_id", F.explode(F.array(F.lit("params"), F.lit("tags"))).alias("kind"), "name", "text")), "run-files")
+    first = F.pmod(F.xxhash64("run_id"), F.lit(3)) == 0
+    for part, experiment in ((files.where(first), "0"), (files.where(~first), "0"), (files.where(first & (F.col("kind") == "metrics")), "1")):
+        S.write_run_files(part.withColumn("experiment", F.lit(experiment)), root)
+        S.update_run_log(spark, root, table, check)
+    return S.read_run_log(spark, table)
+
+
 def _run_log(spark, sf):
     """Metrics in the tracking layout (one text file per run and metric), scanned back."""
     root = _scratch(spark, "mlruns")
