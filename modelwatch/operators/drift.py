@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from modelwatch.functions.columns import drift_columns, infer_roles
 from modelwatch.functions.scalar import clean_double, is_finite, np_lerp, round6
 from modelwatch.operators.prefix import range_parts, running_totals
-from modelwatch.session import materialize
 
 # Fixed values of the reference.
 PSI_BINS = 10
@@ -81,9 +80,10 @@ def feature_stats(counts: DataFrame, n_parts: int | None = None) -> tuple[DataFr
     stats = (g.where((F.col("n_base") > 0) & (F.col("n_curr") > 0))
               .select("feature", "n_base", "n_curr", "ks",
                       _quantile_value(PSI_LOW_Q, "p1"), _quantile_value(PSI_HIGH_Q, "p99")))
-    # One row per column, read twice (PSI edges and the output): materialize it once
-    # instead of running the window and aggregate again.
-    return counts, materialize(stats)
+    # One row per column, a bound set by the schema, read twice (PSI edges and the output):
+    # taken once, as literals, instead of running the window and aggregate again.
+    rows = [tuple(r) for r in stats.collect()]
+    return counts, counts.sparkSession.createDataFrame(rows, stats.schema)
 
 
 def _bin_expr(bins: int) -> Column:

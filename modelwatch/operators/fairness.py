@@ -96,7 +96,7 @@ def train_score_audit(df: DataFrame, group: str | None = None, label: str = "lab
     """Scale numeric features by their std over all rows (no centring), fit an L2 logistic
     regression on 70 % of each label (C = 1 is regParam = 1 / n_train in Spark's objective),
     score the rest, and report ``fairness_by_group`` on the scored part. Distributed MLlib
-    fit; the input is computed once (see ``split_train_test``)."""
+    fit; the split is computed and written once (see ``split_train_test``)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -111,7 +111,7 @@ def train_score_audit(df: DataFrame, group: str | None = None, label: str = "lab
     keys = {f"_key{i}": F.col(c) for i, c in enumerate(key_cols or [])}
     data = df.select(gcol, F.col(label).cast("double").alias("_label"), *[c.alias(k) for k, c in keys.items()],
                      *[F.col(c).cast("double").alias(c) for c in feats]).na.drop(subset=feats + ["_label"])
-    data = split_train_test(data, "_label", list(keys), seed)
+    data = materialize(split_train_test(data, "_label", list(keys), seed))     # read by scaler, count, fit and scoring
     scaler = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="_raw"),
                               StandardScaler(inputCol="_raw", outputCol="_x", withMean=False, withStd=True)]).fit(data)
     data = scaler.transform(data).select(gcol, "_label", "_train", "_x")

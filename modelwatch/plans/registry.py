@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from modelwatch.plans import fixtures as fx
 from modelwatch.operators import registry_versions as RV
 from modelwatch.operators.counts import StepCounts
-from modelwatch.session import drop_scratch, write_scratch
+from modelwatch.session import drop_scratch, materialize, write_scratch
 from modelwatch.plans import oracle as osql
 from modelwatch.operators import metrics as M
 
@@ -399,10 +399,22 @@ def q_row_counts(spark, sf):
     return CO.sample_metadata(_cohort(spark, sf)).select("split", "rows")
 
 
-@register("sort_cohort", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, charttime, position FROM cohort")
+@register("sort_cohort", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, charttime, position, position AS place, true AS in_order FROM cohort")
 def q_sort_cohort(spark, sf):
-    return _cohort(spark, sf).orderBy("subject_id", "hadm_id", "charttime") \
-                             .select("subject_id", "hadm_id", "charttime", "position")
+    """The cohort sorted; ``place`` is where a row came out: its part of the sort, read back in
+    order, and its row there. ``in_order``: no row before it in its part sorts after it."""
+    keys = ["subject_id", "hadm_id", "charttime"]
+    out = _cohort(spark, sf).select(*keys, "position").orderBy(*keys)
+    # Rows of the sorted parts are numbered as they stand; the parts' sizes give the offsets.
+    parted = write_scratch(out.withColumn("id", F.monotonically_increasing_id()), "sorted")
+    part, at = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = parted.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))   # a row a part
+    placed = parted.withColumn("part", part).join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
+    upto = Window.partitionBy("part").orderBy("id")
+    row = F.struct(*keys)
+    return placed.select(*keys, "position", (F.col("before") + at).alias("place"),
+                         F.coalesce(F.lag(row).over(upto) <= row, F.lit(True)).alias("in_order"))
 
 
 @register("derive_label", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, round(lactate, 6) AS lactate, "
@@ -609,6 +621,24 @@ def q_train_test_split(spark, sf):
                                       F.count_if(~F.col("_train")).cast("long").alias("n_test"))
 
 
+_TEST_ROWS_SQL = (f"SELECT CAST(sum(n) - sum(round(n * CAST(0.7 AS DOUBLE))) AS BIGINT) FROM (SELECT label, count(*) AS n FROM "
+                  f"({fx.FAIRNESS_FRAME_SQL}) f WHERE label IS NOT NULL GROUP BY label) l")
+
+
+@register("train_score_totals", f"SELECT ({_TEST_ROWS_SQL}) AS overall_n, ({_TEST_ROWS_SQL}) AS groups_n, "
+                                f"(SELECT count(DISTINCT gender) FROM ({fx.FAIRNESS_FRAME_SQL}) f) AS n_groups, true AS in_range")
+def q_train_score_totals(spark, sf):
+    """What must hold of the audit whatever the model: the sizes of the scored part, and every
+    measure between 0 and 1."""
+    t = materialize(FA.train_score_audit(fx.fairness_frame(spark, sf).drop("y_score", "segment"), "gender", "label", seed=42))
+    whole = F.col("group") == FA.OVERALL
+    fair = F.lit(True)
+    for c in ("accuracy", "precision", "recall", "f1", "auc", "pos_rate"):
+        fair = fair & F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    return t.agg(F.sum(F.when(whole, F.col("n"))).alias("overall_n"), F.sum(F.when(~whole, F.col("n"))).alias("groups_n"),
+                 F.count_if(~whole).alias("n_groups"), F.every(fair).alias("in_range"))
+
+
 @register("train_score_audit")
 def q_train_score_audit(spark, sf):
     df = fx.fairness_frame(spark, sf).drop("y_score", "segment")

@@ -72,10 +72,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def write_scratch(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read back: later jobs read
-    files that every executor reaches. ``drop_scratch`` deletes it when nothing reads it."""
-    path = scratch_path(df.sparkSession, name)
+    files that every executor reaches. ``drop_scratch`` deletes it when nothing reads it any
+    more; what is left goes when the session ends."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
@@ -91,18 +94,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and read it back (eager).
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back (eager).
 
     Used for pre-aggregated tables that several branches of one plan read (cut points,
-    bucket totals, windows, histograms): without it each branch recomputes the scan
-    and the shuffle. A reliable checkpoint cuts lineage and survives executor loss.
+    bucket totals, windows, histograms): without it each branch recomputes the scan and the
+    shuffle. One job; the files cut the lineage and survive executor loss, and are deleted
+    when the session ends.
     """
-    checkpoint_dir(df.sparkSession)
-    # Cache first so the checkpoint write reads the computed blocks instead of running
-    # the plan a second time; the cache is released once the checkpoint exists.
-    df.persist()
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    return write_scratch(df, "rows")
