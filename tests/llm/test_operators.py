@@ -145,26 +145,44 @@ def test_toxic_sentences_are_located(spark):
             assert r.predicted == 0 and not r.offending
 
 
-def test_lm_scores_match_brute_force(spark):
-    rows = [(r.doc_id, r.text) for r in docs_of(spark).collect()]
-    got = {r.doc_id: r for r in lm_score.lm_scores(docs_of(spark), batch_tokens=5000, bucket_entries=3000).collect()}
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores_match_brute_force(spark, order):
+    rows = [(r.doc_id, r.text) for r in docs_of(spark).collect()] + [(9001, "one"), (9002, ""), (9003, "one two"), (9004, "never before seen it is the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs, batch_tokens=5000, bucket_entries=3000, order=order).collect()}
     seq = {d: t.encode().lower().split() + ["end"] for d, t in rows}
     train = {d for d in seq if zlib.crc32(str(d).encode()) % 7 != 2}
-    uni, big = Counter(), Counter()
+    seen = Counter()
     for d in train:
-        uni.update(seq[d])
-        big.update(zip(["start"] + seq[d], seq[d]))
+        s = ["start"] + seq[d]
+        seen.update(tuple(s[i:i + k]) for k in range(1, order + 1) for i in range(len(s) - k + 1) if k > 1 or i)
+    seen["start",] = len(train)
+    uni = {g[0]: c for g, c in seen.items() if len(g) == 1 and g[0] != "start"}
     n, v, k = sum(uni.values()), len(uni), lm_score.PRIOR
+
+    def p(context, w):
+        if not context:
+            return (uni.get(w, 0) + 1) / (n + v + 1)
+        return (seen[(*context, w)] + k * p(context[1:], w)) / (seen[context] + k)
+
     for d, s in seq.items():
-        base = score = 0.0
-        for a, b in zip(["start"] + s, s):
-            p = (uni[b] + 1) / (n + v + 1)
-            c = len(train) if a == "start" else uni[a]
-            base += np.log10(p)
-            score += np.log10((big[a, b] + k * p) / (c + k))
+        whole = ["start"] + s
+        score = sum(np.log10(p(tuple(whole[max(0, i - order + 1):i]) if order > 1 else (), whole[i])) for i in range(1, len(whole)))
+        base = sum(np.log10(p((), w)) for w in s)
         r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d not in train, len(s), sum(uni[x] > 0 for x in s), n)
-        assert abs(r.base_score - base) < 1e-6 * abs(base) and abs(r.score - score) < 1e-6 * abs(score)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d not in train, len(s), sum(uni.get(x, 0) > 0 for x in s), n)
+        assert abs(r.base_score - base) < 1e-6 * abs(base) and abs(r.score - score) < 1e-6 * abs(score), d
+    with pytest.raises(ValueError):
+        lm_score.lm_scores(docs, order=0)
+
+
+def test_lm_batches_send_no_more_rows_than_entries():
+    h = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    for n in (1, 7, 500, 10 ** 9):
+        bucket, edge = lm_score.buckets_of(h, n)
+        assert len(bucket) <= len(h) and len(edge) == len(bucket) + 1 and edge[0] == 0 and edge[-1] == len(h) and (np.diff(bucket) > 0).all()
+        assert all(((h[x:y] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32) == b).all() for b, x, y in zip(bucket, edge, edge[1:]))
+    assert lm_score.buckets_of(h[:0], 5)[1].tolist() == [0]
 
 
 def test_line_templates(spark):
