@@ -1164,22 +1164,56 @@ def q_sink_table(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("sink_prep_manifest", ORACLE["scaler_params"])
+_STAT_ITEMS = ["count", "mean", "std", "min", "p50", "max", "missing"]
+
+
+def _manifest_sql() -> str:
+    def stats(split, when, sql):
+        items = ", ".join(f"('{c}', CAST(\"{c}\" AS DOUBLE))" for c in _STAT_ITEMS)
+        return (f"SELECT 'stats' AS part, '{split} {when} ' || feature AS name, item, value FROM ({sql}) s_, "
+                f"LATERAL (VALUES {items}) v(item, value)")
+    sides = {"baseline": _PB_SQL, "current": _PC_SQL}
+    parts = [f"SELECT 'scaler' AS part, feature AS name, item, value FROM ({_SCALER_SQL}) s_, LATERAL (VALUES ('center', center), ('scale', scale)) v(item, value)"]
+    for side, src in sides.items():
+        parts.append(stats(side, "pre", f"WITH b AS ({src}) {osql.profile_sql('b', PREP_NUM)}"))
+        parts.append(stats(side, "post", osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, side=side, what="profile")))
+        parts.append(f"SELECT 'outputs', 'data_prepared_{side}', 'rows', CAST(count(*) AS DOUBLE) FROM "
+                     f"({osql.prep_sql(_PB_SQL, _PC_SQL, PREP_NUM, PREP_OTHER, side=side)}) o_")
+        parts.append(f"SELECT 'files', 'data_prepared_{side}', 'matching', 1.0")
+    return " UNION ALL ".join(f"({x})" for x in parts)
+
+
+@register("sink_prep_manifest", _manifest_sql())
 def q_sink_prep_manifest(spark, sf):
-    """Prepare the pair, write the manifest (scaler, output fingerprints, profiles,
-    config), and read the scaler parameters back."""
+    """Prepare the pair, write both tables and the manifest, and read all its parts back:
+    scaler, profiles, rows of the outputs, and whether the files listed are the files there."""
     from dataclasses import asdict
     b, c = _prep_pair(spark, sf)
     cfg = P.PrepConfig()
     bp, cp, scaler, bi, ci = P.prepare_pair(b, c, cfg)
     path = _scratch(spark, "manifest")
-    S.sink_prep_manifest(spark, path, asdict(cfg), scaler.to_dataframe(spark),
-                         {"data_prepared_baseline": bp, "data_prepared_current": cp},
-                         {("baseline", "pre"): bi["pre_stats"](), ("baseline", "post"): bi["post_stats"](),
-                          ("current", "pre"): ci["pre_stats"](), ("current", "post"): ci["post_stats"]()})
-    t = spark.read.schema("feature string, kind string, center double, scale double, extra double") \
-             .json(f"{path}/scaler")
-    return t.select("feature", "kind", round6("center").alias("center"), round6("scale").alias("scale"))
+    written = {f"data_prepared_{side}": S.sink_table(df, f"{path}/{side}") for side, df in (("baseline", bp), ("current", cp))}
+    outputs = {name: spark.read.parquet(at) for name, at in written.items()}
+    S.sink_prep_manifest(spark, path, asdict(cfg), scaler.to_dataframe(spark), outputs,
+                         {(side, when): i[f"{when}_stats"]() for side, i in (("baseline", bi), ("current", ci)) for when in ("pre", "post")},
+                         inputs={"lineitem": f"{sf}/lineitem.parquet"}, output_paths=written, provenance={"query": "sink_prep_manifest"})
+    t = spark.read.schema("feature string, kind string, center double, scale double, extra double").json(f"{path}/scaler")
+    out = t.select(F.lit("scaler").alias("part"), F.col("feature").alias("name"), round6("center").alias("center"), round6("scale").alias("scale")) \
+           .unpivot(["part", "name"], ["center", "scale"], "item", "value")
+    stats = spark.read.schema("split string, when string, " + P.PROFILE_SCHEMA.split(", ", 1)[1]).json(f"{path}/stats")
+    out = out.unionByName(stats.select(F.lit("stats").alias("part"), F.concat_ws(" ", "split", "when", "feature").alias("name"),
+                                       *[F.col(c).cast("double").alias(c) for c in _STAT_ITEMS]).unpivot(["part", "name"], _STAT_ITEMS, "item", "value"))
+    rows = spark.read.schema("name string, rows long, fingerprint string").json(f"{path}/outputs")
+    out = out.unionByName(rows.select(F.lit("outputs").alias("part"), "name", F.lit("rows").alias("item"), F.col("rows").cast("double").alias("value")))
+    listed = spark.read.schema("role string, name string, file string, size_bytes long, sha256 string").json(f"{path}/files").where("role = 'output'")
+    for name, at in written.items():
+        there = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(at).select(
+            F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size_bytes"))
+        own = listed.where(F.col("name") == name).select("file", "size_bytes", "sha256")
+        j = own.join(there.withColumn("there", F.lit(True)), ["file", "size_bytes"], "full")
+        same = F.every(F.col("there").isNotNull() & (F.length("sha256") == 64)).cast("double")
+        out = out.unionByName(j.agg(same.alias("value")).select(F.lit("files").alias("part"), F.lit(name).alias("name"), F.lit("matching").alias("item"), "value"))
+    return out
 
 
 @register("sink_run_log", _METRICS_LONG_SQL)
