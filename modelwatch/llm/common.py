@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,16 @@ def chunks(frames: Iterator[pd.DataFrame], chars: int, col: str = "text") -> Ite
             lo = hi
 
 
+def release() -> None:
+    """Hand memory that is free back to the system. A Python worker serves the tasks of one
+    stage after another, and its allocators would keep the largest that any of them needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def per_text(docs: DataFrame, keep: list, make: Callable, schema: str, chars: int = 4_000_000) -> DataFrame:
     """``keep`` columns of every row, with the columns that a text function computes.
 
@@ -89,8 +102,10 @@ def per_text(docs: DataFrame, keep: list, make: Callable, schema: str, chars: in
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         work = make()
-        for p in chunks((pd.DataFrame({"text": series}) for series in batches), chars):
-            yield pd.DataFrame(work([t if isinstance(t, str) else None for t in p["text"]]))
+        for series in batches:
+            for p in chunks(iter([pd.DataFrame({"text": series})]), chars):
+                yield pd.DataFrame(work([t if isinstance(t, str) else None for t in p["text"]]))
+            release()
 
     out = docs.select(*keep, run(F.col("text").cast("string")).alias("_made"))
     return out.select(*[c for c in out.columns if c != "_made"], "_made.*")

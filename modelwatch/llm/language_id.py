@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import SLOTS, chunks, id_remainder, per_text, save, slot_of
+from modelwatch.llm.common import SLOTS, chunks, id_remainder, per_text, release, save, slot_of
 
 #: Slots of the filter and hashes per n-gram; letters per n-gram.
 SLOT_BITS, HASHES, N = 20, 2, 3
@@ -120,6 +120,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, typical: float = 0.5, least:
             for lang, part in pdf.groupby("lang"):
                 gram, n = np.unique(grams(part["text"].tolist(), letters)[0], return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n})
+        release()
 
     counts = save(sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
