@@ -16,8 +16,8 @@
    the pairs); components come from star rounds.
 
 Results: vectors that are null, empty, zero or hold null or non-finite components link
-with nothing; vectors of different lengths don't link; repeated rows count as vectors of
-their own; a row without vec_id is counted but names no component; an empty table gives
+with nothing; vectors of different lengths don't link; a cosine that ties with the threshold
+links; repeated rows count as vectors of their own; a row without vec_id is counted but names no component; an empty table gives
 an empty result; other columns are ignored.
 """
 

@@ -14,7 +14,8 @@ The filter has a fixed number of slots whatever the corpus, so it is safe to bro
 Results: ``und`` with score 0 for a null text or one without letters (and if nothing could
 be learned); a text none of whose n-grams is known gets the most frequent training
 language and score 0; ties go to the language whose name sorts first; repeated rows and
-rows without doc_id keep their rows; other columns are ignored.
+rows without doc_id keep their rows; a text of any length is read as a whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

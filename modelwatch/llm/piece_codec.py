@@ -11,9 +11,10 @@ apart when the two stand alone. Under that rule exactly one path reaches every p
 and it is the encoding of the merges (compared with the library in the tests). Characters
 outside the vocabulary are one step of their own and become byte pieces.
 
-A null text counts as empty; a text without characters gives no pieces; repeated rows and
-rows without an id keep their rows; an empty table gives an empty result; other columns
-are ignored. A text that itself holds the space mark comes back with a space there, as
+A null text counts as empty; a text without characters gives no pieces; a text of any length
+is encoded as a whole; words over ``LONG`` characters and runs of spaces are searched one at a
+time by the same rule; repeated rows and rows without an id keep their rows; an empty table
+gives an empty result; other columns are ignored. A text that itself holds the space mark comes back with a space there, as
 with the library; ``round_trip`` is false for it.
 """
 

@@ -12,8 +12,10 @@ The fit uses at most ``fit_rows`` labelled rows (picked by a hash of the id); ev
 on the driver is bounded by the features and bins.
 
 Results: a null text counts as empty and is scored like any other; without usable labels
-every score is 0.5; null labels are not learned from; repeated rows keep their rows; an
-empty table gives an empty result; other columns are ignored.
+every score is 0.5; null labels are not learned from; repeated rows keep their rows, and a
+document labelled twice counts once with its larger label; a row without doc_id is scored,
+but never learned from; a text of any length is read as a whole; raw scores that tie get one
+calibrated score; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

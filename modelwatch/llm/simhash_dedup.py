@@ -15,9 +15,9 @@
 4. Components come from star rounds over those forests.
 
 Results: a null text counts as empty; texts without words have fingerprint 0 and link like
-any other; repeated rows keep their own result rows; a row without ``doc_id`` is linked
-but never names a component; an empty table gives an empty result; other columns are
-ignored.
+any other; a bit set in exactly half the shingles is 0; a text of any length is read as a
+whole; repeated rows keep their own result rows; a row without ``doc_id`` is linked but never
+names a component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ rest goes through the merges (the library's model; whole chunks with letters bey
 or special strings go to its encoder). No merge crosses a pre-token, so
 the sums are the library's own counts.
 
-A null text counts as empty (0 bytes, 0 tokens); repeated rows and rows without an id keep
-their rows; an empty table gives an empty result; other columns are ignored.
+A null text counts as empty (0 bytes, 0 tokens); a text of any length is counted as a whole;
+repeated rows and rows without an id keep their rows; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,10 @@ The trained model then scores every whole text and locates its offending sentenc
 of at least ``sentence_cut``) by index and character span.
 
 Results: a null text counts as empty; a text without sentences scores 0; without usable
-labels every score is 0; repeated rows keep their rows; other columns are ignored.
+labels every score is 0; repeated rows keep their rows, and a document labelled twice counts
+once with its larger label; a row without doc_id is scored, but never learned from; a text of
+any length is scored as a whole; sentences that tie with ``sentence_cut`` are located; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
