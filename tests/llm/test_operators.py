@@ -360,3 +360,25 @@ def test_bounded_samples_at_any_size(spark):
 def test_odd_embeddings(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.embedding_groups(empty).count() == 0
+
+
+def test_decontamination_recall_near_the_threshold():
+    """Planted near copies of similarity 0.8 and more: SimHash may miss few, and only close to 0.8."""
+    rng = random.Random(3)
+    word = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(word, k=rng.choice([20, 35, 50])))) for i in range(120)]
+    index, seen, tried, found = DC.Index(items, 5, 15, 0.8), {}, Counter(), Counter()
+    for _ in range(4):
+        for i, text in items:
+            own = text.split()
+            changed = list(own)
+            for at in rng.choice([[0], [len(own) - 1], [0, len(own) - 1], [rng.randrange(len(own))], [5, 6], [1, 2, 3]]):
+                changed[at] = rng.choice(word)
+            a, b = (Counter(tuple(x[j:j + 5]) for j in range(len(x) - 4)) for x in (own, changed))
+            sim = DC.weighted_jaccard(a, b)
+            if sim >= 0.8:
+                around = [rng.choices(word, k=25) for _ in range(2)]
+                hit = i in index.match(DC.word_hashes(around[0] + changed + around[1], seen))
+                tried[sim >= 0.85] += 1
+                found[sim >= 0.85] += hit
+    assert min(tried.values()) > 50 and found[True] == tried[True] and found[False] >= 0.97 * tried[False]
