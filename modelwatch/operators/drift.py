@@ -139,7 +139,7 @@ def drift_by_feature(baseline: DataFrame, current: DataFrame, ignore_cols=(),
         j = _sketched(baseline, current, cols, bins)
     else:
         counts, stats = feature_stats(value_counts(baseline, current, cols), n_parts)
-        j = stats.select("feature", "ks").join(psi_table(counts, stats, bins), "feature")
+        j = psi_table(counts, stats, bins).join(F.broadcast(stats.select("feature", "ks")), "feature")
     flag = (F.col("psi") >= DRIFT_FLAG_LEVEL) | (F.col("ks") >= DRIFT_FLAG_LEVEL)
     out = j.select("feature", "psi", "ks", flag.alias("drift_flag"))
     if rounded:
