@@ -5,6 +5,10 @@ runs the plan, at no extra scan. ``table`` gives them as rows afterwards. An obs
 read by one action only: write the result (``sink``, ``write_scratch``) and go on from there,
 or the counts are those of whichever action came first. A step that the optimiser can skip
 (the other side of a join is empty) counts nothing and is reported as 0.
+
+Observe in a session of its own (``counting_session``): once a session has observed anything,
+Spark 4.1 can no longer serialise it, and MLlib's transformers, which carry their session,
+fail in it. Frames are read in that session and handed over as files.
 """
 
 from __future__ import annotations
@@ -34,6 +38,14 @@ class StepCounts:
         return spark.createDataFrame(self.rows(), "step string, count string, value long")
 
 
+def counting_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` (same context, catalog cache and settings) to observe in."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    return own
+
+
 def _taken(seen: Observation) -> dict:
     try:
         return seen.get

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from modelwatch.plans import fixtures as fx
 from modelwatch.operators import registry_versions as RV
-from modelwatch.operators.counts import StepCounts
+from modelwatch.operators.counts import StepCounts, counting_session
 from modelwatch.session import drop_scratch, materialize, write_scratch
 from modelwatch.plans import oracle as osql
 from modelwatch.operators import metrics as M
@@ -494,6 +494,7 @@ _GAPS_SQL = ("gaps AS (SELECT CASE WHEN o_custkey % 13 <> 0 THEN o_custkey END A
           "UNION ALL SELECT 'predictions', 'bad_score', count(*) FILTER (WHERE l_linenumber IN (3, 5)) FROM lineitem")
 def q_join_counts(spark, sf):
     """Rows without keys, partners or valid values, counted by the joins and the scan themselves."""
+    user, spark = spark, counting_session(spark)
     gap = (lambda c, m: F.when(F.col(c) % m != 0, F.col(c)).alias(c))
     labs = fx.lab_events(spark, sf).select(gap("subject_id", 13), gap("hadm_id", 7), "charttime", "itemid")
     adm = fx.admissions(spark, sf).withColumn("hadm_id", gap("hadm_id", 11))
@@ -505,7 +506,7 @@ def q_join_counts(spark, sf):
         F.when(n == 3, "n/a").otherwise("1").alias("y_true"), F.when(n.isin(3, 5), "high").otherwise("0.5").alias("y_pred_prob")).write.option("header", True).csv(path)
     drop_scratch(write_scratch(S.scan_predictions(spark, path, counts=counts), "scored"))
     EV.remove(spark, path)
-    return counts.table(spark)
+    return counts.table(user)
 
 
 @register("join_first_24h", f"WITH {_COHORT_CTES} SELECT subject_id, hadm_id, charttime, itemid, label, admittime FROM j")

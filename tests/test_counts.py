@@ -1,10 +1,31 @@
 """Counts taken by the joins themselves: right, and without another scan."""
+import pytest
+
 from modelwatch.operators import cohort as CO
-from modelwatch.operators.counts import StepCounts
+from modelwatch.operators.counts import StepCounts, counting_session
 from modelwatch.session import write_scratch
 from modelwatch.sources import files as S
 
 
+@pytest.fixture
+def user(spark):
+    return spark
+
+
+@pytest.fixture
+def spark(spark):
+    return counting_session(spark)
+
+
+def test_the_users_session_keeps_working(user):
+    """Counting in a session of its own leaves MLlib in the user's alone."""
+    from modelwatch.operators import fairness as FA
+    from modelwatch.plans.registry import QUERIES
+    assert QUERIES["join_counts"](user, "/root/testdata/sf0.001").count() == 12
+    df = user.range(200).selectExpr("cast(id % 7 as double) a", "cast(id % 2 as int) label", "if(id % 3 = 0, 'x', 'y') gender")
+    assert FA.train_score_audit(df, "gender").count() == 3
+
+
 def test_joins_count_what_they_drop(spark):
     labs = spark.createDataFrame([(1, 10, 5, 7), (1, None, 5, 7), (None, 10, 5, 7), (2, 20, 900, 7), (3, 30, 1, 7), (4, 40, 6, 7)],
                                  "subject_id int, hadm_id int, h int, itemid int").selectExpr(
