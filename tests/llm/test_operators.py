@@ -368,7 +368,7 @@ def test_decontamination_recall_near_the_threshold():
     word = [f"w{i}" for i in range(3000)]
     items = [(i, " ".join(rng.choices(word, k=rng.choice([20, 35, 50])))) for i in range(120)]
     index, seen, tried, found = DC.Index(items, 5, 15, 0.8), {}, Counter(), Counter()
-    for _ in range(4):
+    for _ in range(12):
         for i, text in items:
             own = text.split()
             changed = list(own)
@@ -381,4 +381,4 @@ def test_decontamination_recall_near_the_threshold():
                 hit = i in index.match(DC.word_hashes(around[0] + changed + around[1], seen))
                 tried[sim >= 0.85] += 1
                 found[sim >= 0.85] += hit
-    assert min(tried.values()) > 50 and found[True] == tried[True] and found[False] >= 0.97 * tried[False]
+    assert min(tried.values()) > 150 and found[True] == tried[True] and found[False] >= 0.95 * tried[False]
