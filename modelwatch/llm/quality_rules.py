@@ -12,9 +12,9 @@ holds are higher, the more so the smaller the corpus.
 
 One pass counts: each task adds up its buckets and hands on those that are not zero, so the
 shuffle has at most one row per task and bucket. The table of ratios (``2**bits`` doubles)
-is broadcast; further passes score the fifth and then all documents. Ids of trusted
-documents are broadcast, too: ``target_docs`` of them at the most, picked by a hash of the
-id. Texts are never shuffled.
+is broadcast; further passes score the fifth and then all documents. All trusted documents
+are read. Their ids are broadcast, too, up to ``BROADCAST_IDS`` of them, and texts are not
+shuffled then; for more ids Spark picks the join.
 
 Hashes are polynomial over a word's bytes, modulo 2**64, worked out for a whole chunk with
 two running sums. Repeated windows are looked up by such hashes, and texts with a hit are
@@ -30,6 +30,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
@@ -37,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import bounded, crc32_sql, drop, id_remainder, save
+from modelwatch.llm.common import crc32_sql, drop, id_remainder, save
 from modelwatch.llm.fill_middle import byte_chunks, text_buffer
 
-#: Buckets (log 2), added count, trusted documents read at the most.
-BITS, ALPHA, TARGET_DOCS = 18, 1.0, 200_000
+#: Buckets (log 2), added count.
+BITS, ALPHA = 18, 1.0
+#: Trusted ids that are broadcast at the most (about 60 bytes each).
+BROADCAST_IDS = 2_000_000
 #: One in so many trusted documents sets the cut: MARGIN below their LOWEST quantile.
 FOLDS, LOWEST, MARGIN = 5, 0.005, 0.15
 #: Base rules: fewest words, most percent of them in repeated windows.
@@ -144,14 +147,14 @@ def text_chunks(batch: pa.RecordBatch, size: int = CHUNK) -> Iterator[tuple[pa.R
         yield batch.slice(lo, hi - lo), [bytes(view[a:b]) for a, b in zip(cut, cut[1:])]
 
 
-def _texts(docs: DataFrame, ids: DataFrame, how: str, *keep) -> DataFrame:
-    """``_text`` of the rows, joined to the few trusted ``ids`` (bounded, so broadcast)."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(ids), "doc_id", how).select("_text", *keep)
+def _texts(docs: DataFrame, ids: DataFrame, few: bool, how: str, *keep) -> DataFrame:
+    """``_text`` of the rows, joined to trusted ``ids``, which are broadcast if they are few."""
+    return docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(ids) if few else ids, "doc_id", how).select("_text", *keep)
 
 
-def count_buckets(docs: DataFrame, target: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of all documents and of those in ``target`` (doc_id), by bucket."""
-    marked = _texts(docs, target.withColumn("_good", F.lit(True)), "left", F.col("_good").isNotNull().alias("_good"))
+def count_buckets(docs: DataFrame, target: DataFrame, bits: int, few: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of all documents and of those in ``target`` (doc_id; ``few``: broadcast), by bucket."""
+    marked = _texts(docs, target.withColumn("_good", F.lit(True)), few, "left", F.col("_good").isNotNull().alias("_good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, total = Powers(), np.zeros((2, 1 << bits), dtype=np.int64)
@@ -173,22 +176,36 @@ def count_buckets(docs: DataFrame, target: DataFrame, bits: int) -> tuple[np.nda
     return out[0], out[1]
 
 
-def fit(docs: DataFrame, trusted: DataFrame, bits: int = BITS, alpha: float = ALPHA, target_docs: int = TARGET_DOCS) -> Model:
-    """``trusted``: doc_id of trusted documents. A fifth of them (by a hash of the id) is not
-    counted in the target but scored, and sets the cut."""
-    ids = save(bounded(trusted.where("doc_id is not null").select("doc_id").distinct(), "doc_id", target_docs), "trusted")
-    apart = id_remainder(FOLDS) == 0
-    raw, target = count_buckets(docs, ids.where(~apart), bits)
+def fit(docs: DataFrame, trusted: DataFrame, bits: int = BITS, alpha: float = ALPHA) -> Model:
+    """``trusted``: doc_id of trusted documents, all of which are read. A fifth of them (by a
+    hash of the id) is not counted in the target but scored, and sets the cut."""
+    ids = save(trusted.where("doc_id is not null").select("doc_id").distinct(), "trusted")
+    few, apart = ids.count() <= BROADCAST_IDS, id_remainder(FOLDS) == 0
+    raw, target = count_buckets(docs, ids.where(~apart), bits, few)
     if not target.sum():
         return Model(np.zeros(1 << bits), bits, None)
     ratio = np.log((target + alpha) / (target.sum() + alpha * len(target))) - np.log((raw + alpha) / (raw.sum() + alpha * len(raw)))
     model = Model(ratio, bits, None)
-    scored = counted(_texts(docs, ids.where(apart), "inner"), [], model, WINDOW)
-    low = scored.where(~base_failed(MIN_WORDS, MOST_REPEATED)).agg(F.percentile("score", LOWEST)).first()[0]
+    scored = counted(_texts(docs.where(apart), ids.where(apart), few, "inner"), [], model, WINDOW)
+    scores = save(scored.where(~base_failed(MIN_WORDS, MOST_REPEATED)).select("score"), "scores")
+    low = quantile(scores, "score", LOWEST)
+    drop(scores)
     model.cut = None if low is None else low - MARGIN
     return model
 
 
+def quantile(df: DataFrame, col: str, share: float) -> float | None:
+    """Exact, interpolated as ``percentile`` does it; of the sorted values only those up to the
+    position are kept, and two reach the driver."""
+    n = df.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    lower, upper = math.floor(at), math.ceil(at)
+    found = [r[0] for r in df.select(col).orderBy(col).offset(lower).limit(upper - lower + 1).collect()]
+    return found[0] if found[0] == found[-1] else (upper - at) * found[0] + (at - lower) * found[-1]
+
+
 def counted(made: DataFrame, keep: list[str], model: Model, window: int) -> DataFrame:
     """``keep`` columns with the counts of the base rules and the score of ``_text``."""
     shared = made.sparkSession.sparkContext.broadcast(model)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from modelwatch.llm import quality_rules as Q
 from modelwatch.llm.registry import ORACLE, QUERIES
@@ -97,6 +98,24 @@ def test_empty_table(spark):
     assert Q.quality_rules(empty, spark.createDataFrame([(1,)], "doc_id long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [Q.BROADCAST_IDS, 10])
+def test_every_trusted_document_counts(spark, monkeypatch, most):
+    """More trusted ids than were read once, and more than are broadcast."""
+    monkeypatch.setattr(Q, "BROADCAST_IDS", most)
+    rows = texts(300)
+    got = Q.quality_rules(spark.createDataFrame(rows + ODD, "doc_id long, text string"), spark.range(260_000).select(F.col("id").alias("doc_id")).where("doc_id % 7 != 0"), bits=10)
+    want = plain_rules(rows + ODD, {d for d in range(1_000) if d % 7}, 10)
+    assert Counter((*r[:8], round(r.score, 9) + 0.0) for r in got.collect()) == Counter({(*k[:8], k[8] + 0.0): n for k, n in want.items()})
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 201, 999])
+def test_quantile(spark, n):
+    rng = random.Random(n)
+    df = spark.createDataFrame([(rng.choice([rng.random(), 0.25]),) for _ in range(n)], "x double").repartition(5)
+    for share in (0.0, Q.LOWEST, 0.5, 1.0):
+        assert Q.quantile(df, "x", share) == df.agg(F.percentile("x", share)).first()[0]
+
+
 def test_repeated_windows(spark):
     rng = random.Random(2)
     powers = Q.Powers()
