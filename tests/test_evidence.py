@@ -95,6 +95,38 @@ def test_file_states(spark, tmp_path):
     assert {r.change for r in E.compare_states(known, other).collect()} == {"changed"}
 
 
+def test_a_year_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """All rows of one year: the query's tasks sort and write parts of a size, not a year each."""
+    from modelwatch.plans import registry as R
+    ids = spark.range(40_000).repartition(8)
+    year = F.when(F.col("id") % 100 == 0, F.lit(1995) + F.col("id") / 100 % 3).otherwise(F.lit(1999)).cast("int")
+    li = ids.select(*[(F.xxhash64("id", F.lit(c)) % 1000).alias(c) for c in R.ST.LINEITEM_ALL if c not in ("l_shipdate", "l_linenumber")],
+                    (F.col("id") % 7).alias("l_linenumber"), F.make_date(year, F.lit(3), F.lit(1)).cast("timestamp_ntz").alias("l_shipdate"))
+    li.write.parquet(str(tmp_path / "sf" / "lineitem.parquet"))
+    places = iter(range(9))
+    monkeypatch.setattr(R, "_scratch", lambda spark, name: str(tmp_path / f"{name}{next(places)}"))
+    set_to, name = "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, set_to)
+    try:
+        rows = {r.yr: r for r in R.QUERIES["file_state"](spark, str(tmp_path / "sf")).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert {y: r.change for y, r in rows.items()} == {1995: "removed", 1996: "changed", 1997: "added", 1999: None}
+    want = E.table_fingerprint(li.where("year(l_shipdate) = 1999"), R.ST.LINEITEM_ALL).first()
+    assert (rows[1999].rows, rows[1999].fingerprint) == tuple(want) and want.rows == 39_600
+    assert len(list((tmp_path / "lineitem0" / "yr=1999").glob("*.parquet"))) > 1
+
+
+def test_sums_of_row_hashes(spark):
+    """Sums beyond a LONG are exact, and no long decimal is added up row by row."""
+    rng, top = random.Random(3), (1 << 60) - 1
+    for values in ([], [0], [top] * 300, [rng.randrange(1 << 60) for _ in range(500)]):
+        df = spark.createDataFrame([(v,) for v in values], "h long")
+        assert df.agg(E.hash_sum("h").cast("string")).first()[0] == (str(sum(values)) if values else None)
+    plan = E.table_fingerprint(spark.range(5))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(cast(" not in plan.lower() and plan.count("conv(") == 1
+
+
 HIST = "model string, run_id long, ts long, status string"
 
 
