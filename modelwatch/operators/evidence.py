@@ -97,16 +97,25 @@ def checklist_join(expected: DataFrame, files: DataFrame, name_col: str = "name"
 def table_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(rows, fingerprint): count and an order-independent sum, as text, of the first 60 bits
     of each row's SHA-256 over its cells as text (joined by the unit separator, NULL as the
-    zero character; DECIMAL(38,0), so the sum cannot overflow). Same rows -> same
-    fingerprint, whatever the partitioning or file layout."""
-    return df.agg(F.count(F.lit(1)).cast("long").alias("rows"), F.sum(row_hash(cols or df.columns)).cast("string").alias("fingerprint"))
+    zero character; exact up to 2**43 rows). Same rows -> same fingerprint, whatever the
+    partitioning or file layout."""
+    hashed = df.select(row_hash(cols or df.columns).alias("h"))
+    return hashed.agg(F.count(F.lit(1)).cast("long").alias("rows"), hash_sum("h").cast("string").alias("fingerprint"))
 
 
 def row_hash(cols: Sequence[str]) -> Column:
     """The first 60 bits of a row's SHA-256 over its cells as text."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols]
     digest = F.sha2(F.concat_ws("\x1f", *cells).cast("binary"), 256)
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def hash_sum(h: str) -> Column:
+    """Sum of row hashes as DECIMAL(38,0), from the sums of three parts of 20 bits: adding
+    LONGs takes a fraction of the time that adding long decimals does."""
+    low, parts = F.lit((1 << 20) - 1), (40, 20, 0)
+    sums = [F.sum(F.shiftright(h, k).bitwiseAND(low)).cast("decimal(38,0)") * F.lit(1 << k).cast("decimal(13,0)") for k in parts]
+    return (sums[0] + sums[1] + sums[2]).cast("decimal(38,0)")
 
 
 def file_state(spark: SparkSession, path: str, known: DataFrame | None = None, cols: Sequence[str] | None = None,
@@ -138,7 +147,7 @@ def _hashed_files(table: DataFrame, cols: Sequence[str]) -> DataFrame:
     rows = table.select(meta["file_path"].alias("file"), meta["file_size"].alias("size_bytes"),
                         meta["file_modification_time"].alias("modified"), row_hash(cols).alias("h"))
     return rows.groupBy("file", "size_bytes", "modified").agg(
-        F.count(F.lit(1)).cast("long").alias("rows"), F.sum("h").cast("string").alias("fingerprint"))
+        F.count(F.lit(1)).cast("long").alias("rows"), hash_sum("h").cast("string").alias("fingerprint"))
 
 
 def state_of(state: DataFrame, *by: Column) -> DataFrame:

@@ -63,16 +63,21 @@ def at_quantile(n: int, q: float) -> tuple[int, int, float]:
 
 
 def count_values(frames: dict[str, DataFrame], cols: Sequence[str], complete: bool) -> DataFrame:
-    """(side, feature, value, n, m) of the frames, one shuffle."""
-    cols, out = list(cols), None
+    """(side, feature, value, n, m) of the frames, one shuffle. Values are counted under the
+    number of their side and column, which makes short keys; the names come after."""
+    cols, names, out = list(cols), [], None
     for side, df in frames.items():
-        wide = df.select(*[clean_double(c).alias(c) for c in cols])
+        own = [str(len(names) + i) for i in range(len(cols))]
+        names += [(side, c) for c in cols]
+        wide = df.select(*[clean_double(c).alias(k) for c, k in zip(cols, own)])
         whole = F.lit(True)
-        for c in cols if complete else ():
-            whole = whole & F.col(f"`{c}`").isNotNull()
-        part = wide.withColumn("_whole", whole).unpivot(["_whole"], cols, "feature", "value").withColumn("side", F.lit(side))
+        for k in own if complete else ():
+            whole = whole & F.col(k).isNotNull()
+        part = wide.withColumn("_whole", whole).unpivot(["_whole"], own, "_key", "value")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("side", "feature", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("_whole").alias("m"))
+    counts = out.groupBy("_key", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("_whole").alias("m"))
+    side, feature = (F.get(F.array(*[F.lit(x[i]) for x in names]), F.col("_key").cast("int")) for i in (0, 1))
+    return counts.select(side.alias("side"), feature.alias("feature"), "value", "n", "m")
 
 
 class ValueTable:
@@ -133,10 +138,11 @@ class ValueTable:
         small = self.spark.createDataFrame(given, "id int, side string, feature string, w string, low double, high double, "
                                                   "before long, positions array<long>")
         v, weight = F.col("value"), F.when(F.col("w") == "n", F.col("n")).otherwise(F.col("m"))
-        rows = (self.table.join(F.broadcast(small), ["side", "feature"])
+        rows = (self.table.join(F.broadcast(small.drop("before", "positions")), ["side", "feature"])
                 .where((v >= F.col("low")) & (v <= F.col("high"))).withColumn("_n", weight).where("_n > 0"))
-        bins = rows.groupBy("id", "before", "positions", _bin(v, F.col("low"), F.col("high"), even).alias("bin")).agg(
+        bins = rows.groupBy("id", _bin(v, F.col("low"), F.col("high"), even).alias("bin")).agg(
             F.sum("_n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        bins = bins.join(F.broadcast(small.select("id", "before", "positions")), "id")
         so_far = Window.partitionBy("id").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         upto = bins.withColumn("upto", F.col("before") + F.sum("n").over(so_far))
         own = F.filter("positions", lambda p: (p >= F.col("upto") - F.col("n")) & (p < F.col("upto")))
